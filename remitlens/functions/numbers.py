@@ -27,6 +27,12 @@ def round_half_up(col, digits: int) -> Column:
     return F.round(_c(col).cast("double"), digits)
 
 
+def round_scaled(col, digits: int) -> Column:
+    """Scale up, round half away from zero, scale down: the rounding of the score formulas."""
+    factor = float(10**digits)
+    return F.round(_c(col).cast("double") * factor) / factor
+
+
 def to_fixed(col, digits: int) -> Column:
     """Fixed-point text with ``digits`` decimals and no grouping."""
     return F.format_string(f"%.{digits}f", _c(col).cast("double"))
