@@ -24,38 +24,45 @@ def _names(fields: list[str]) -> Column:
     return F.array(*[F.lit(f) for f in fields])
 
 
-def _value(name: str) -> Column:
-    """First entry of that name."""
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    A generator over a one-element array keeps the optimizer from copying the
+    expressions into every later use, which matters for array scans.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
+def _first_entry(name: str) -> Column:
     return F.get(F.filter("data", lambda e: (e["key_kind"] == "symbol") & (e["key"] == name)), F.lit(0))
 
 
+def _first_position(test) -> Column:
+    """1-based position of the first entry that meets the test, 0 when none does."""
+    return F.array_position(F.transform("data", lambda e: F.coalesce(test(e), F.lit(False))), True)
+
+
 def _wrong_type(name: str, kind: str, extra: Column | None = None) -> Column:
-    entry = _value(name)
-    ok = F.coalesce(entry["val_kind"] == kind, F.lit(False))
+    ok = F.coalesce(F.col(f"_{name}")["val_kind"] == kind, F.lit(False))
     if extra is not None:
         ok = ok & F.coalesce(extra, F.lit(False))
     return F.when(~ok, _error("InvalidFieldType", name))
 
 
 def _hash_error(name: str) -> Column:
-    return _wrong_type(name, "bytes", _value(name)["val"].rlike("^[0-9a-fA-F]{64}$"))
+    return _wrong_type(name, "bytes", F.col(f"_{name}")["val"].rlike("^[0-9a-fA-F]{64}$"))
 
 
-def _first_position(test) -> Column:
-    """1-based position of the first entry that meets the test, 0 when none does."""
-    return F.array_position(F.transform("data", lambda e: F.coalesce(test(e), F.lit(False))), True)
-
-
-def _entry_errors(expected: Column) -> Column:
+def _entry_errors() -> Column:
     """Errors of the entries in data order: bad key, repeated key, unexpected key."""
-    keys = F.transform("data", lambda e: e["key"])
 
     def check(entry, index):
         return (
             F.when(entry["key_kind"] != "symbol", _error("InvalidFieldNameType"))
             .when(entry["key"].isNull(), _error("InvalidFieldNameEncoding"))
-            .when(F.array_contains(F.slice(keys, F.lit(1), index), entry["key"]), _error("DuplicateField", entry["key"]))
-            .when(~F.array_contains(expected, entry["key"]), _error("UnexpectedField", entry["key"]))
+            .when(F.array_position(F.col("_keys"), entry["key"]) <= index, _error("DuplicateField", entry["key"]))
+            .when(~F.array_contains(F.col("_expected"), entry["key"]), _error("UnexpectedField", entry["key"]))
         )
 
     return F.get(F.array_compact(F.transform("data", check)), F.lit(0))
@@ -65,22 +72,32 @@ def decode_snapshot_events(events: DataFrame) -> DataFrame:
     """Adds ``error`` (first failing check, null when valid) and the normalised columns.
 
     The checks form one ordered coalesce over the envelope, so the first error
-    wins exactly as in a sequential decoder, without leaving the JVM.
+    wins exactly as in a sequential decoder, without leaving the JVM. The
+    entries of the payload are looked up once per row, before the checks.
     """
-    topic = F.get("topics", F.lit(0))
-    version = _value("schema_version")
-    number = version["val"].try_cast("bigint")
-    expected = F.when(number == 2, _names(V2_FIELDS)).otherwise(_names(V1_FIELDS))
-    version_at = _first_position(lambda e: (e["key_kind"] == "symbol") & (e["key"] == "schema_version"))
-    bad_key_at = _first_position(lambda e: e["key_kind"] != "symbol")
-    bad_text_at = _first_position(lambda e: (e["key_kind"] == "symbol") & e["key"].isNull())
+    topic, number = F.get("topics", F.lit(0)), F.col("_number")
+    found = once(
+        events,
+        _keys=F.transform("data", lambda e: F.coalesce(e["key"], F.lit(""))),
+        _version_at=_first_position(lambda e: (e["key_kind"] == "symbol") & (e["key"] == "schema_version")),
+        _bad_key_at=_first_position(lambda e: e["key_kind"] != "symbol"),
+        _bad_text_at=_first_position(lambda e: (e["key_kind"] == "symbol") & e["key"].isNull()),
+        **{f"_{name}": _first_entry(name) for name in V2_FIELDS},
+    )
+    version = F.col("_schema_version")
+    found = once(
+        found,
+        _number=version["val"].try_cast("bigint"),
+        _expected=F.when(version["val"].try_cast("bigint") == 2, _names(V2_FIELDS)).otherwise(_names(V1_FIELDS)),
+    )
+    version_at, bad_key_at, bad_text_at = F.col("_version_at"), F.col("_bad_key_at"), F.col("_bad_text_at")
 
     def met_first(position: Column) -> Column:
         return (position > 0) & ((version_at == 0) | (position < version_at))
 
-    missing = F.get(F.array_except(expected, F.transform("data", lambda e: e["key"])), F.lit(0))
+    missing = F.get(F.array_except("_expected", "_keys"), F.lit(0))
     too_big = [
-        F.when(_value(name)["val"].try_cast("bigint").isNull(), _error("ValueOutOfRange", name))
+        F.when(F.col(f"_{name}")["val"].try_cast("bigint").isNull(), _error("ValueOutOfRange", name))
         for name in ("epoch", "submitted_at")
     ]
     error = F.coalesce(
@@ -96,7 +113,7 @@ def decode_snapshot_events(events: DataFrame) -> DataFrame:
         F.when(version_at == 0, _error("MissingField", "schema_version")),
         F.when(version["val_kind"] != "u32", _error("InvalidFieldType", "schema_version")),
         F.when(~F.coalesce(number.isin(1, 2), F.lit(False)), _error("UnsupportedSchemaVersion", version["val"])),
-        _entry_errors(expected),
+        _entry_errors(),
         F.when(missing.isNotNull(), _error("MissingField", missing)),
         F.when(number == 2, _wrong_type("snapshot_size_bytes", "u64")),
         _wrong_type("epoch", "u64"),
@@ -106,19 +123,22 @@ def decode_snapshot_events(events: DataFrame) -> DataFrame:
         _wrong_type("submitter", "address"),
         *too_big,
     )
-    return events.withColumn("error", error)
+    decoded = once(
+        found,
+        error=error,
+        epoch=F.col("_epoch")["val"].try_cast("bigint"),
+        snapshot_hash=F.lower(F.col("_snapshot_hash")["val"]),
+        source_data_hash=F.lower(F.col("_source_data_hash")["val"]),
+        submitted_at=F.col("_submitted_at")["val"].try_cast("bigint"),
+        submitter=F.col("_submitter")["val"],
+    )
+    return decoded.drop(*[c for c in decoded.columns if c.startswith("_")])
 
 
 def normalized(decoded: DataFrame) -> DataFrame:
     """Valid events in their common form; both schema versions give the same columns."""
     return decoded.where(F.col("error").isNull()).select(
-        "seq",
-        "contract_id",
-        _value("epoch")["val"].try_cast("bigint").alias("epoch"),
-        F.lower(_value("snapshot_hash")["val"]).alias("snapshot_hash"),
-        F.lower(_value("source_data_hash")["val"]).alias("source_data_hash"),
-        _value("submitted_at")["val"].try_cast("bigint").alias("submitted_at"),
-        _value("submitter")["val"].alias("submitter"),
+        "seq", "contract_id", "epoch", "snapshot_hash", "source_data_hash", "submitted_at", "submitter"
     )
 
 

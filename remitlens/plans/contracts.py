@@ -61,14 +61,15 @@ def envelopes(spark, sf):
         F.when(k == 51, s("string")).otherwise(s("symbol")).alias("kind"),
         F.when(k == 53, absent.cast("string")).when(k == 52, s("payment_made")).otherwise(s(ev.SNAPSHOT_TOPIC)).alias("value"),
     )
-    return events(spark, sf).select(
+    # the envelope is built once per row, as if it had been read from storage
+    return ev.once(events(spark, sf), _envelope=F.struct(
         F.col("event_id").alias("seq"),
         F.when((kind == "error") & (k < 5), s("system")).otherwise(s("contract")).alias("type"),
         F.when((kind == "signup") & (k < 5), absent.cast("string")).otherwise(F.concat(s("C"), text("user_id"))).alias("contract_id"),
         F.when(k == 50, F.array(topic, topic)).otherwise(F.array(topic)).alias("topics"),
         F.when(k == 54, s("vec")).otherwise(s("map")).alias("data_kind"),
         data.alias("data"),
-    )
+    )).select("_envelope.*")
 
 
 _VERDICT = f"""WITH {EVENTS}, v AS (SELECT *, CASE
