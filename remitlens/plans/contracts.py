@@ -28,6 +28,10 @@ from remitlens.sources.tables import events, payments, table
 
 
 def envelopes(spark, sf):
+    return envelopes_of(events(spark, sf))
+
+
+def envelopes_of(rows):
     k, kind = F.col("k"), F.col("event_type")
     s = F.lit
 
@@ -62,7 +66,7 @@ def envelopes(spark, sf):
         F.when(k == 53, absent.cast("string")).when(k == 52, s("payment_made")).otherwise(s(ev.SNAPSHOT_TOPIC)).alias("value"),
     )
     # the envelope is built once per row, as if it had been read from storage
-    return ev.once(events(spark, sf), _envelope=F.struct(
+    return ev.once(rows, _envelope=F.struct(
         F.col("event_id").alias("seq"),
         F.when((kind == "error") & (k < 5), s("system")).otherwise(s("contract")).alias("type"),
         F.when((kind == "signup") & (k < 5), absent.cast("string")).otherwise(F.concat(s("C"), text("user_id"))).alias("contract_id"),

@@ -598,14 +598,14 @@ def payment_requests(spark, sf):
 
 @query(
     "predict_success",
-    f"""{_PRED} SELECT l_orderkey, l_linenumber, l_partkey, round(p, 12) AS success_probability, round(greatest(0, p - ((1 - p) * 0.3 + 0.02)), 12) AS lower_bound,
-    round(least(1, p + ((1 - p) * 0.3 + 0.02) / 2), 12) AS upper_bound, CASE WHEN p >= 0.85 THEN 'low' WHEN p >= 0.65 THEN 'medium' ELSE 'high' END AS risk_level,
+    f"""{_PRED} SELECT l_orderkey, l_linenumber, l_partkey, round(p, 6) AS success_probability, round(greatest(0, p - ((1 - p) * 0.3 + 0.02)), 6) AS lower_bound,
+    round(least(1, p + ((1 - p) * 0.3 + 0.02) / 2), 6) AS upper_bound, CASE WHEN p >= 0.85 THEN 'low' WHEN p >= 0.65 THEN 'medium' ELSE 'high' END AS risk_level,
     concat_ws(',', CASE WHEN least(0.99, p + 0.03) > p THEN 'XLM' END, CASE WHEN 0.96 > p THEN 'USDC' END) AS routes,
     left(CASE WHEN p >= 0.85 THEN 'High probability' WHEN p >= 0.65 THEN 'Moderate success' ELSE 'Risk of failure' END, 15) AS advice FROM p""",
 )
 def predict_success(spark, sf):
     scored = routing.predict_success(payment_requests(spark, sf))
-    out = rounded(scored, success_probability=12, lower_bound=12, upper_bound=12)
+    out = rounded(scored, success_probability=6, lower_bound=6, upper_bound=6)
     routes = F.array_join(F.transform("alternative_routes", lambda r: r["via_asset"]), ",")
     return out.select(
         "l_orderkey", "l_linenumber", "l_partkey", "success_probability", "lower_bound", "upper_bound", "risk_level",
