@@ -39,14 +39,27 @@ def to_fixed(col, digits: int) -> Column:
 
 
 def exact_sum(col) -> Column:
-    """Order-independent sum: decimal partial sums are associative."""
-    return F.sum(_c(col).cast(EXACT))
+    """Order-independent sum of a double column, as double.
+
+    Floating sums depend on the order of partial results. Here every value is
+    split into its whole part and a 40-bit fraction (two 20-bit halves), and the
+    three integers are summed as longs: associative, so any partitioning gives
+    the same bits, and as cheap as a plain sum because the hash aggregate keeps
+    long buffers. Resolution is 2**-40; a total beyond 9.2e18 raises an overflow
+    error instead of wrapping.
+    """
+    value = _c(col).cast("double")
+    whole = F.floor(value)
+    fraction = F.floor((value - whole) * float(1 << 40) + 0.5)
+    upper, lower = F.shiftright(fraction, 20), fraction.bitwiseAND(F.lit((1 << 20) - 1))
+    fractions = F.sum(upper).cast("double") * float(1 << 20) + F.sum(lower).cast("double")
+    return F.sum(whole).cast("double") + fractions / float(1 << 40)
 
 
 def exact_avg(col) -> Column:
     """Order-independent mean of the non-null values, as double."""
     value = _c(col)
-    return F.try_divide(exact_sum(value).cast("double"), F.count(value).cast("double"))
+    return F.try_divide(exact_sum(value), F.count(value).cast("double"))
 
 
 def compact(col) -> Column:

@@ -119,7 +119,7 @@ def counter_rate(samples: DataFrame, keys: list[str], order: list[str], window:
     return (
         scanned.where(F.col("_prev").isNotNull())
         .groupBy(*keys, F.window("ts", window)["start"].alias("window_start"))
-        .agg((exact_sum(step).cast("double") / seconds).alias("rate"))
+        .agg((exact_sum(step) / seconds).alias("rate"))
     )
 
 
@@ -142,7 +142,7 @@ def request_panels(logs: DataFrame, time: str = "event_time", window: str = "5 m
         .groupBy(F.window(time, window)["start"].alias("window_start"), F.col("http_path").alias("endpoint"), F.col("http_method").alias("method"))
         .agg(
             (F.count("*") / seconds).alias("rate"),
-            (exact_sum("response_time_ms").cast("double") / F.greatest(F.count("response_time_ms").cast("double"), F.lit(CLAMP))).alias("mean_latency_ms"),
+            (exact_sum("response_time_ms") / F.greatest(F.count("response_time_ms").cast("double"), F.lit(CLAMP))).alias("mean_latency_ms"),
         )
     )
 

@@ -71,7 +71,7 @@ def reliability_history(payments: DataFrame, ceiling_ms: float = 60_000) -> Data
 
 def asset_distribution(assets: DataFrame) -> DataFrame:
     """Share of 24 h volume per asset, positive volumes only, largest first."""
-    total = assets.agg(exact_sum("volume_24h_usd").cast("double")).scalar()
+    total = assets.agg(exact_sum("volume_24h_usd")).scalar()
     share = F.coalesce(safe_div(F.col("volume_24h_usd"), F.nullif(total, F.lit(0.0))) * 100, F.lit(0.0))
     return (
         assets.withColumn("share_pct", share)

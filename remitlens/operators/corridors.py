@@ -53,11 +53,11 @@ def corridor_metrics(payments: DataFrame, as_of: datetime) -> DataFrame:
         ok.alias("successful_payments"),
         (total - ok).alias("failed_payments"),
         pct(ok, total).alias("success_rate"),
-        safe_div(F.sum(F.col("latency_ms").cast("decimal(38,6)") * F.col("n")), total).alias("average_latency_ms"),
+        safe_div(exact_sum(F.col("latency_ms") * F.col("n")), total).alias("average_latency_ms"),
         p.alias("_p"),
-        F.sum("volume").cast("double").alias("liquidity_depth_usd"),
-        F.coalesce(F.sum("volume_24h").cast("double"), F.lit(0.0)).alias("liquidity_volume_24h_usd"),
-        safe_div(F.sum("slippage"), total).alias("average_slippage_bps"),
+        exact_sum("volume").alias("liquidity_depth_usd"),
+        F.coalesce(exact_sum("volume_24h"), F.lit(0.0)).alias("liquidity_volume_24h_usd"),
+        safe_div(exact_sum("slippage"), total).alias("average_slippage_bps"),
         F.max("last").alias("last_updated"),
     )
     return metrics.select(
@@ -106,18 +106,18 @@ def dashboard_kpis(corridors: DataFrame) -> DataFrame:
     return corridors.agg(
         F.coalesce(F.round(exact_avg(F.coalesce(F.col("success_rate"), F.lit(0.0))), 1), F.lit(0.0)).alias("success_rate"),
         F.count("*").alias("active_corridors"),
-        F.coalesce(exact_sum("liquidity_volume_24h_usd").cast("double"), F.lit(0.0)).alias("total_volume"),
+        F.coalesce(exact_sum("liquidity_volume_24h_usd"), F.lit(0.0)).alias("total_volume"),
         F.coalesce(F.round(exact_avg("average_latency_ms") / 1000, 2), F.lit(0.0)).alias("settlement_seconds"),
     )
 
 
 def analytics_totals(corridors: DataFrame) -> DataFrame:
     return corridors.agg(
-        F.coalesce(exact_sum("liquidity_volume_24h_usd").cast("double"), F.lit(0.0)).alias("total_volume_usd"),
+        F.coalesce(exact_sum("liquidity_volume_24h_usd"), F.lit(0.0)).alias("total_volume_usd"),
         F.coalesce(exact_avg("success_rate"), F.lit(0.0)).alias("avg_success_rate"),
         F.count("*").alias("active_corridors"),
         F.coalesce(F.sum("total_attempts"), F.lit(0)).alias("total_transactions"),
-        F.coalesce(exact_sum("liquidity_depth_usd").cast("double"), F.lit(0.0)).alias("total_liquidity_usd"),
+        F.coalesce(exact_sum("liquidity_depth_usd"), F.lit(0.0)).alias("total_liquidity_usd"),
     )
 
 
@@ -146,7 +146,7 @@ def corridor_history(payments: DataFrame) -> DataFrame:
     return payments.groupBy("corridor", F.to_date("ts").alias("date")).agg(
         F.count("*").alias("attempts"),
         pct(F.count_if("successful"), F.count("*")).alias("success_rate"),
-        exact_sum("amount_usd").cast("double").alias("volume_usd"),
+        exact_sum("amount_usd").alias("volume_usd"),
         exact_avg("slippage_bps").alias("average_slippage_bps"),
     )
 

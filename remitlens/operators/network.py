@@ -15,7 +15,7 @@ def _date(ts: str = "ts") -> Column:
 
 
 def daily_payment_volume(payments: DataFrame) -> DataFrame:
-    return payments.groupBy(_date()).agg(exact_sum("amount_usd").cast("double").alias("volume"))
+    return payments.groupBy(_date()).agg(exact_sum("amount_usd").alias("volume"))
 
 
 def daily_active_accounts(payments: DataFrame, approximate: bool = False) -> DataFrame:
@@ -47,7 +47,7 @@ def fee_trends(payments: DataFrame) -> DataFrame:
 def daily_liquidity(points: DataFrame, value: str = "liquidity_usd") -> DataFrame:
     """Sum over all corridors per date, rounded, in date order."""
     return (
-        points.groupBy(_date()).agg(js_round(exact_sum(value).cast("double")).alias("liquidity_usd")).orderBy("date")
+        points.groupBy(_date()).agg(js_round(exact_sum(value)).alias("liquidity_usd")).orderBy("date")
     )
 
 
@@ -56,7 +56,7 @@ def series_summary(series: DataFrame, value: str, date: str = "date") -> DataFra
     zero = F.lit(0.0)
     number = F.col(value).cast("double")
     return series.agg(
-        F.coalesce(exact_sum(number).cast("double"), zero).alias("total"),
+        F.coalesce(exact_sum(number), zero).alias("total"),
         F.coalesce(F.max(number), zero).alias("peak"),
         F.coalesce(F.max_by(number, F.col(date)), zero).alias("latest"),
         F.coalesce(exact_avg(number), zero).alias("average"),
@@ -112,9 +112,9 @@ def gas_usage(events: DataFrame, end: datetime, length: timedelta, gas: str = "g
     """Total and mean gas of the window and the change of the total."""
     now, before = _two_windows(end, length)
     sums = events.where(now | before).agg(
-        F.coalesce(exact_sum(F.when(now, F.col(gas))).cast("double"), F.lit(0.0)).alias("total_gas"),
+        F.coalesce(exact_sum(F.when(now, F.col(gas))), F.lit(0.0)).alias("total_gas"),
         exact_avg(F.when(now, F.col(gas))).alias("average_gas"),
-        F.coalesce(exact_sum(F.when(before, F.col(gas))).cast("double"), F.lit(0.0)).alias("previous_gas"),
+        F.coalesce(exact_sum(F.when(before, F.col(gas))), F.lit(0.0)).alias("previous_gas"),
     )
     change = trend(F.col("total_gas"), F.col("previous_gas"))
     return sums.select("*", change.alias("trend_pct"), direction(change).alias("direction"))
@@ -136,7 +136,7 @@ def tvl_history(pool_snapshots: DataFrame) -> DataFrame:
     last = pool_snapshots.groupBy("pool", F.to_date("snapshot_at").alias("date")).agg(
         F.max_by("tvl_usd", F.struct("snapshot_at", "tvl_usd")).alias("tvl_usd")
     )
-    return last.groupBy("date").agg(exact_sum("tvl_usd").cast("double").alias("tvl_usd"))
+    return last.groupBy("date").agg(exact_sum("tvl_usd").alias("tvl_usd"))
 
 
 def latest_ledger(operations: DataFrame) -> DataFrame:

@@ -14,9 +14,9 @@ from remitlens.functions.numbers import compact_intl, exact_avg, exact_sum, plai
 def pool_stats(pools: DataFrame) -> DataFrame:
     return pools.agg(
         F.count("*").alias("pools"),
-        F.coalesce(exact_sum("tvl_usd").cast("double"), F.lit(0.0)).alias("tvl_usd"),
-        F.coalesce(exact_sum("volume_24h_usd").cast("double"), F.lit(0.0)).alias("volume_24h_usd"),
-        F.coalesce(exact_sum("fees_24h_usd").cast("double"), F.lit(0.0)).alias("fees_24h_usd"),
+        F.coalesce(exact_sum("tvl_usd"), F.lit(0.0)).alias("tvl_usd"),
+        F.coalesce(exact_sum("volume_24h_usd"), F.lit(0.0)).alias("volume_24h_usd"),
+        F.coalesce(exact_sum("fees_24h_usd"), F.lit(0.0)).alias("fees_24h_usd"),
         F.coalesce(exact_avg("apy"), F.lit(0.0)).alias("average_apy"),
         F.coalesce(exact_avg("impermanent_loss_pct"), F.lit(0.0)).alias("average_impermanent_loss"),
     )
@@ -67,10 +67,10 @@ def asset_insights(transfers: DataFrame, as_of: datetime) -> DataFrame:
         )
     )
     totals = holders.groupBy("asset_code").agg(
-        F.sum("held").alias("supply"),
+        exact_sum("held").alias("supply"),
         F.max("held").alias("largest"),
         F.count_if(F.col("joined") > since).alias("holder_growth_30d"),
-        F.coalesce(F.sum("recent").cast("double"), F.lit(0.0)).alias("transfer_volume_30d"),
+        F.coalesce(exact_sum("recent"), F.lit(0.0)).alias("transfer_volume_30d"),
         F.count("*").alias("total_trustlines"),
         F.min("joined").alias("first"),
     )

@@ -1,7 +1,7 @@
 """Corridor snapshots, historical replay and snapshot digests.
 
-Sums are decimal, so a replay gives the same bytes for any partitioning and any
-input order. Nothing here reads a clock.
+Sums are order-independent, so a replay gives the same bytes for any partitioning
+and any input order. Nothing here reads a clock.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.errors import AnalyticsError, EmptyInput, InvalidRange
-from remitlens.functions.numbers import canonical_number, exact_avg, exact_sum
+from remitlens.functions.numbers import canonical_number, exact_sum, safe_div
 
 # Fixed value: version text pinned into every payload.
 MODEL_VERSION = "reliability-v2025.01"
@@ -26,20 +26,37 @@ def filter_ledger_range(rows: DataFrame, start: int, end: int) -> DataFrame:
 def generate_snapshot(rows: DataFrame, by_network: bool = False, require_rows: bool = False) -> DataFrame:
     """One record per corridor.
 
-    ``source`` is that of the lowest ledger row; rows of the same ledger are
-    ordered by their remaining columns. ``by_network`` keeps networks apart
-    instead of merging them under one corridor.
+    ``source`` is that of the lowest ledger row, the smaller source when a
+    ledger has several. ``by_network`` keeps networks apart instead of merging
+    them under one corridor.
+
+    The rows are reduced per (corridor, source) with numeric buffers only, which
+    keeps the big aggregation hash-based and map-side; picking the source works
+    on one row per corridor and source.
     """
     if require_rows and rows.isEmpty():
         raise EmptyInput("snapshot input is empty")
-    keys = ["corridor", "source"] if by_network else ["corridor"]
-    first = F.min(F.struct("ledger_sequence", "source", "reliability", "volume", "latency_ms"))
-    columns = [] if by_network else [first.getField("source").alias("source")]
-    return rows.groupBy(*keys).agg(
-        *columns,
-        exact_avg("reliability").alias("avg_reliability"),
-        exact_sum("volume").cast("double").alias("total_volume"),
-        exact_avg("latency_ms").alias("avg_latency_ms"),
+    parts = rows.groupBy("corridor", "source").agg(
+        F.min("ledger_sequence").alias("_first"),
+        F.count("reliability").alias("_n"),
+        F.count("latency_ms").alias("_m"),
+        exact_sum("reliability").alias("_reliability"),
+        exact_sum("volume").alias("_volume"),
+        exact_sum("latency_ms").alias("_latency"),
+    )
+    if by_network:
+        return parts.select(
+            "corridor",
+            "source",
+            safe_div("_reliability", "_n").alias("avg_reliability"),
+            F.col("_volume").alias("total_volume"),
+            safe_div("_latency", "_m").alias("avg_latency_ms"),
+        )
+    return parts.groupBy("corridor").agg(
+        F.min(F.struct("_first", "source")).getField("source").alias("source"),
+        safe_div(exact_sum("_reliability"), F.sum("_n")).alias("avg_reliability"),
+        exact_sum("_volume").alias("total_volume"),
+        safe_div(exact_sum("_latency"), F.sum("_m")).alias("avg_latency_ms"),
     )
 
 

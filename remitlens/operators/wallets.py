@@ -39,8 +39,8 @@ def wallet_portfolio(holdings: DataFrame, transfers: DataFrame, prices: DataFram
     now = F.col("amount") * F.col("price_usd")
     before = F.col("amount") * F.coalesce(F.col("price_24h_ago"), F.col("price_usd"))
     value = priced.groupBy("wallet").agg(
-        exact_sum(now).cast("double").alias("total_value_usd"),
-        exact_sum(before).cast("double").alias("_before"),
+        exact_sum(now).alias("total_value_usd"),
+        exact_sum(before).alias("_before"),
         F.count_if(F.col("amount") > 0).alias("asset_count"),
     )
     recent = (F.col("ts") > F.lit(as_of - timedelta(days=30))) & (F.col("ts") <= F.lit(as_of))
@@ -64,7 +64,7 @@ def wallet_portfolio(holdings: DataFrame, transfers: DataFrame, prices: DataFram
 def wallet_allocation(holdings: DataFrame, value: str = "value_usd") -> DataFrame:
     """Share of each asset in its wallet. Totals are aggregated and joined, so one
     wallet with very many assets does not end up in a single window task."""
-    totals = holdings.groupBy("wallet").agg(exact_sum(value).cast("double").alias("_total"))
+    totals = holdings.groupBy("wallet").agg(exact_sum(value).alias("_total"))
     return holdings.join(totals, "wallet").select(
         *holdings.columns, pct(F.col(value), F.nullif("_total", F.lit(0.0))).alias("allocation_pct")
     )
@@ -82,7 +82,8 @@ def activity_summary(activity: DataFrame, key: str = "wallet") -> DataFrame:
         F.coalesce(F.sum("count"), F.lit(0)).alias("total"),
         F.count_if(busy).alias("active_days"),
         F.coalesce(F.round(safe_div(F.sum("count"), F.nullif(F.count_if(busy), F.lit(0))), 1), F.lit(0.0)).alias("mean_per_active_day"),
-        F.max_by("date", F.struct("count", F.negative(F.unix_date("date")))).alias("busiest_day"),
+        # one long orders by count, then by the earlier day, and keeps the aggregate hash-based
+        F.max_by("date", F.col("count") * 10_000_000 - F.unix_date("date")).alias("busiest_day"),
     )
 
 
@@ -119,7 +120,7 @@ def calendar_grid(activity: DataFrame, as_of: date, key: str) -> DataFrame:
 
 def balance_history(points: DataFrame) -> DataFrame:
     """Total balance per wallet and time over all assets."""
-    return points.groupBy("wallet", "ts").agg(exact_sum("balance").cast("double").alias("total"))
+    return points.groupBy("wallet", "ts").agg(exact_sum("balance").alias("total"))
 
 
 def balance_summary(history: DataFrame) -> DataFrame:

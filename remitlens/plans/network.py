@@ -176,7 +176,7 @@ def asset_daily(spark, sf):
         F.col("p_brand").alias("asset_code"), F.col("p_type").alias("asset_issuer"), F.col("l_shipdate").alias("ts")
     ).agg(
         F.round(exact_avg(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias("price"),
-        F.round(exact_sum("l_extendedprice").cast("double"), 4).alias("volume"),
+        F.round(exact_sum("l_extendedprice"), 4).alias("volume"),
         F.countDistinct("l_suppkey").alias("holders"),
     )
 

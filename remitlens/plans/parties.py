@@ -44,7 +44,7 @@ def anchor_frame(spark, sf):
             F.count("amount_usd").alias("total_transactions"),
             F.count_if("successful").alias("successful_transactions"),
             exact_avg("latency_ms").alias("avg_settlement_time_ms"),
-            F.coalesce(exact_sum("amount_usd").cast("double"), F.lit(0.0)).alias("total_volume_usd"),
+            F.coalesce(exact_sum("amount_usd"), F.lit(0.0)).alias("total_volume_usd"),
         )
         .join(parts, "dest_account", "left")
     )
@@ -135,7 +135,7 @@ def asset_distribution(spark, sf):
         table(spark, sf, "lineitem")
         .join(part, F.expr("l_partkey = p_partkey"))
         .groupBy(F.col("p_brand").alias("asset_code"))
-        .agg(F.coalesce(F.round(exact_sum(F.when(F.col("l_returnflag") == "N", F.col("l_extendedprice"))).cast("double"), 4), F.lit(0.0)).alias("volume_24h_usd"))
+        .agg(F.coalesce(F.round(exact_sum(F.when(F.col("l_returnflag") == "N", F.col("l_extendedprice"))), 4), F.lit(0.0)).alias("volume_24h_usd"))
     )
     return rounded(anc.asset_distribution(volumes), share_pct=6)
 
@@ -198,7 +198,7 @@ def graph_corridors(spark, sf):
         F.col("p_brand").alias("source_asset_code"),
         F.col("p_type").alias("source_asset_issuer"),
     ).agg(
-        F.round(exact_sum("l_extendedprice").cast("double"), 4).alias("volume_usd"),
+        F.round(exact_sum("l_extendedprice"), 4).alias("volume_usd"),
         F.round(100.0 * F.count_if(F.col("l_returnflag") != "R") / F.count("*"), 6).alias("success_rate"),
         F.max("p_size").cast("double").alias("liquidity_score"),
     )
@@ -234,7 +234,7 @@ def holdings(spark, sf):
     return (
         payments(spark, sf, "source_account", "asset", "amount_usd")
         .groupBy(F.col("source_account").alias("wallet"), "asset")
-        .agg(F.round(exact_sum("amount_usd").cast("double"), 4).alias("amount"))
+        .agg(F.round(exact_sum("amount_usd"), 4).alias("amount"))
     )
 
 
@@ -326,7 +326,7 @@ def balances(spark, sf):
     points = (
         payments(spark, sf, "source_account", "asset", "ts", "amount_usd")
         .groupBy(F.col("source_account").alias("wallet"), "asset", "ts")
-        .agg(F.round(exact_sum("amount_usd").cast("double"), 4).alias("balance"))
+        .agg(F.round(exact_sum("amount_usd"), 4).alias("balance"))
     )
     return rounded(wallets.balance_history(points), total=4)
 
@@ -336,9 +336,9 @@ def wallet_balance_history(spark, sf):
     return balances(spark, sf)
 
 
-@query("wallet_balance_summary", f"{_BAL} SELECT wallet, arg_max(total, ts) AS current, {davg('total')} AS average, max(total) AS highest, min(total) AS lowest FROM h GROUP BY 1")
+@query("wallet_balance_summary", f"{_BAL} SELECT wallet, arg_max(total, ts) AS current, {davg('total', 10)} AS average, max(total) AS highest, min(total) AS lowest FROM h GROUP BY 1")
 def wallet_balance_summary(spark, sf):
-    return rounded(wallets.balance_summary(balances(spark, sf)), average=6)
+    return rounded(wallets.balance_summary(balances(spark, sf)), average=10)
 
 
 @query(

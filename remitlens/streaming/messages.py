@@ -120,7 +120,7 @@ def payment_rollup(payments: DataFrame, window: str = "1 day", watermark: str =
         .agg(
             F.count("*").alias("payments"),
             F.count_if(~F.col("successful")).alias("failures"),
-            exact_sum("amount_usd").cast("double").alias("volume_usd"),
+            exact_sum("amount_usd").alias("volume_usd"),
         )
         .select(F.col("w.start").alias("window_start"), "corridor", "payments", "failures", "volume_usd")
     )
