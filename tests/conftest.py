@@ -22,3 +22,5 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+import sys, os
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
