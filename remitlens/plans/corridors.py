@@ -244,7 +244,7 @@ def union_time_axis(spark, sf):
 
 @query(
     "related_corridors",
-    f"{_WITH} SELECT corridor, success_rate, health_score FROM m WHERE source_asset = 'NATION_1' AND corridor <> '{_COMPARED[1]}'",
+    f"{_WITH} SELECT corridor, success_rate, health_score FROM m WHERE source_asset IN (SELECT source_asset FROM m WHERE corridor = '{_COMPARED[1]}') AND corridor <> '{_COMPARED[1]}'",
 )
 def related_corridors(spark, sf):
     return op.related_corridors(metrics(spark, sf), _COMPARED[1]).select("corridor", "success_rate", "health_score")

@@ -251,7 +251,7 @@ def prices(spark, sf):
 @query(
     "wallet_portfolio",
     f"""{_WALLET}, b AS (SELECT asset, arg_max(price, ts) AS p, arg_max(price, ts) FILTER (ts <= {AS_OF_SQL} - INTERVAL 24 HOUR) AS q FROM price WHERE ts <= {AS_OF_SQL} GROUP BY 1),
-    v AS (SELECT wallet, {dsum('amount * p', 6)} AS v1, {dsum('amount * coalesce(q, p)', 6)} AS v0, count(*) FILTER (amount > 0) AS n FROM hold JOIN b USING (asset) GROUP BY 1),
+    v AS (SELECT wallet, CAST(sum(CAST(amount * p AS DECIMAL(38,12))) AS DOUBLE) AS v1, CAST(sum(CAST(amount * coalesce(q, p) AS DECIMAL(38,12))) AS DOUBLE) AS v0, count(*) FILTER (amount > 0) AS n FROM hold JOIN b USING (asset) GROUP BY 1),
     t AS (SELECT source_account AS wallet, count(*) FILTER (ts > {AS_OF_SQL} - INTERVAL 30 DAY) AS c, max(ts) AS l FROM payments WHERE ts <= {AS_OF_SQL} GROUP BY 1)
     SELECT wallet, round(v1, 3) AS total_value_usd, round(v1 - v0, 3) AS change_24h_usd, round((v1 - v0) / nullif(v0, 0) * 100, 4) AS change_24h_pct, n AS asset_count,
     coalesce(c, 0) AS transactions_30d, l AS last_activity FROM v LEFT JOIN t USING (wallet)""",
@@ -336,9 +336,9 @@ def wallet_balance_history(spark, sf):
     return balances(spark, sf)
 
 
-@query("wallet_balance_summary", f"{_BAL} SELECT wallet, arg_max(total, ts) AS current, {davg('total', 10)} AS average, max(total) AS highest, min(total) AS lowest FROM h GROUP BY 1")
+@query("wallet_balance_summary", f"{_BAL} SELECT wallet, arg_max(total, ts) AS current, {davg('total', 9)} AS average, max(total) AS highest, min(total) AS lowest FROM h GROUP BY 1")
 def wallet_balance_summary(spark, sf):
-    return rounded(wallets.balance_summary(balances(spark, sf)), average=10)
+    return rounded(wallets.balance_summary(balances(spark, sf)), average=9)
 
 
 @query(
