@@ -83,7 +83,9 @@ def asset_distribution(assets: DataFrame) -> DataFrame:
 def muxed_usage(payments: DataFrame) -> DataFrame:
     """Payments per muxed address as source, as destination and in total, with the base account.
 
-    Only muxed addresses survive the explode, and counting combines map-side.
+    Only muxed addresses survive the explode. Counting by address and base
+    account first keeps that large aggregate on numeric buffers; the base account
+    is picked from the few rows that are left of each address.
     """
     side = F.inline(
         F.array(
@@ -94,12 +96,14 @@ def muxed_usage(payments: DataFrame) -> DataFrame:
     sides = payments.select(side)
     return (
         sides.where(addresses.is_muxed_address(F.col("address")))
+        .groupBy("address", "base_account")
+        .agg(F.sum("sent").alias("sent"), F.sum("received").alias("received"))
         .groupBy("address")
         .agg(
             F.max("base_account").alias("base_account"),
             F.sum("sent").alias("as_source"),
             F.sum("received").alias("as_destination"),
-            F.count("*").alias("total_payments"),
+            F.sum(F.col("sent") + F.col("received")).alias("total_payments"),
         )
     )
 
@@ -132,7 +136,9 @@ def graph_nodes(anchors: DataFrame, corridors: DataFrame) -> DataFrame:
     )
     asset_nodes = (
         linked(corridors)
-        .groupBy(asset_id().alias("id"))
+        .select(asset_id().alias("id"), "source_asset_code", "source_asset_issuer")
+        .distinct()
+        .groupBy("id")
         .agg(F.min(F.struct("source_asset_code", "source_asset_issuer")).alias("first"))
         .join(anchor_nodes.select("id"), "id", "left_anti")
         .select(

@@ -226,7 +226,8 @@ def best_worst(corridors: DataFrame, metrics: dict[str, bool] | None = None) ->
 def relative_band(corridors: DataFrame, metric: str, out: str = "band") -> DataFrame:
     """Band of value / maximum; a maximum of 0 counts as 1."""
     top = corridors.agg(F.coalesce(F.nullif(F.max(metric), F.lit(0.0)), F.lit(1.0))).scalar()
-    return corridors.withColumn(out, bands.volume_heat(F.col(metric) / top))
+    # one column for the share, so that the maximum is looked up once per row and not once per band
+    return corridors.withColumn("_share", F.col(metric) / top).withColumn(out, bands.volume_heat(F.col("_share"))).drop("_share")
 
 
 def corridor_matrix(corridors: DataFrame, order: str) -> DataFrame:

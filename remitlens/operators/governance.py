@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from remitlens.functions.numbers import pct
 from remitlens.operators.scans import global_rank
+from remitlens.session import broadcast_if_small
 
 # Quests with their category, experience points and the pages that complete them.
 QUESTS = [
@@ -72,6 +73,18 @@ def vote_breakdown(counts: DataFrame) -> DataFrame:
     )
 
 
+def top_voters(votes: DataFrame, limit: int = 10) -> DataFrame:
+    """Voters by number of proposals voted on."""
+    return (
+        votes.select("voter", "proposal_id")
+        .distinct()
+        .groupBy("voter")
+        .agg(F.count("*").alias("proposals"))
+        .orderBy(F.desc("proposals"), "voter")
+        .limit(limit)
+    )
+
+
 def turnout(counts: DataFrame, eligible: int | None = None) -> DataFrame:
     votes = F.col("votes_for") + F.col("votes_against") + F.col("votes_abstain")
     share = pct(F.col("voters"), F.lit(eligible)) if eligible else F.lit(None).cast("double")
@@ -119,10 +132,10 @@ def _any_prefix(paths: list[str]):
 def quest_scores(progress: DataFrame, quests: DataFrame) -> DataFrame:
     """Experience, completed quests and defi quests per user; an unknown quest gives 0 points.
 
-    The quest list is a fixed ten-row table, so it is broadcast.
+    The quest list is broadcast after a size check.
     """
     return (
-        progress.join(F.broadcast(quests), "quest_id", "left")
+        progress.join(broadcast_if_small(quests), "quest_id", "left")
         .groupBy("user_id")
         .agg(
             F.coalesce(F.sum("xp"), F.lit(0)).alias("xp"),

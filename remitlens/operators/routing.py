@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.functions.numbers import safe_div, to_fixed
@@ -77,45 +77,59 @@ def convert(amounts: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def route_costs(requests: DataFrame, routes: DataFrame) -> DataFrame:
-    """Cost breakdown of every request and route.
+def with_routes(requests: DataFrame, routes: DataFrame) -> DataFrame:
+    """Attach the routes on offer to each request as one array.
 
-    ``routes`` lists spread and slippage in bps and the service fee in bps plus a
-    flat network fee. It is a short table (size-checked); the request carries the
-    key ``route_set`` of the routes on offer to it.
+    ``routes`` is a short price list (size-checked before it is broadcast):
+    route_set, route, spread_bps, service_bps, slippage_bps, network_fee. A request
+    names its ``route_set``. With the list in the row, costing and choosing a
+    route need no shuffle at all.
     """
-    joined = requests.join(broadcast_if_small(routes), "route_set")
-    amount, mid = F.col("source_amount"), F.col("mid_market_rate")
-    parts = joined.withColumns(
-        {
-            "spread_cost_source": amount * F.col("spread_bps") / 10000,
-            "service_fee_source": amount * F.col("service_bps") / 10000,
-            "network_fee_source": F.col("network_fee"),
-            "slippage_cost_source": amount * F.col("slippage_bps") / 10000,
-        }
-    )
-    total = F.col("spread_cost_source") + F.col("service_fee_source") + F.col("network_fee_source") + F.col("slippage_cost_source")
-    costed = parts.withColumn("total_fees_source", total).withColumns(
-        {
-            "total_fees_destination": F.col("total_fees_source") * mid,
-            "estimated_destination_amount": (amount - F.col("total_fees_source")) * mid,
-            "effective_rate": safe_div((amount - F.col("total_fees_source")) * mid, F.nullif(amount, F.lit(0.0))),
-        }
+    fields = ["route", "spread_bps", "service_bps", "slippage_bps", "network_fee"]
+    offered = routes.groupBy("route_set").agg(F.collect_list(F.struct(*fields)).alias("_routes"))
+    return requests.join(broadcast_if_small(offered), "route_set")
+
+
+def _cost(route: Column) -> Column:
+    """Cost breakdown of one route; total and name come first, so structs order by them."""
+    amount, mid, wanted = F.col("source_amount"), F.col("mid_market_rate"), F.col("destination_amount")
+    spread = amount * route["spread_bps"] / 10000
+    service = amount * route["service_bps"] / 10000
+    slippage = amount * route["slippage_bps"] / 10000
+    fees = spread + service + route["network_fee"] + slippage
+    arrives = (amount - fees) * mid
+    short = F.when(wanted.isNotNull(), F.greatest(F.lit(0.0), wanted - arrives))
+    rate = safe_div(arrives, F.nullif(amount, F.lit(0.0)))
+    return F.struct(
+        fees.alias("total_fees_source"),
+        route["route"].alias("route"),
+        spread.alias("spread_cost_source"),
+        service.alias("service_fee_source"),
+        route["network_fee"].alias("network_fee_source"),
+        slippage.alias("slippage_cost_source"),
+        (fees * mid).alias("total_fees_destination"),
+        arrives.alias("estimated_destination_amount"),
+        rate.alias("effective_rate"),
+        short.alias("destination_shortfall"),
+        safe_div(short, F.nullif(rate, F.lit(0.0))).alias("additional_source_required"),
     )
-    short = F.greatest(F.lit(0.0), F.col("destination_amount") - F.col("estimated_destination_amount"))
-    return costed.withColumns(
-        {
-            "destination_shortfall": F.when(F.col("destination_amount").isNotNull(), short),
-            "additional_source_required": F.when(
-                F.col("destination_amount").isNotNull(), safe_div(short, F.nullif("effective_rate", F.lit(0.0)))
-            ),
-        }
+
+
+def route_costs(requests: DataFrame, routes: DataFrame) -> DataFrame:
+    """One row per request and route with its cost breakdown and rank by total cost."""
+    costs = F.array_sort(F.transform("_routes", _cost))
+    priced = with_routes(requests, routes)
+    kept = [c for c in priced.columns if c != "_routes"]
+    return priced.select(*kept, F.posexplode(costs).alias("_rank", "_cost")).select(
+        *kept, (F.col("_rank") + 1).alias("rank"), "_cost.*"
     )
 
 
-def best_routes(costs: DataFrame, request: str = "request_id") -> DataFrame:
-    """Cheapest route per request, ties by name. Combined map-side, no window."""
-    return costs.groupBy(request).agg(F.min_by(F.struct("*"), F.struct("total_fees_source", "route")).alias("r")).select("r.*")
+def best_routes(requests: DataFrame, routes: DataFrame) -> DataFrame:
+    """Cheapest route per request, ties by name: the smallest struct of the row's own array."""
+    priced = with_routes(requests, routes)
+    kept = [c for c in priced.columns if c != "_routes"]
+    return priced.select(*kept, F.array_min(F.transform("_routes", _cost)).alias("_cost")).select(*kept, "_cost.*")
 
 
 def corridor_insights(history: DataFrame, as_of, weak_rate: float = 95.0) -> DataFrame:
@@ -144,7 +158,39 @@ def weak_corridor_sentence(insights: DataFrame, weak_rate: float = 95.0) -> Data
     )
 
 
-def rank_routes(costs: DataFrame) -> DataFrame:
-    """Routes of a request in cost order; a request has as many rows as routes on offer."""
-    window = Window.partitionBy("request_id").orderBy("total_fees_source", "route")
-    return costs.withColumn("rank", F.row_number().over(window))
+def anchor_insights(daily: DataFrame, as_of) -> DataFrame:
+    """Sentences on each anchor's reliability change this week and its newly supported assets.
+
+    ``daily`` has (anchor, date, attempts, successes, new_assets), one row per anchor and day.
+    """
+    age = F.datediff(F.lit(as_of.date()), "date")
+    sums = daily.where((age >= 0) & (age < 14)).groupBy("anchor").agg(
+        F.sum(F.when(age < 7, F.col("successes"))).alias("_ok1"), F.sum(F.when(age < 7, F.col("attempts"))).alias("_n1"),
+        F.sum(F.when(age >= 7, F.col("successes"))).alias("_ok0"), F.sum(F.when(age >= 7, F.col("attempts"))).alias("_n0"),
+        F.coalesce(F.sum(F.when(age < 7, F.col("new_assets"))), F.lit(0)).alias("new_assets"),
+    )
+    change = safe_div(F.col("_ok1"), F.col("_n1")) * 100 - safe_div(F.col("_ok0"), F.col("_n0")) * 100
+    rated = sums.select("anchor", change.alias("change"), "new_assets")
+    verb = F.when(F.col("change") > 0, F.lit("rose ")).when(F.col("change") < 0, F.lit("dropped ")).otherwise(F.lit("changed "))
+    reliability = F.when(
+        F.col("change").isNotNull(),
+        F.concat(F.col("anchor"), F.lit(" reliability "), verb, to_fixed(F.abs("change"), 1), F.lit("% this week")),
+    )
+    assets = F.when(
+        F.col("new_assets") > 0, F.concat(F.col("anchor"), F.lit(" now supports "), F.col("new_assets").cast("string"), F.lit(" new assets"))
+    )
+    return rated.select("anchor", "change", "new_assets", F.array_join(F.array_compact(F.array(reliability, assets)), "; ").alias("sentence"))
+
+
+def governance_insights(counts: DataFrame, eligible: int) -> DataFrame:
+    """Momentum and turnout sentence of each proposal from its vote counts."""
+    total = F.col("votes_for") + F.col("votes_against") + F.col("votes_abstain")
+    support = safe_div(F.col("votes_for"), F.nullif(total, F.lit(0))) * 100
+    turnout = safe_div(F.col("voters"), F.lit(eligible)) * 100
+    return counts.select(
+        "proposal_id",
+        F.concat(
+            F.lit("Proposal "), F.col("proposal_id").cast("string"), F.lit(" has "), to_fixed(F.coalesce(support, F.lit(0.0)), 1),
+            F.lit("% support at "), to_fixed(turnout, 1), F.lit("% turnout"),
+        ).alias("sentence"),
+    )

@@ -21,14 +21,14 @@ from remitlens.operators import reconcile as rec
 from remitlens.plans.common import EVENTS_AS_OF, EVENTS_AS_OF_SQL
 from remitlens.plans.registry import query, rounded
 from remitlens.plans.views import EVENTS, PAYMENTS, davg, dsum
-from remitlens.sources.tables import events, payments, table
+from remitlens.sources.tables import events, payments, spread, table
 
 # ---- contract events -----------------------------------------------------------------------------
 # The property k of an event decides which field of its envelope is damaged, and the type which rule.
 
 
 def envelopes(spark, sf):
-    return envelopes_of(events(spark, sf))
+    return envelopes_of(spread(events(spark, sf), "event_id"))
 
 
 def envelopes_of(rows):

@@ -12,7 +12,7 @@ from remitlens.plans import operations
 from remitlens.plans.registry import query, rounded
 from remitlens.plans.views import EVENTS, PAYMENTS, dsum
 from remitlens.sources import payloads, schemas, sinks
-from remitlens.sources.tables import events, payments, table
+from remitlens.sources.tables import events, payments, spread, table
 from remitlens.streaming import jobs
 from remitlens.streaming import messages as msg
 
@@ -70,7 +70,7 @@ def read_trades(spark, sf):
 
 @query(
     "read_orderbook",
-    """WITH l AS (SELECT 'S' || l_suppkey AS base_asset, CASE WHEN l_linestatus = 'O' THEN 'bid' ELSE 'ask' END AS side, l_extendedprice AS price, l_quantity AS amount, l_orderkey, l_linenumber, l_partkey FROM lineitem)
+    """WITH l AS (SELECT 'S' || l_orderkey AS base_asset, CASE WHEN l_linestatus = 'O' THEN 'bid' ELSE 'ask' END AS side, l_extendedprice AS price, l_quantity AS amount, l_orderkey, l_linenumber, l_partkey FROM lineitem)
     SELECT base_asset, 'XLM' AS counter_asset, side, CAST(row_number() OVER (PARTITION BY base_asset, side ORDER BY price, amount, l_orderkey, l_linenumber, l_partkey) - 1 AS INTEGER) AS level, price, amount FROM l""",
 )
 def read_orderbook(spark, sf):
@@ -84,10 +84,10 @@ def read_orderbook(spark, sf):
             kept, lambda e: F.struct(F.format_string("%.7f", e["p"]).alias("price"), F.format_string("%.7f", e["q"]).alias("amount"))
         )
 
-    # a book is one document of one market; its size is the depth of that market
-    books = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(side("O").alias("bids"), side("F").alias("asks"))
+    # one book per order: a handful of levels each
+    books = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(side("O").alias("bids"), side("F").alias("asks"))
     text = books.select(
-        F.to_json(F.struct("bids", "asks", F.struct(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("asset_code")).alias("base"))).alias("value")
+        F.to_json(F.struct("bids", "asks", F.struct(F.concat(F.lit("S"), F.col("l_orderkey").cast("string")).alias("asset_code")).alias("base"))).alias("value")
     )
     levels = payloads.orderbook(payloads.parse_pages(text, schemas.ORDERBOOK))
     return levels.select("base_asset", "counter_asset", "side", "level", F.col("price").cast("double").alias("price"), F.col("amount").cast("double").alias("amount"))
@@ -144,7 +144,7 @@ def message_text(spark, sf):
         .when((k == 94) & (kind == "click"), F.regexp_replace(encoded, '"success_rate":94', '"success_rate":"94"'))
         .when(k == 93, F.lit("{broken"))
     )
-    return events(spark, sf).select(
+    return spread(events(spark, sf), "event_id").select(
         "event_id", F.col("ts").alias("received_at"), user.alias("connection"), F.coalesce(damaged, encoded).alias("value")
     )
 

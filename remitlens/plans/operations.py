@@ -15,7 +15,7 @@ from remitlens.plans import parties
 from remitlens.plans.common import AS_OF, AS_OF_SQL, EVENTS_AS_OF, EVENTS_AS_OF_SQL
 from remitlens.plans.registry import query, rounded
 from remitlens.plans.views import EVENTS, PAYMENTS, davg, dsum
-from remitlens.sources.tables import events, payments, table
+from remitlens.sources.tables import events, payments, spread, table
 
 # ---- logs ----------------------------------------------------------------------------------------
 
@@ -143,7 +143,7 @@ def _redacted_sql(column: str) -> str:
 
 @query("redact_documents", f"SELECT doc_id, {_redacted_sql('text')} AS text FROM documents")
 def redact_documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", redaction.redact_text(F.col("text"), ssn=True).alias("text"))
+    return spread(table(spark, sf, "documents"), "doc_id").select("doc_id", redaction.redact_text(F.col("text"), ssn=True).alias("text"))
 
 
 @query("redact_conversations", f"SELECT conv_id, turn, {_redacted_sql('text')} AS text FROM conversations")
@@ -632,36 +632,48 @@ def convert_amounts(spark, sf):
     return rounded(routing.convert(amounts, prices), rate=9, converted_amount=4)
 
 
-_ROUTES = [("all", "stellar_dex", 20.0, 5.0, 10.0, 0.5), ("all", "anchor_direct", 5.0, 30.0, 0.0, 12.0), ("all", "liquidity_pool", 12.0, 8.0, 25.0, 0.5)]
-_COSTS = f"""WITH rt(route, spread, service, slip, net) AS (VALUES {', '.join(str(r[1:]) for r in _ROUTES)}),
-  q AS (SELECT o_orderkey AS request_id, o_totalprice AS a, 1.1::DOUBLE AS mid, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 1.098 END AS want, route, a * spread::DOUBLE / 10000 + a * service::DOUBLE / 10000 + net::DOUBLE + a * slip::DOUBLE / 10000 AS fees FROM orders, rt),
+_ROUTES = [
+    (status, route, spread_bps + extra, service, slip, net)
+    for status, extra in (("F", 0.0), ("O", 2.5), ("P", 7.0))
+    for route, spread_bps, service, slip, net in (
+        ("stellar_dex", 20.0, 5.0, 10.0, 0.5), ("anchor_direct", 5.0, 30.0, 0.0, 12.0), ("liquidity_pool", 12.0, 8.0, 25.0, 0.5)
+    )
+]
+_COSTS = f"""WITH rt(route_set, route, spread, service, slip, net) AS (VALUES {', '.join(str(r) for r in _ROUTES)}),
+  q AS (SELECT o_orderkey AS request_id, o_totalprice AS a, 1.1::DOUBLE AS mid, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 1.098 END AS want, route, a * spread::DOUBLE / 10000 + a * service::DOUBLE / 10000 + net::DOUBLE + a * slip::DOUBLE / 10000 AS fees FROM orders JOIN rt ON route_set = o_orderstatus),
   c AS (SELECT *, (a - fees) * mid AS est FROM q)"""
 
 
-def quotes(spark, sf):
-    table_routes = spark.createDataFrame(
-        _ROUTES, "route_set string, route string, spread_bps double, service_bps double, slippage_bps double, network_fee double"
-    )
-    requests = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("request_id"), F.lit("all").alias("route_set"), F.col("o_totalprice").alias("source_amount"),
+def quote_requests(spark, sf):
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("request_id"), F.col("o_orderstatus").alias("route_set"), F.col("o_totalprice").alias("source_amount"),
         F.lit(1.1).alias("mid_market_rate"), F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") * 1.098).alias("destination_amount"),
     )
-    return routing.route_costs(requests, table_routes)
+
+
+def route_list(spark):
+    return spark.createDataFrame(
+        _ROUTES, "route_set string, route string, spread_bps double, service_bps double, slippage_bps double, network_fee double"
+    )
 
 
 @query(
     "compare_routes",
-    f"""{_COSTS} SELECT request_id, route, round(fees, 7) AS total_fees_source, round(est, 7) AS estimated_destination_amount,
-    round(CASE WHEN want IS NOT NULL THEN greatest(0, want - est) END, 7) AS destination_shortfall FROM c""",
+    f"""{_COSTS} SELECT request_id, route, CAST(row_number() OVER (PARTITION BY request_id ORDER BY fees, route) AS INTEGER) AS rank, round(fees, 7) AS total_fees_source, round(est, 9) AS estimated_destination_amount,
+    round(CASE WHEN want IS NOT NULL THEN greatest(0, want - est) END, 9) AS destination_shortfall FROM c""",
 )
 def compare_routes(spark, sf):
-    out = rounded(quotes(spark, sf), total_fees_source=7, estimated_destination_amount=7, destination_shortfall=7)
-    return out.select("request_id", "route", "total_fees_source", "estimated_destination_amount", "destination_shortfall")
+    out = rounded(
+        routing.route_costs(quote_requests(spark, sf), route_list(spark)),
+        total_fees_source=7, estimated_destination_amount=9, destination_shortfall=9,
+    )
+    return out.select("request_id", "route", "rank", "total_fees_source", "estimated_destination_amount", "destination_shortfall")
 
 
 @query("best_routes", f"{_COSTS} SELECT request_id, arg_min(route, (fees, route)) AS route, round(min(fees), 7) AS total_fees_source FROM c GROUP BY 1")
 def best_routes(spark, sf):
-    return rounded(routing.best_routes(quotes(spark, sf)), total_fees_source=7).select("request_id", "route", "total_fees_source")
+    best = routing.best_routes(quote_requests(spark, sf), route_list(spark))
+    return rounded(best, total_fees_source=7).select("request_id", "route", "total_fees_source")
 
 
 _WEEK = f"""WITH {PAYMENTS}, h AS (SELECT corridor, ts::DATE AS date, successful FROM payments WHERE date_diff('day', ts::DATE, DATE '2000-01-01') BETWEEN 0 AND 13),

@@ -537,14 +537,22 @@ _VOTES = """WITH c AS (SELECT l_partkey AS proposal_id, count(*) FILTER (l_retur
     count(*) FILTER (l_returnflag = 'R') AS votes_abstain, count(DISTINCT l_suppkey) AS voters FROM lineitem GROUP BY 1)"""
 
 
-def vote_counts_frame(spark, sf):
+def votes_frame(spark, sf):
     choice = (
         F.when(F.col("l_returnflag") == "A", "for").when(F.col("l_returnflag") == "N", "against").otherwise("abstain")
     )
-    votes = table(spark, sf, "lineitem").select(
+    return table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("proposal_id"), F.col("l_suppkey").alias("voter"), choice.alias("choice")
     )
-    return gov.vote_counts(votes)
+
+
+def vote_counts_frame(spark, sf):
+    return gov.vote_counts(votes_frame(spark, sf))
+
+
+@query("top_voters", "SELECT l_suppkey AS voter, count(DISTINCT l_partkey) AS proposals FROM lineitem GROUP BY 1 ORDER BY proposals DESC, voter LIMIT 10")
+def top_voters(spark, sf):
+    return gov.top_voters(votes_frame(spark, sf))
 
 
 @query("vote_counts", f"{_VOTES} SELECT * FROM c")

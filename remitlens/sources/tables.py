@@ -16,6 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over the cores when a table consists of fewer files than there are cores.
+
+    For work that is heavy per row: a file read as one row group is one task,
+    however it is split. A table of many files is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() > 2 * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 # column -> (expression, tables joined to lineitem)
 _PAYMENT = {
     "payment_id": ("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)", []),
@@ -24,9 +36,9 @@ _PAYMENT = {
     "network": ("if(l_linestatus = 'O', 'mainnet', 'testnet')", []),
     "source_account": ("o_custkey", ["orders"]),
     "dest_account": ("l_suppkey", []),
-    "source_asset": ("src.n_name", ["orders", "customer", "src"]),
-    "dest_asset": ("dst.n_name", ["supplier", "dst"]),
-    "corridor": ("concat(src.n_name, '->', dst.n_name)", ["orders", "customer", "src", "supplier", "dst"]),
+    "source_asset": ("src_name", ["orders", "customer", "src"]),
+    "dest_asset": ("dst_name", ["supplier", "dst"]),
+    "corridor": ("concat(src_name, '->', dst_name)", ["orders", "customer", "src", "supplier", "dst"]),
     "anchor": ("s_name", ["supplier"]),
     "asset": ("p_brand", ["part"]),
     "amount_usd": ("l_extendedprice * (1 - l_discount)", []),
@@ -45,18 +57,23 @@ def payments(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     wanted = columns or tuple(_PAYMENT)
     needed = {name for column in wanted for name in _PAYMENT[column][1]}
     df = table(spark, sf_dir, "lineitem")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    # Customer attributes are resolved on the orders, so the far larger line
+    # table is shuffled once, by order, and never by customer.
     if "orders" in needed:
-        df = df.join(table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
-    if "customer" in needed:
-        df = df.join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+        orders = table(spark, sf_dir, "orders")
+        if "customer" in needed:
+            orders = orders.join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+        if "src" in needed:
+            orders = orders.join(nation.withColumnsRenamed({"n_nationkey": "src_key", "n_name": "src_name"}), F.expr("c_nationkey = src_key"))
+        df = df.join(orders, F.expr("l_orderkey = o_orderkey"))
     if "supplier" in needed:
-        df = df.join(table(spark, sf_dir, "supplier"), F.expr("l_suppkey = s_suppkey"))
+        supplier = table(spark, sf_dir, "supplier")
+        if "dst" in needed:
+            supplier = supplier.join(nation.withColumnsRenamed({"n_nationkey": "dst_key", "n_name": "dst_name"}), F.expr("s_nationkey = dst_key"))
+        df = df.join(supplier, F.expr("l_suppkey = s_suppkey"))
     if "part" in needed:
         df = df.join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
-    if "src" in needed:
-        df = df.join(table(spark, sf_dir, "nation").alias("src"), F.expr("c_nationkey = src.n_nationkey"))
-    if "dst" in needed:
-        df = df.join(table(spark, sf_dir, "nation").alias("dst"), F.expr("s_nationkey = dst.n_nationkey"))
     return df.select(*[F.expr(_PAYMENT[c][0]).alias(c) for c in wanted])
 
 
