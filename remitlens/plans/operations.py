@@ -636,7 +636,7 @@ _ROUTES = [
     (status, route, spread_bps + extra, service, slip, net)
     for status, extra in (("F", 0.0), ("O", 2.5), ("P", 7.0))
     for route, spread_bps, service, slip, net in (
-        ("stellar_dex", 20.0, 5.0, 10.0, 0.5), ("anchor_direct", 5.0, 30.0, 0.0, 12.0), ("liquidity_pool", 12.0, 8.0, 25.0, 0.5)
+        ("order_book", 20.0, 5.0, 10.0, 0.5), ("anchor_direct", 5.0, 30.0, 0.0, 12.0), ("liquidity_pool", 12.0, 8.0, 25.0, 0.5)
     )
 ]
 _COSTS = f"""WITH rt(route_set, route, spread, service, slip, net) AS (VALUES {', '.join(str(r) for r in _ROUTES)}),
