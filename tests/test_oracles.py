@@ -5,11 +5,13 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from remitlens import plans
 from compare import compare, connect
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not mounted")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+plans.load_all()
+QUERIES, ORACLES = plans.QUERIES, plans.ORACLES
 
 
 @pytest.fixture(scope="module")
