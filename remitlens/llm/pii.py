@@ -178,13 +178,13 @@ def _spelled_part(m: re.Match) -> str:
         return _DIGIT[own]
     if own == "plus":
         return "+"
-    if own in ("dot", "point", "punto", "punkt"):
+    if own in ("dot", "point", "punto", "punkt", "."):
         return "."
     return own if own.isdigit() else ""
 
 
 def _spell_digits(text: str) -> tuple[str, Alignment]:
-    """Spelled digits inside long runs become digits; the separators of such a run vanish."""
+    """Spelled digits inside long runs become digits; separators of such a run vanish, but for a single dot."""
     parts, alignment, size, at = [], Alignment(), 0, 0
 
     def add(piece: str, start: int, end: int, copied: bool) -> None:
