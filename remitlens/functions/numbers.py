@@ -38,22 +38,41 @@ def to_fixed(col, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", _c(col).cast("double"))
 
 
+#: Doubles below this magnitude are summed as integers; beyond it a double has no fraction to lose.
+_WHOLE_LIMIT = float(1 << 52)
+
+
 def exact_sum(col) -> Column:
     """Order-independent sum of a double column, as double.
 
-    Floating sums depend on the order of partial results. Here every value is
-    split into its whole part and a 40-bit fraction (two 20-bit halves), and the
-    three integers are summed as longs: associative, so any partitioning gives
-    the same bits, and as cheap as a plain sum because the hash aggregate keeps
-    long buffers. Resolution is 2**-40; a total beyond 9.2e18 raises an overflow
-    error instead of wrapping.
+    Floating sums depend on the order of partial results. Here every value below
+    2**52 is cut into four integers of 26 or 27 bits (the upper and lower half of
+    the whole part, and two of the fraction down to 2**-53), which are summed as
+    longs: associative, so any partitioning gives the same bits, and the hash
+    aggregate keeps numeric buffers. 10**11 rows fit before a long could overflow.
+
+    What lies below 2**-53 (the tail of values under 0.5) and values of 2**52 and
+    more are added as doubles beside it: nothing is rounded away or clamped, NaN
+    and the infinities give what IEEE addition gives, and their order can matter
+    only in the last bits of that part. Null values are skipped; a sum of nulls
+    is null.
     """
     value = _c(col).cast("double")
-    whole = F.floor(value)
-    fraction = F.floor((value - whole) * float(1 << 40) + 0.5)
-    upper, lower = F.shiftright(fraction, 20), fraction.bitwiseAND(F.lit((1 << 20) - 1))
-    fractions = F.sum(upper).cast("double") * float(1 << 20) + F.sum(lower).cast("double")
-    return F.sum(whole).cast("double") + fractions / float(1 << 40)
+    exact = F.abs(value) < F.lit(_WHOLE_LIMIT)  # false for NaN and the infinities
+    kept = F.when(exact, value).when(value.isNotNull(), F.lit(0.0))
+    whole = kept.cast("bigint")
+    upper = F.shiftright(whole, 26)
+    lower = whole.bitwiseAND(F.lit((1 << 26) - 1))
+    fraction = (kept - whole) * float(1 << 26)
+    first = fraction.cast("bigint")
+    tail = (fraction - first) * float(1 << 27)
+    second = tail.cast("bigint")
+    rest = F.when(exact, (tail - second) / float(1 << 53)).otherwise(value)
+    return (
+        F.sum(upper).cast("double") * float(1 << 26)
+        + F.sum(lower).cast("double")
+        + (F.sum(first).cast("double") / float(1 << 26) + F.sum(second).cast("double") / float(1 << 53) + F.sum(rest))
+    )
 
 
 def exact_avg(col) -> Column:
@@ -96,11 +115,23 @@ def plain_number(col) -> Column:
 
 
 def canonical_number(col) -> Column:
-    """Number text for canonical JSON: twelve decimals at most, at least one, no exponent."""
-    text = _c(col).cast(EXACT).cast("string")
-    trimmed = F.regexp_replace(text, r"(\.\d+?)0+$", "$1")
-    # decimal zero prints as 0E-12
-    return F.when(_c(col).isNull(), F.lit("null")).when(_c(col).cast(EXACT) == 0, F.lit("0.0")).otherwise(trimmed)
+    """Number text for canonical JSON: the shortest digits that read back as the same double.
+
+    Plain with at least one decimal from 1e-5 up to 1e16, with an exponent (1e19,
+    1.5e-7) outside; null for null, NaN and the infinities, which JSON has no
+    number for.
+    """
+    value = _c(col).cast("double")
+    magnitude = F.abs(value)
+    text = value.cast("string")
+    plain = F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    scientific = F.lower(F.regexp_replace(text, r"\.0E", "E"))
+    return (
+        F.when(value.isNull() | F.isnan(value) | (magnitude == float("inf")), F.lit("null"))
+        .when(value == 0, F.lit("0.0"))  # decimal zero prints as 0E-21
+        .when((magnitude >= 1e-5) & (magnitude < 1e16), plain)
+        .otherwise(scientific)
+    )
 
 
 def _c(value) -> Column:

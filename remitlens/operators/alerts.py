@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.functions.numbers import exact_sum, safe_div
-from remitlens.operators.scans import previous_max, previous_row, time_block
+from remitlens.operators.scans import ROWS_PER_BLOCK, even_block, previous_max, previous_row
 from remitlens.session import broadcast_if_small
 
 # Alert thresholds (a window fires above the count).
@@ -70,17 +70,19 @@ def error_ratio(logs: DataFrame, time: str = "event_time", window: str = "5 minu
     return windows.select(F.col("w.end").alias("evaluated_at"), "ratio", (F.col("ratio") > limit).alias("firing"))
 
 
-def hold(evaluations: DataFrame, keys: list[str], seconds: int = 300, block_seconds: int = 86_400) -> DataFrame:
+def hold(evaluations: DataFrame, keys: list[str], seconds: int = 300, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Evaluations whose condition has been true for at least ``seconds``.
 
     The last false evaluation before a row identifies its true stretch; the
     stretch start is an aggregate per (key, last false) joined back.
     """
     stamped = evaluations.withColumn("_false", F.when(~F.col("firing"), F.col("evaluated_at")))
-    scanned = previous_max(stamped, keys, ["evaluated_at"], "_false", time_block("evaluated_at", block_seconds), "_since_false")
+    scanned = previous_max(stamped, keys, ["evaluated_at"], "_false", even_block(stamped, "evaluated_at", rows_per_block), "_since_false")
     true = scanned.where("firing").withColumn("_stretch", F.coalesce(F.unix_micros(F.col("_since_false").cast("timestamp")), F.lit(-1)))
-    starts = true.groupBy(*keys, "_stretch").agg(F.min("evaluated_at").alias("since"))
-    joined = true.join(starts, [*keys, "_stretch"])
+    # a struct keeps the stretches of a null key together
+    true = true.withColumn("_stretch", F.struct(*keys, "_stretch"))
+    starts = true.groupBy("_stretch").agg(F.min("evaluated_at").alias("since"))
+    joined = true.join(starts, "_stretch")
     lasted = F.timestamp_diff("SECOND", F.col("since"), F.col("evaluated_at"))
     return joined.where(lasted >= seconds).select(*keys, "evaluated_at", "since")
 
@@ -111,9 +113,9 @@ def latency_alert(df: DataFrame, keys: list[str], seconds: str, limit: float = P
     return out.where(F.col("p99") > limit)
 
 
-def counter_rate(samples: DataFrame, keys: list[str], order: list[str], window: str, seconds: float, block_seconds: int = 86_400) -> DataFrame:
+def counter_rate(samples: DataFrame, keys: list[str], order: list[str], window: str, seconds: float, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Increase per second of counters; a drop is a reset that counts from zero."""
-    scanned = previous_row(samples, keys, order, ["value"], time_block("ts", block_seconds), "_prev")
+    scanned = previous_row(samples, keys, order, ["value"], even_block(samples, "ts", rows_per_block), "_prev")
     before = F.col("_prev.value")
     step = F.when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
     return (

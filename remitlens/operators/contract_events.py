@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from remitlens.operators.scans import number_block, previous_max, previous_row
+from remitlens.operators.scans import ROWS_PER_BLOCK, even_block, previous_max, previous_row
 
 # The event topic and the fields of each schema version, in check order.
 SNAPSHOT_TOPIC = "snapshot_submitted"
@@ -149,17 +149,17 @@ def rejected(decoded: DataFrame) -> DataFrame:
     )
 
 
-def drop_fenced_writes(writes: DataFrame, block_width: int = 100_000) -> DataFrame:
+def drop_fenced_writes(writes: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Keep a write unless its token is below the highest token written before to the resource.
 
     A rejected token is below the maximum anyway, so the running maximum over
     all writes equals the one over accepted writes.
     """
-    scanned = previous_max(writes, ["resource"], ["seq"], "token", number_block("seq", block_width), "_highest")
+    scanned = previous_max(writes, ["resource"], ["seq"], "token", even_block(writes, "seq", rows_per_block), "_highest")
     return scanned.where(F.col("_highest").isNull() | (F.col("token") >= F.col("_highest"))).drop("_highest")
 
 
-def accept_epochs(submissions: DataFrame, check_duplicates: bool = False, block_width: int = 100_000) -> DataFrame:
+def accept_epochs(submissions: DataFrame, check_duplicates: bool = False, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Adds ``reason`` (null = accepted) per contract in arrival order.
 
     Accepted epochs are the strict records of the valid submissions. With
@@ -172,7 +172,7 @@ def accept_epochs(submissions: DataFrame, check_duplicates: bool = False, block_
         .when(F.col("metric_count") == 0, F.lit("EmptyMetrics"))
     )
     checked = submissions.withColumn("_basic", basic).withColumn("_epoch", F.when(F.col("_basic").isNull(), F.col("epoch")))
-    scanned = previous_max(checked, ["contract_id"], ["arrival"], "_epoch", number_block("arrival", block_width), "_last")
+    scanned = previous_max(checked, ["contract_id"], ["arrival"], "_epoch", even_block(checked, "arrival", rows_per_block), "_last")
     too_old = F.col("epoch") <= F.col("_last")
     if check_duplicates:
         first = (
@@ -297,10 +297,10 @@ def audit_trail(events: DataFrame, contract_id: str) -> DataFrame:
     return events.where(F.col("contract_id") == contract_id).orderBy(F.desc("epoch"), F.desc("created_at"), F.desc("id"))
 
 
-def ledger_progress_check(ledgers: DataFrame, keys: list[str], block_width: int = 100_000) -> DataFrame:
+def ledger_progress_check(ledgers: DataFrame, keys: list[str], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Consecutive ledgers that break progression, per key in arrival order."""
     from remitlens.operators.contract_state import progression_ok
 
-    scanned = previous_row(ledgers, keys, ["seq"], ["ledger", "closed_at"], number_block("seq", block_width), "_prev")
+    scanned = previous_row(ledgers, keys, ["seq"], ["ledger", "closed_at"], even_block(ledgers, "seq", rows_per_block), "_prev")
     ok = progression_ok(F.col("_prev.closed_at"), F.col("_prev.ledger"), F.col("closed_at"), F.col("ledger"))
     return scanned.where(F.col("_prev").isNotNull()).withColumn("valid", ok).drop("_prev")

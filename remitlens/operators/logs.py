@@ -11,7 +11,7 @@ from remitlens.functions import bands
 from remitlens.functions.numbers import exact_avg, js_round, pct, safe_div
 from remitlens.functions.redaction import drop_sensitive_fields
 from remitlens.functions.times import parse_timestamp
-from remitlens.operators.scans import previous_row, time_block
+from remitlens.operators.scans import ROWS_PER_BLOCK, even_block, previous_two
 
 # User-agent marks in the order they are tried. A Chromium-based
 # Edge also says Chrome and is therefore counted there.
@@ -130,20 +130,23 @@ def client_breakdown(errors: DataFrame) -> DataFrame:
     return per_value.withColumn("share_pct", pct(F.col("count"), F.sum("count").over(Window.partitionBy("dimension"))))
 
 
-def session_stats(events: DataFrame, user: str = "user_id", gap_seconds: int = 1800, block_seconds: int = 86_400) -> DataFrame:
+def session_stats(events: DataFrame, user: str = "user_id", gap_seconds: int = 1800, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Sessions, mean duration in seconds and bounce rate; a gap of ``gap_seconds`` starts a new session.
 
     Everything follows from the distances to the two preceding events, so the
     events of a user are never gathered: durations are the summed inner gaps,
-    and a session with more than one event has exactly one second event.
+    and a session with more than one event has exactly one second event. One scan
+    carries both preceding times.
     """
-    order = ["ts", "event_id"]
-    block = time_block("ts", block_seconds)
-    one = previous_row(events.select(user, *order), [user], order, ["ts"], block, "_p1")
-    gap = _gap(F.col("_p1.ts"), F.col("ts"))
-    flagged = one.withColumn("_gap", gap).withColumn("_start", F.col("_p1").isNull() | (gap >= gap_seconds))
-    two = previous_row(flagged, [user], order, ["_start"], block, "_p2")
-    second = ~F.col("_start") & F.col("_p2")["_start"]
+    rows = events.select(user, "ts", "event_id")
+    scanned = previous_two(rows, [user], ["ts", "event_id"], "ts", even_block(rows, "ts", rows_per_block), "_p1", "_p2")
+    gap, before = _gap(F.col("_p1"), F.col("ts")), _gap(F.col("_p2"), F.col("_p1"))
+    opens = lambda g, p: p.isNull() | (g >= gap_seconds)
+    two = scanned.select(
+        gap.alias("_gap"), opens(gap, F.col("_p1")).alias("_start"),
+        (F.col("_p1").isNotNull() & opens(before, F.col("_p2"))).alias("_p2"),
+    )
+    second = ~F.col("_start") & F.col("_p2")
     sums = two.agg(
         F.count_if("_start").alias("total_sessions"),
         F.sum(F.when(~F.col("_start"), F.col("_gap"))).alias("_seconds"),

@@ -5,6 +5,10 @@ each key into blocks along the order column: block summaries are aggregated
 map-side, carried from block to block over the (few) summary rows, and joined
 back on (key, block). The join and the inner window share one hash partitioning,
 so the data is shuffled once, and a hot key is spread over its blocks.
+
+Key and block travel as one struct. Structs with equal null fields are equal, so
+rows with a null key form a group of their own, as in a window, and rows with a
+null order value form the first block of their key.
 """
 
 from __future__ import annotations
@@ -13,32 +17,63 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BEFORE = (Window.unboundedPreceding, -1)
+#: Rows that a block should hold on average.
+ROWS_PER_BLOCK = 200_000
 
 
 def time_block(ts, seconds: int) -> Column:
-    """Block number of a timestamp column."""
+    """Block number of a timestamp column, blocks of a fixed length."""
     col = F.col(ts) if isinstance(ts, str) else ts
     return F.floor(F.unix_seconds(col.cast("timestamp")) / F.lit(seconds))
 
 
 def number_block(order: str, width: int) -> Column:
+    """Block number of a numeric column, blocks of a fixed width."""
     return F.floor(F.col(order) / F.lit(width))
 
 
+def even_block(df: DataFrame, order: str, rows_per_block: int = ROWS_PER_BLOCK) -> Column:
+    """Block number whose width follows the data: so many blocks between the least and
+    the greatest order value that they hold ``rows_per_block`` rows on average.
+
+    The bounds are a scalar subquery (one map-side aggregate); nothing reaches the
+    driver. Few rows make one block, however sparse their numbers are.
+    """
+    timed = df.schema[order].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
+    place = F.unix_micros(F.col(order).cast("timestamp")) if timed else F.col(order)
+    place = place.cast("double")
+    bounds = df.select(place.alias("x")).agg(
+        F.struct(F.min("x").alias("low"), F.max("x").alias("high"), F.ceil(F.count("*") / F.lit(rows_per_block)).alias("n")).alias("b")
+    ).scalar()
+    low, high = bounds.getField("low"), bounds.getField("high")
+    share = F.when(high > low, (place - low) / (high - low)).when(place.isNotNull(), F.lit(0.0))
+    return F.floor(share * bounds.getField("n"))
+
+
+def _blocked(df: DataFrame, keys: list[str], block: Column) -> DataFrame:
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
+    return df.withColumn("_key", F.struct(key.alias("key"), block.alias("block")))
+
+
+def _carried(summary: DataFrame, value: Column) -> DataFrame:
+    """(_key, _carry): ``value`` evaluated over the earlier blocks of the key."""
+    return summary.select("_key", value.alias("_carry"))
+
+
+def _blocks_before(frame: bool = True):
+    by_key = Window.partitionBy("_key.key").orderBy("_key.block")
+    return by_key.rowsBetween(*_BEFORE) if frame else by_key
+
+
 def previous_max(df: DataFrame, keys: list[str], order: list[str], value: str, block: Column, out: str) -> DataFrame:
     """Largest ``value`` among the rows of the key that come before this one."""
-    blocked = df.withColumn("_block", block)
-    carry = (
-        blocked.groupBy(*keys, "_block")
-        .agg(F.max(value).alias("_top"))
-        .withColumn("_carry", F.max("_top").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(*_BEFORE)))
-        .drop("_top")
-    )
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(*_BEFORE)
+    blocked = _blocked(df, keys, block)
+    carry = _carried(blocked.groupBy("_key").agg(F.max(value).alias("_top")), F.max("_top").over(_blocks_before()))
+    inside = Window.partitionBy("_key").orderBy(*order).rowsBetween(*_BEFORE)
     return (
-        blocked.join(carry, [*keys, "_block"])
+        blocked.join(carry, "_key")
         .withColumn(out, F.greatest(F.max(value).over(inside), F.col("_carry")))
-        .drop("_block", "_carry")
+        .drop("_key", "_carry")
     )
 
 
@@ -46,35 +81,47 @@ def previous_row(
     df: DataFrame, keys: list[str], order: list[str], values: list[str], block: Column, out: str
 ) -> DataFrame:
     """Struct of ``values`` of the preceding row of the key, null on the first row."""
-    blocked = df.withColumn("_block", block).withColumn("_row", F.struct(*values))
-    carry = (
-        blocked.groupBy(*keys, "_block")
-        .agg(F.max_by("_row", F.struct(*order)).alias("_last"))
-        .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block")))
-        .drop("_last")
-    )
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    blocked = _blocked(df, keys, block).withColumn("_row", F.struct(*values))
+    last = blocked.groupBy("_key").agg(F.max_by("_row", F.struct(*order)).alias("_last"))
+    carry = _carried(last, F.lag("_last").over(_blocks_before(frame=False)))
+    inside = Window.partitionBy("_key").orderBy(*order)
     return (
-        blocked.join(carry, [*keys, "_block"])
+        blocked.join(carry, "_key")
         .withColumn(out, F.coalesce(F.lag("_row").over(inside), F.col("_carry")))
-        .drop("_block", "_carry", "_row")
+        .drop("_key", "_carry", "_row")
+    )
+
+
+def previous_two(df: DataFrame, keys: list[str], order: list[str], value: str, block: Column, last: str, before: str) -> DataFrame:
+    """``value`` of the preceding row of the key and of the row before that, in one scan."""
+    blocked = _blocked(df, keys, block)
+    inside = Window.partitionBy("_key").orderBy(*order)
+    # the limit also runs before the shuffle: two rows per block and task
+    newest = Window.partitionBy("_key").orderBy(*[F.desc(c) for c in order])
+    ends = (
+        blocked.withColumn("_rn", F.row_number().over(newest)).where("_rn <= 2")
+        .groupBy("_key").agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("_rn"), value))), lambda r: r[value]).alias("_ends"))
+    )
+    none = F.array().cast(f"array<{df.schema[value].dataType.simpleString()}>")
+    earlier = F.concat(*[F.coalesce(F.lag("_ends", n).over(_blocks_before(frame=False)), none) for n in (2, 1)])
+    placed = blocked.join(_carried(ends, earlier), "_key").withColumn("_nth", F.row_number().over(inside))
+    carried = lambda n: F.try_element_at("_carry", F.lit(-n))
+    return (
+        placed.withColumn(last, F.when(F.col("_nth") == 1, carried(1)).otherwise(F.lag(value, 1).over(inside)))
+        .withColumn(before, F.when(F.col("_nth") == 1, carried(2)).when(F.col("_nth") == 2, carried(1)).otherwise(F.lag(value, 2).over(inside)))
+        .drop("_key", "_carry", "_nth")
     )
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, block: Column, out: str) -> DataFrame:
     """Sum of ``value`` over the rows of the key up to and including this one."""
-    blocked = df.withColumn("_block", block)
-    carry = (
-        blocked.groupBy(*keys, "_block")
-        .agg(F.sum(value).alias("_part"))
-        .withColumn("_carry", F.sum("_part").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(*_BEFORE)))
-        .drop("_part")
-    )
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    blocked = _blocked(df, keys, block)
+    carry = _carried(blocked.groupBy("_key").agg(F.sum(value).alias("_part")), F.sum("_part").over(_blocks_before()))
+    inside = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        blocked.join(carry, [*keys, "_block"])
+        blocked.join(carry, "_key")
         .withColumn(out, F.sum(value).over(inside) + F.coalesce(F.col("_carry"), F.lit(0)))
-        .drop("_block", "_carry")
+        .drop("_key", "_carry")
     )
 
 
@@ -113,12 +160,17 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[s
     the two values around its position.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    # Order-preserving range number: 64 ranges per power of two of the magnitude.
-    magnitude = F.log2(F.abs(F.col(value).cast("double")) + 1.0)
-    block = F.floor(F.signum(F.col(value).cast("double")) * magnitude * 64)
+    # Order-preserving range number: 64 ranges per power of two of the magnitude, however small it is.
+    magnitude = F.floor(F.log2(F.abs(F.col(value).cast("double"))) * 64) + 1100 * 64
+    block = F.when(F.col(value) == 0, F.lit(0)).otherwise(F.signum(F.col(value).cast("double")).cast("bigint") * magnitude)
     ranked = running_sum(counted, keys, [value], "_n", block, "_upto")
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranked = ranked.join(totals, keys) if keys else ranked.withColumn("_total", totals.select("_total").scalar())
+    if keys:
+        # a struct keeps groups with null keys together with their totals
+        group = F.struct(*keys)
+        totals = totals.select(group.alias("_group"), "_total")
+        ranked = ranked.withColumn("_group", group).join(totals, "_group").drop("_group")
+    ranked = ranked if keys else ranked.withColumn("_total", totals.select("_total").scalar())
     exprs = []
     for name, p in points.items():
         position = F.lit(float(p)) * (F.col("_total") - 1)

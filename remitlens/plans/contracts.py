@@ -106,7 +106,7 @@ def decode_events_rejected(spark, sf):
 )
 def drop_fenced_writes(spark, sf):
     writes = events(spark, sf).select(F.col("user_id").alias("resource"), F.col("event_id").alias("seq"), F.col("k").alias("token"))
-    return ev.drop_fenced_writes(writes, block_width=500)
+    return ev.drop_fenced_writes(writes)
 
 
 _SUB = f"""WITH {EVENTS}, s AS (SELECT user_id AS contract_id, event_id AS arrival, k // 2 + event_id // 400 AS epoch,
@@ -128,7 +128,7 @@ def submissions(spark, sf):
 
 @query("accept_epochs", f"{_SUB} SELECT contract_id, arrival, epoch, coalesce(basic, CASE WHEN epoch <= last THEN 'EpochMonotonicityViolated' END) AS reason FROM m")
 def accept_epochs(spark, sf):
-    return ev.accept_epochs(submissions(spark, sf), block_width=500).select("contract_id", "arrival", "epoch", "reason")
+    return ev.accept_epochs(submissions(spark, sf)).select("contract_id", "arrival", "epoch", "reason")
 
 
 @query(
@@ -138,7 +138,7 @@ def accept_epochs(spark, sf):
     FROM m LEFT JOIN a ON a.contract_id = m.contract_id AND a.epoch = m.epoch""",
 )
 def accept_epochs_with_duplicates(spark, sf):
-    checked = ev.accept_epochs(submissions(spark, sf), check_duplicates=True, block_width=500)
+    checked = ev.accept_epochs(submissions(spark, sf), check_duplicates=True)
     return checked.select("contract_id", "arrival", "epoch", "reason")
 
 
@@ -232,7 +232,7 @@ def ledger_progress_check(spark, sf):
         (F.floor(F.col("event_id") / 10) + F.floor(F.col("k") / 50)).alias("ledger"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("closed_at"),
     )
-    return ev.ledger_progress_check(ledgers, ["user_id"], block_width=500).select("user_id", "seq", "valid")
+    return ev.ledger_progress_check(ledgers, ["user_id"]).select("user_id", "seq", "valid")
 
 
 # ---- contract state ------------------------------------------------------------------------------

@@ -197,7 +197,7 @@ def stale_gaps(spark, sf):
     feed = table(spark, sf, "events").select(
         "event_id", F.col("ts").alias("received_at"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("connection")
     )
-    return msg.stale_gaps(feed, "connection", block_seconds=86_400)
+    return msg.stale_gaps(feed, "connection")
 
 
 _CATCH = """c AS (SELECT 'corridor' AS type, c_name AS id, TIMESTAMP '2024-01-01' + INTERVAL (c_nationkey) DAY AS updated_at, c_mktsegment AS payload FROM customer

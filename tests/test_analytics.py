@@ -243,7 +243,7 @@ def test_hold_needs_five_true_minutes(spark):
     flags = [True] * 11 + [False] + [True] * 4
     rows = [("s", start + timedelta(seconds=30 * i), f) for i, f in enumerate(flags)]
     df = spark.createDataFrame(rows, "series string, evaluated_at timestamp_ntz, firing boolean")
-    got = al.hold(df, ["series"], seconds=300, block_seconds=60).collect()
+    got = al.hold(df, ["series"], seconds=300, rows_per_block=2).collect()
     assert [(r["evaluated_at"], r["since"]) for r in got] == [(start + timedelta(seconds=300), start)]
 
 
@@ -257,14 +257,14 @@ def test_counter_reset(spark):
     start = datetime(2024, 1, 1)
     rows = [("c", start + timedelta(seconds=s), v) for s, v in ((0, 10), (10, 15), (20, 3), (30, 4))]
     df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, value bigint")
-    assert al.counter_rate(df, ["k"], ["ts"], "5 minutes", 300.0, block_seconds=15).first()["rate"] == pytest.approx((5 + 3 + 1) / 300)
+    assert al.counter_rate(df, ["k"], ["ts"], "5 minutes", 300.0, rows_per_block=2).first()["rate"] == pytest.approx((5 + 3 + 1) / 300)
 
 
 def test_sessions(spark):
     start = datetime(2024, 1, 1)
     rows = [(1, start + timedelta(minutes=m), i) for i, m in enumerate((0, 10, 39, 69, 200))] + [(2, start, 9)]
     df = spark.createDataFrame(rows, "user_id int, ts timestamp_ntz, event_id bigint")
-    got = logs.session_stats(df, block_seconds=600).first()
+    got = logs.session_stats(df, rows_per_block=2).first()
     # user 1: 0-39, 69 (30 min later starts anew), 200; user 2: one event
     assert got["total_sessions"] == 4
     assert got["mean_duration_seconds"] == pytest.approx(39 * 60 / 4)

@@ -97,7 +97,7 @@ def test_sink_failure_fails_the_batch(spark):
 def test_older_token_after_a_newer_one_is_rejected(spark):
     rows = [("r", 1, 5), ("r", 2, 7), ("r", 3, 5), ("r", 4, 7), ("r", 5, 6), ("s", 1, 1)]
     df = spark.createDataFrame(rows, "resource string, seq bigint, token bigint")
-    kept = sorted((r["resource"], r["seq"]) for r in ev.drop_fenced_writes(df, block_width=2).collect())
+    kept = sorted((r["resource"], r["seq"]) for r in ev.drop_fenced_writes(df, rows_per_block=2).collect())
     assert kept == [("r", 1), ("r", 2), ("r", 4), ("s", 1)]
 
 
@@ -129,7 +129,7 @@ def test_epoch_acceptance(spark):
     df = spark.createDataFrame(rows, "contract_id string, arrival bigint, epoch bigint, metric_count int, paused boolean")
 
     def reasons(**kw):
-        return [r["reason"] for r in ev.accept_epochs(df, block_width=2, **kw).orderBy("arrival").collect()]
+        return [r["reason"] for r in ev.accept_epochs(df, rows_per_block=2, **kw).orderBy("arrival").collect()]
 
     old = "EpochMonotonicityViolated"
     assert reasons() == ["InvalidEpoch", "EmptyMetrics", "ContractPaused", None, old, old, None, None]

@@ -84,7 +84,7 @@ def test_subscriptions_and_gaps(spark):
     feed = spark.createDataFrame(
         [("a", i, start + timedelta(seconds=s)) for i, s in enumerate((0, 30, 61, 62))], "connection string, event_id int, received_at timestamp_ntz"
     )
-    assert [r["gap_seconds"] for r in msg.stale_gaps(feed, "connection", block_seconds=20).collect()] == [31.0]
+    assert [r["gap_seconds"] for r in msg.stale_gaps(feed, "connection", rows_per_block=1).collect()] == [31.0]
 
 
 def log_rows():

@@ -32,6 +32,35 @@ def test_exact_sum_of_nothing_is_null(spark):
     assert spark.createDataFrame([(None,)], "v double").agg(n.exact_sum("v").alias("s")).first()["s"] is None
 
 
+@pytest.mark.parametrize(
+    "values",
+    [[1e19, 1.0], [-1e19, 3.0], [1e-13] * 7, [math.inf, 1.0], [-math.inf, 2.0], [math.nan, 1.0], [math.inf, -math.inf], [5e-324, 0.0], [1e308, 1e308],
+     [float(2**52), 0.5], [-0.1, 0.1, -1e-20], [0.1] * 10, [None, 2.5]],
+)
+def test_exact_sum_is_the_ieee_sum(spark, values):
+    got = spark.createDataFrame([(v,) for v in values], "v double").agg(n.exact_sum("v").alias("s")).first()["s"]
+    given = [v for v in values if v is not None]
+    want = math.fsum(given) if all(math.isfinite(v) and abs(v) < 1e300 for v in given) else sum(given)
+    assert math.isnan(got) and math.isnan(want) or got == want or abs(got - want) <= math.ulp(want)
+
+
+def test_exact_sum_keeps_a_hash_aggregate(spark):
+    plan = spark.range(10).groupBy(F.col("id") % 2).agg(n.exact_sum(F.col("id").cast("double")))._jdf.queryExecution().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHash" not in plan
+
+
+def test_canonical_numbers_read_back(spark):
+    fixed = {1e-13: "1e-13", 1.5e-7: "1.5e-7", 1e19: "1e19", 1e15: "1000000000000000.0", 0.0001: "0.0001", 12.5: "12.5", -3.0: "-3.0", 1e26: "1e26", 0.1 + 0.2: "0.30000000000000004"}
+    for value, text in fixed.items():
+        assert one(spark, n.canonical_number(F.lit(value))) == text
+    rng = random.Random(1)
+    values = [rng.uniform(-1, 1) * 10.0 ** rng.randint(-20, 20) for _ in range(300)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", n.canonical_number("v").alias("t")).collect()
+    assert all(float(r["t"]) == r["v"] for r in rows)
+    for odd in (math.nan, math.inf, None):
+        assert one(spark, n.canonical_number(F.lit(odd).cast("double"))) == "null"
+
+
 def test_js_rounding(spark):
     rows = [(-2.5, -2), (2.5, 3), (-2.6, -3), (0.5, 1), (-0.5, 0)]
     for value, expected in rows:
@@ -53,6 +82,29 @@ def test_safe_division(spark):
     assert one(spark, n.pct(F.lit(1), F.nullif(F.lit(0), F.lit(0)))) == 0.0
 
 
+def test_scans_keep_null_keys_and_null_order_values(spark):
+    rows = [("a", 1, 5), ("a", None, 9), (None, 1, 7), (None, 2, 3), (None, 3, 8), ("b", None, 1)]
+    df = spark.createDataFrame(rows, "k string, seq int, v int")
+    for size in (1, 2, 100):
+        block = scans.even_block(df, "seq", size)
+        got = sorted(((r["k"], r["seq"], r["m"]) for r in scans.previous_max(df, ["k"], ["seq"], "v", block, "m").collect()), key=repr)
+        assert got == sorted([("a", None, None), ("a", 1, 9), (None, 1, None), (None, 2, 7), (None, 3, 7), ("b", None, None)], key=repr)
+        sums = {(r["k"], r["seq"]): r["t"] for r in scans.running_sum(df, ["k"], ["seq"], "v", block, "t").collect()}
+        assert sums == {("a", None): 9, ("a", 1): 14, (None, 1): 7, (None, 2): 10, (None, 3): 18, ("b", None): 1}
+        two = {(r["k"], r["seq"]): (r["p"], r["q"]) for r in scans.previous_two(df, ["k"], ["seq"], "v", block, "p", "q").collect()}
+        assert two == {("a", None): (None, None), ("a", 1): (9, None), (None, 1): (None, None), (None, 2): (7, None), (None, 3): (3, 7), ("b", None): (None, None)}
+    got = {r["k"]: r["x"] for r in scans.exact_percentiles(df, ["k"], "v", {"x": 0.5}).collect()}
+    assert got == {"a": 7.0, None: 7.0, "b": 1.0}
+
+
+def test_blocks_follow_the_data(spark):
+    sparse = spark.createDataFrame([(i * 10**9,) for i in range(100)], "seq long")
+    assert sparse.select(scans.even_block(sparse, "seq", 10).alias("b")).distinct().count() == 11
+    assert sparse.select(scans.even_block(sparse, "seq").alias("b")).distinct().count() == 2
+    small = spark.createDataFrame([(i / 100_000,) for i in range(1001)], "v double")
+    assert {r["x"] for r in scans.exact_percentiles(small, [], "v", {"x": 0.5}).collect()} == {0.005}
+
+
 def _series(seed, size=400, keys=3):
     rng = random.Random(seed)
     # one key holds most of the rows
