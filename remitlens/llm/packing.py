@@ -9,8 +9,9 @@ open window that still holds the piece.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,61 +22,103 @@ from remitlens.llm import hashing
 from remitlens.llm.store import pinned, prepare
 
 #: Words whose ids a task remembers; past this it starts afresh. Bounds memory, not results.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+
+
+#: The letter that stands for a byte in a byte-level vocabulary: itself if printable, else the next one from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 class Encoder:
-    """Token ids of whole texts, with the ids of space-delimited words remembered.
+    """Token ids of whole texts, with the ids of words remembered.
 
-    Byte-level pair encodings never join across a single space: the space opens
-    the next word. A text is therefore the concatenation of " word" chunks,
-    unless a space borders on other white space, where the text is encoded whole.
+    Byte-level pair encodings never join across a single space, which opens the
+    next word, nor across a single line feed, which is a piece of its own. A text
+    is therefore the concatenation of its lines' " word" chunks, unless white
+    space borders on white space or on an end of the text; then it is encoded
+    whole. A full stop or comma after a letter is a piece of its own, too.
     """
 
-    _white = re.compile(r"\s (?=\s|\Z)|\A (?=\s|\Z)")
-
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_file)
         self._tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self._known: dict[str, list[int]] = {}
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self._model = self._tokenizer.model
+        self._marks = dict(zip("\n.,", self._encode(["\n", ".", ","])))
+        #: ids of a chunk; None if white space stands at its ends
+        self._known: dict[str, bytes | None] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _piece(self, chunk: str) -> bytes:
+        """Ids of a chunk that is one piece: an optional space and letters."""
+        own = self._model.tokenize(chunk.encode().decode("latin-1").translate(_BYTE_LETTERS))
+        return array("I", [t.id for t in own]).tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember the chunks ``new``."""
+        known, marked, plain = self._known, [], set()
+        for chunk in new:
+            body = chunk[1:] if chunk[0] == " " else chunk
+            if not body or body != body.strip():
+                known[chunk] = None
+            elif chunk[-1] in ".," and len(body) > 1 and body[-2].isalpha():
+                marked.append(chunk)
+                plain.add(chunk[:-1])
+            else:
+                plain.add(chunk)
+        todo = []
+        for chunk in plain:
+            if chunk not in known:
+                if (chunk[1:] if chunk[0] == " " else chunk).isalpha():
+                    known[chunk] = self._piece(chunk)
+                else:
+                    todo.append(chunk)
+        for at in range(0, len(todo), 5000):
+            known.update(zip(todo[at : at + 5000], self._encode(todo[at : at + 5000])))
+        for chunk in marked:
+            known[chunk] = known[chunk[:-1]] + self._marks[chunk[-1]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self._known) > REMEMBERED:
             self._known.clear()
-        chunks: list[list[str] | None] = []
+        known, feed = self._known, self._marks["\n"]
+        lines_of: list[list[list[str]] | None] = []
         for text in texts:
-            if not text or self._white.search(text):
-                chunks.append(None)
+            if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in ("  ", " \n", "\n ", "\n\n")):
+                lines_of.append(None)
                 continue
-            head, *rest = text.split(" ")
-            own = [" " + x for x in rest]
-            chunks.append([head, *own] if head else own)
-        known = self._known
-        new = list({c for own in chunks if own for c in own} - known.keys())
-        for at in range(0, len(new), 5000):
-            known.update(zip(new[at : at + 5000], self._encode(new[at : at + 5000])))
+            # the first word of a line has no space before it
+            lines_of.append([[head, *[" " + x for x in rest]] for head, *rest in (line.split(" ") for line in text.split("\n"))])
+        self._learn({c for lines in lines_of if lines for line in lines for c in line} - known.keys())
         out = []
-        for text, own in zip(texts, chunks):
-            if own is None:
-                ids = self._encode([text])[0] if text else []
-            else:
-                ids = []
-                for c in own:
-                    ids += known[c]
-            out.append(np.array(ids, "<u4"))
+        for text, lines in zip(texts, lines_of):
+            ids: bytes | None = b""
+            if lines is not None:
+                try:
+                    ids = feed.join([b"".join([known[c] for c in line]) for line in lines])
+                except TypeError:  # a chunk with white space at its ends
+                    ids = None
+            if lines is None or ids is None:
+                ids = self._encode([text])[0] if text else b""
+            out.append(np.frombuffer(ids, "<u4"))
         return out
 
 
+@cache
+def _encoder(tokenizer_file: str) -> Encoder:
+    """One per worker process, so that its memory serves all tasks there."""
+    return Encoder(tokenizer_file)
+
+
 def _pieces(tokenizer_file: str, size: int, end: int):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
     def run(batches):
-        encoder = Encoder(tokenizer_file)
+        encoder = _encoder(tokenizer_file)
         for batch in batches:
             for part in hashing.slices(batch, "text", most=1 << 20):
                 rows = []
