@@ -11,7 +11,7 @@ Plan. (1) Anchors of all documents meet by hash; those that occur twice or more
 go back to their documents. (2) Each is extended to the windows around it, which
 are hashed in full (96 bits) and meet again; a window with an earlier equal is
 marked. (3) The words under marked windows go. Equal anchors and windows of one
-batch are resolved where they are read, before the shuffle: a hash sends one row
+batch are grouped where they are read, before the shuffle: a hash sends one row
 per batch, however often it occurs.
 """
 
@@ -32,15 +32,38 @@ COVER = (0, 1, 3, 9)
 PERIOD = 13
 
 
-def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(name).to_numpy(zero_copy_only=False)
+_PLACES = pa.list_(pa.struct([("doc_id", pa.int64()), ("at", pa.int32())]))
+_PLACES_DDL = "array<struct<doc_id: long, at: int>>"
+
+
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("doc_id").fill_null(0).to_numpy()
+
+
+def _grouped(order: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of equal keys as (first members, other members, offsets of these), in the order of the first members.
+
+    ``order`` sorts the rows by key and ``head`` marks the first row of each key in it.
+    """
+    first, group = order[head], np.cumsum(head) - 1
+    by_place = np.argsort(first)
+    rank = np.empty(len(first), np.int64)
+    rank[by_place] = np.arange(len(first))
+    others, owner = order[~head], rank[group[~head]]
+    sizes = np.bincount(owner, minlength=len(first))
+    return first[by_place], others[np.argsort(owner, kind="stable")], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
+def _places(ids: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    values = pa.StructArray.from_arrays([pa.array(ids), pa.array(at)], fields=list(_PLACES.value_type))
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
 def _anchors(window: int):
+    """One row per anchor hash of a batch: its first place, and the other places in the batch."""
     length = window - PERIOD + 1
     covered = np.zeros(PERIOD, bool)
     covered[list(COVER)] = True
-    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("known", pa.bool_())])
 
     def run(batches):
         for batch in batches:
@@ -50,33 +73,24 @@ def _anchors(window: int):
                 documents = w.documents[first] if len(first) else first
                 place = first - w.offsets[documents]
                 here = covered[place % PERIOD]
-                h, documents, place = h[here], documents[here], place[here]
-                # an anchor seen twice in this batch is known to repeat; its hash travels once
+                h, ids, at = h[here], _ids(part)[documents[here]], place[here].astype(np.int32)
                 order = np.argsort(h, kind="stable")
                 head = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, bool)
-                size = np.diff(np.concatenate([np.flatnonzero(head), [len(h)]]))
-                known = np.repeat(size > 1, size)
-                send = np.concatenate([order[head], order[known]])
+                own, others, offsets = _grouped(order, head)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h[send].view(np.int64), mask=np.arange(len(send)) >= head.sum()),
-                        pa.array(_column(part, "doc_id")[documents[send]]),
-                        pa.array(place[send].astype(np.int32)),
-                        pa.array(np.arange(len(send)) >= head.sum()),
-                    ],
-                    schema=schema,
+                    [pa.array(h[own].view(np.int64)), pa.array(ids[own]), pa.array(at[own]), _places(ids[others], at[others], offsets)],
+                    names=["h", "doc_id", "at", "others"],
                 )
 
     return run
 
 
 def _windows(window: int):
-    """Windows of a document that hold a repeated anchor: (h1, h2, doc_id, at, known)."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int32()), ("known", pa.bool_())])
+    """Windows that hold a repeated anchor: one row per distinct window of a batch, at its earliest place."""
 
     def run(batches):
         for batch in batches:
-            for part in hashing.slices(batch, "text"):
+            for part in hashing.slices(batch.filter(batch.column("anchors").is_valid()), "text"):
                 w = hashing.words(part.column("text"))
                 first, h1 = hashing.windows(w, window)
                 h2 = (hashing.windows(w, window, seed=1)[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -93,15 +107,19 @@ def _windows(window: int):
                 near = np.cumsum(marks)[first] > 0
                 first, h1, h2 = first[near], h1[near], h2[near]
                 documents = w.documents[first]
-                names = _column(part, "doc_id")[documents]
-                place = first - w.offsets[documents]
-                # the earliest of equal windows of this batch travels, the others are known to repeat
-                order = np.lexsort((place, names, h2, h1))
+                ids, at = _ids(part)[documents], (first - w.offsets[documents]).astype(np.int32)
+                order = np.lexsort((at, ids, h2, h1))
                 a, b = h1[order], h2[order]
                 head = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+                own, others, offsets = _grouped(order, head)
+                # of a repeated row (same id and place) neither is later than the other
+                same = (ids[others] == np.repeat(ids[own], np.diff(offsets))) & (at[others] == np.repeat(at[own], np.diff(offsets)))
+                counts = np.add.reduceat(np.append(~same, False).astype(np.int64), np.minimum(offsets[:-1], len(same))) * (np.diff(offsets) > 0)
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                others = others[~same]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array(b), pa.array(names[order]), pa.array(place[order].astype(np.int32)), pa.array(~head)],
-                    schema=schema,
+                    [pa.array(h1[own].view(np.int64)), pa.array(h2[own]), pa.array(ids[own]), pa.array(at[own]), _places(ids[others], at[others], offsets)],
+                    names=["h1", "h2", "doc_id", "at", "later"],
                 )
 
     return run
@@ -156,26 +174,24 @@ def repeated_passages(docs: DataFrame, window: int = 20, texts: bool = False) ->
         raise ValueError(f"window must be at least {PERIOD + 1}")
     prepare(docs.sparkSession)
     texts_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = texts_of.where("doc_id is not null")
-    anchors = named.mapInArrow(_anchors(window), "h long, doc_id long, at int, known boolean")
-    by_hash = Window.partitionBy("h")
+    anchors = texts_of.where("doc_id is not null").mapInArrow(_anchors(window), f"h long, doc_id long, at int, others {_PLACES_DDL}")
+    own = F.array(F.struct("doc_id", "at"))
     repeated = (
-        anchors.where("not known").withColumn("n", F.count("*").over(by_hash)).where("n > 1").select("doc_id", "at")
-        .unionByName(anchors.where("known").select("doc_id", "at"))
+        anchors.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1 or size(others) > 0")
+        .select(F.inline(F.concat(own, "others")))
     )
     # as long as the document's words at most
     per_document = pinned(repeated.groupBy("doc_id").agg(F.collect_list("at").alias("anchors")), "anchors")
-    candidates = pinned(
-        named.join(per_document, "doc_id").mapInArrow(_windows(window), "h1 long, h2 int, doc_id long, at int, known boolean"),
-        "windows",
+    # both joins with the texts are left joins on the same key, so that one exchange of the texts serves both
+    candidates = texts_of.join(per_document, "doc_id", "left").mapInArrow(
+        _windows(window), f"h1 long, h2 int, doc_id long, at int, later {_PLACES_DDL}"
     )
     earliest = F.min(F.struct("doc_id", "at")).over(Window.partitionBy("h1", "h2"))
-    marked = (
-        candidates.where("not known").withColumn("first", earliest)
-        .where("doc_id > first.doc_id or (doc_id = first.doc_id and at > first.at)").select("doc_id", "at")
-        .unionByName(candidates.where("known").select("doc_id", "at"))
+    itself = F.when(F.struct("doc_id", "at") > F.col("first"), own).otherwise(F.array().cast(_PLACES_DDL))
+    removed = (
+        candidates.withColumn("first", earliest).select(F.inline(F.concat(itself, "later")))
+        .groupBy("doc_id").agg(F.collect_list("at").alias("removed"))
     )
-    removed = marked.groupBy("doc_id").agg(F.collect_list("at").alias("removed"))
     last = "kept_text" if texts else "kept_sha256"
     return (
         texts_of.join(removed, "doc_id", "left")
