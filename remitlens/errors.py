@@ -9,6 +9,10 @@ class AnalyticsError(ValueError):
     code = "ANALYTICS_ERROR"
 
 
+class MissingSharedFolder(AnalyticsError):
+    code = "MissingSharedFolder"
+
+
 class InvalidRange(AnalyticsError):
     code = "InvalidRange"
 

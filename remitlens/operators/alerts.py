@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from remitlens.functions.numbers import exact_sum, safe_div
 from remitlens.operators.scans import ROWS_PER_BLOCK, even_block, previous_max, previous_row
-from remitlens.session import broadcast_if_small
 
 # Alert thresholds (a window fires above the count).
 ERROR_COUNT, SLOW_COUNT, RPC_ERROR_COUNT, DATABASE_ERROR_COUNT = 10, 5, 3, 1
@@ -173,13 +172,14 @@ def corridor_measures(metrics: DataFrame) -> DataFrame:
 def apply_alert_rules(measures: DataFrame, rules: DataFrame, as_of: datetime) -> DataFrame:
     """Alert history rows of active, unsnoozed rules.
 
-    Rules for one corridor join on (metric, corridor), rules for all corridors
-    on the metric; either side of the rules is broadcast only after a size check.
+    A measure meets the rules for its corridor and those for all corridors in one
+    equi-join: it is offered once under its own corridor and once under null,
+    which is what a rule for all corridors names.
     """
     live = rules.where(F.col("is_active") & (F.col("snoozed_until").isNull() | (F.col("snoozed_until") <= F.lit(as_of))))
-    general = broadcast_if_small(live.where(F.col("corridor_id").isNull()))
-    specific = broadcast_if_small(live.where(F.col("corridor_id").isNotNull()).withColumn("corridor", F.col("corridor_id")))
-    matched = measures.join(general, "metric_type").unionByName(measures.join(specific, ["metric_type", "corridor"]))
+    scopes = F.array_distinct(F.array(F.col("corridor"), F.lit(None).cast("string")))
+    offered = measures.withColumn("_scope", F.explode(scopes)).withColumnRenamed("metric_type", "_metric")
+    matched = offered.join(live, (F.col("_metric") == F.col("metric_type")) & F.col("_scope").eqNullSafe(F.col("corridor_id")))
     condition = F.col("condition")
     fires = (
         F.when(condition == "above", F.col("value") > F.col("threshold"))

@@ -187,40 +187,63 @@ def accept_epochs(submissions: DataFrame, check_duplicates: bool = False, rows_p
     return scanned.withColumn("reason", reason).drop("_basic", "_epoch", "_last")
 
 
-def previous_epochs(epochs: DataFrame) -> DataFrame:
-    """Each epoch with its predecessor, 0 for the first. One row per epoch comes in or is made here."""
-    distinct = epochs.select("epoch").distinct()
-    return distinct.select("epoch", F.coalesce(F.lag("epoch").over(Window.orderBy("epoch")), F.lit(0)).alias("from_epoch"))
+def previous_epochs(epochs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Each epoch of a contract with its predecessor, 0 for the first.
+
+    ``keys`` names the contract columns (``contract_id`` when the frame has it).
+    """
+    return _epoch_list(epochs, _contract_keys(epochs, keys)).drop("_next")
+
+
+def _contract_keys(df: DataFrame, keys: list[str] | None) -> list[str]:
+    return keys if keys is not None else [c for c in ("contract_id",) if c in df.columns]
 
 
-def diff_metrics(metrics: DataFrame) -> DataFrame:
-    """Added, removed and changed metrics between consecutive epochs.
+def _epoch_list(epochs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, epoch, from_epoch, _next) with blocked scans, so that a long list is not one task."""
+    distinct = epochs.select(*keys, "epoch").distinct()
+    block = even_block(distinct, "epoch")
+    placed = previous_row(distinct, keys, ["epoch"], ["epoch"], block, "_prev")
+    placed = placed.select(*keys, "epoch", F.coalesce("_prev.epoch", F.lit(0)).alias("from_epoch"), (-F.col("epoch")).alias("_back"))
+    back = previous_row(placed, keys, ["_back"], ["epoch"], even_block(placed, "_back"), "_following")
+    return back.select(*keys, "epoch", "from_epoch", F.col("_following.epoch").alias("_next"))
 
-    ``metrics`` holds (epoch, metric, value). The full outer join runs on
-    (epoch pair, metric), so a large epoch spreads over its metrics. The epoch
-    list itself is one row per epoch.
+
+def diff_metrics(metrics: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Added, removed and changed metrics between consecutive epochs of a contract.
+
+    ``metrics`` holds (epoch, metric, value), and ``contract_id`` if there are
+    several contracts; a metric is named once per epoch. Every row stands for the
+    new side of its epoch and the old side of the next one, and one aggregation on
+    (contract, epoch, metric) brings the sides together: a large epoch spreads
+    over its metrics.
     """
-    pairs = previous_epochs(metrics)
-    following = pairs.where(F.col("from_epoch") > 0)
-    new = metrics.join(pairs, "epoch").select("epoch", "metric", F.col("value").alias("new_value"))
-    old = metrics.withColumnRenamed("epoch", "from_epoch").join(following, "from_epoch").select(
-        "epoch", "metric", F.col("value").alias("old_value")
+    keys = _contract_keys(metrics, keys)
+    placed = metrics.join(_epoch_list(metrics, keys), [*keys, "epoch"])
+    value = metrics.schema["value"].dataType
+    none = F.lit(None).cast(value)
+    new = F.struct(F.col("from_epoch"), F.col("epoch").alias("to_epoch"), F.lit(1).alias("n"), F.lit(0).alias("o"), F.col("value").alias("new_value"), none.alias("old_value"))
+    old = F.struct(F.col("epoch").alias("from_epoch"), F.col("_next").alias("to_epoch"), F.lit(0).alias("n"), F.lit(1).alias("o"), none.alias("new_value"), F.col("value").alias("old_value"))
+    sides = placed.select(*keys, "metric", F.inline(F.array(new, old))).where("to_epoch is not null")
+    both = sides.groupBy(*keys, "from_epoch", "to_epoch", "metric").agg(
+        F.max("n").alias("n"), F.max("o").alias("o"), F.max("old_value").alias("old_value"), F.max("new_value").alias("new_value")
     )
-    both = new.join(old, ["epoch", "metric"], "full")
     kind = (
-        F.when(F.col("old_value").isNull(), F.lit("added"))
-        .when(F.col("new_value").isNull(), F.lit("removed"))
-        .when(F.col("old_value") != F.col("new_value"), F.lit("changed"))
+        F.when(F.col("o") == 0, F.lit("added"))
+        .when(F.col("n") == 0, F.lit("removed"))
+        .when(~F.col("old_value").eqNullSafe(F.col("new_value")), F.lit("changed"))
+    )
+    return both.withColumn("change", kind).where(F.col("change").isNotNull()).select(
+        *keys, "from_epoch", "to_epoch", "metric", "change", "old_value", "new_value"
     )
-    diffs = both.withColumn("change", kind).where(F.col("change").isNotNull())
-    return diffs.join(pairs, "epoch").select("from_epoch", F.col("epoch").alias("to_epoch"), "metric", "change", "old_value", "new_value")
 
 
-def diff_receipts(metrics: DataFrame) -> DataFrame:
+def diff_receipts(metrics: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Counts of added, removed and changed metrics per epoch, zeros included."""
+    keys = _contract_keys(metrics, keys)
     counts = (
-        diff_metrics(metrics)
-        .groupBy(F.col("to_epoch").alias("epoch"))
+        diff_metrics(metrics, keys)
+        .groupBy(*keys, F.col("to_epoch").alias("epoch"))
         .agg(
             F.count_if(F.col("change") == "added").alias("added"),
             F.count_if(F.col("change") == "removed").alias("removed"),
@@ -228,8 +251,8 @@ def diff_receipts(metrics: DataFrame) -> DataFrame:
         )
     )
     zero = F.lit(0)
-    return previous_epochs(metrics).join(counts, "epoch", "left").select(
-        "epoch", "from_epoch", *[F.coalesce(c, zero).alias(c) for c in ("added", "removed", "changed")]
+    return previous_epochs(metrics, keys).join(counts, [*keys, "epoch"], "left").select(
+        *keys, "epoch", "from_epoch", *[F.coalesce(c, zero).alias(c) for c in ("added", "removed", "changed")]
     )
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from remitlens.operators.scans import exact_percentiles
 from remitlens.functions import bands
 from remitlens.functions.numbers import exact_avg, exact_sum, js_round, pct, safe_div, to_fixed
 
@@ -33,9 +34,9 @@ def health_score(success_rate: Column, latency_ms: Column, latency_weight: float
 def corridor_metrics(payments: DataFrame, as_of: datetime) -> DataFrame:
     """Attempts, success rate, latency percentiles, volumes and slippage per corridor.
 
-    Payments are first reduced to one row per corridor and latency value (whole
-    milliseconds), combined map-side. The percentiles then work on value
-    frequencies, so a hot corridor is as cheap as its distinct latencies.
+    Payments are first reduced to one row per corridor and latency, combined
+    map-side. The percentiles are exact and work on these frequencies in blocks,
+    so neither a hot corridor nor a fine-grained latency is gathered.
     """
     recent = (F.col("ts") > F.lit(as_of - timedelta(hours=24))) & (F.col("ts") <= F.lit(as_of))
     by_latency = payments.groupBy("corridor", "source_asset", "dest_asset", "latency_ms").agg(
@@ -46,7 +47,8 @@ def corridor_metrics(payments: DataFrame, as_of: datetime) -> DataFrame:
         exact_sum("slippage_bps").alias("slippage"),
         F.max("ts").alias("last"),
     )
-    p = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("n"))
+    points = {"median_latency_ms": 0.5, "p95_latency_ms": 0.95, "p99_latency_ms": 0.99}
+    placed = exact_percentiles(by_latency, ["corridor", "source_asset", "dest_asset"], "latency_ms", points, weight="n")
     total, ok = F.sum("n"), F.sum("ok")
     metrics = by_latency.groupBy("corridor", "source_asset", "dest_asset").agg(
         total.alias("total_attempts"),
@@ -54,37 +56,28 @@ def corridor_metrics(payments: DataFrame, as_of: datetime) -> DataFrame:
         (total - ok).alias("failed_payments"),
         pct(ok, total).alias("success_rate"),
         safe_div(exact_sum(F.col("latency_ms") * F.col("n")), total).alias("average_latency_ms"),
-        p.alias("_p"),
         exact_sum("volume").alias("liquidity_depth_usd"),
         F.coalesce(exact_sum("volume_24h"), F.lit(0.0)).alias("liquidity_volume_24h_usd"),
         safe_div(exact_sum("slippage"), total).alias("average_slippage_bps"),
         F.max("last").alias("last_updated"),
     )
-    return metrics.select(
-        "*",
-        F.col("_p")[0].alias("median_latency_ms"),
-        F.col("_p")[1].alias("p95_latency_ms"),
-        F.col("_p")[2].alias("p99_latency_ms"),
-        health_score(F.col("success_rate"), F.col("average_latency_ms")).alias("health_score"),
-    ).drop("_p")
+    group = F.struct("corridor", "source_asset", "dest_asset")  # equal also where a field is null
+    placed = placed.select(group.alias("_group"), *points)
+    return metrics.withColumn("_group", group).join(placed, "_group", "left").drop("_group").withColumn(
+        "health_score", health_score(F.col("success_rate"), F.col("average_latency_ms"))
+    )
 
 
 def settlement_latency(payments: DataFrame, approximate: bool = False) -> DataFrame:
     """Median, p95 and p99 latency per day, rounded to whole milliseconds."""
-    points = F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
+    points = {"median_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
+    dated = payments.select(F.to_date("ts").alias("date"), "latency_ms")
     if approximate:
-        daily = payments.groupBy(F.to_date("ts").alias("date")).agg(
-            F.percentile_approx("latency_ms", [0.5, 0.95, 0.99], 10_000).alias("_p")
-        )
+        picked = F.percentile_approx("latency_ms", list(points.values()), 10_000)
+        daily = dated.groupBy("date").agg(picked.alias("_p")).select("date", *[F.col("_p")[i].alias(n) for i, n in enumerate(points)])
     else:
-        counted = payments.groupBy(F.to_date("ts").alias("date"), "latency_ms").agg(F.count("*").alias("n"))
-        daily = counted.groupBy("date").agg(F.percentile("latency_ms", points, F.col("n")).alias("_p"))
-    return daily.select(
-        "date",
-        js_round(F.col("_p")[0]).alias("median_ms"),
-        js_round(F.col("_p")[1]).alias("p95_ms"),
-        js_round(F.col("_p")[2]).alias("p99_ms"),
-    )
+        daily = exact_percentiles(dated, ["date"], "latency_ms", points)
+    return daily.select("date", *[js_round(n).alias(n) for n in points])
 
 
 def latest_point(series: DataFrame, date: str = "date") -> DataFrame:

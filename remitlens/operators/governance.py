@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from remitlens.functions.numbers import pct
 from remitlens.operators.scans import global_rank
-from remitlens.session import broadcast_if_small
 
 # Quests with their category, experience points and the pages that complete them.
 QUESTS = [
@@ -130,12 +129,9 @@ def _any_prefix(paths: list[str]):
 
 
 def quest_scores(progress: DataFrame, quests: DataFrame) -> DataFrame:
-    """Experience, completed quests and defi quests per user; an unknown quest gives 0 points.
-
-    The quest list is broadcast after a size check.
-    """
+    """Experience, completed quests and defi quests per user; an unknown quest gives 0 points."""
     return (
-        progress.join(broadcast_if_small(quests), "quest_id", "left")
+        progress.join(quests, "quest_id", "left")
         .groupBy("user_id")
         .agg(
             F.coalesce(F.sum("xp"), F.lit(0)).alias("xp"),

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from remitlens.session import broadcast_if_small
 
 # The keys every distribution reports, and the built-in templates.
 TYPES = ["success", "error", "warning", "info"]
@@ -156,8 +155,8 @@ def template_table(spark) -> DataFrame:
 
 
 def render_templates(events: DataFrame, templates: DataFrame) -> DataFrame:
-    """One notification per event whose template exists; broadcast after a size check."""
-    joined = events.join(broadcast_if_small(templates), "template_id")
+    """One notification per event whose template exists."""
+    joined = events.join(templates, "template_id")
     return joined.select(
         "event_id",
         "template_id",

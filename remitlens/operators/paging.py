@@ -41,10 +41,11 @@ def select_fields(df: DataFrame, fields: list[str] | None) -> DataFrame:
 
 
 def sort_by(df: DataFrame, key: str, ascending: bool = True) -> DataFrame:
-    """Numeric sort; a non-numeric key leaves the order alone."""
+    """Numeric sort, ties by the other columns; a non-numeric key leaves the order alone."""
     if not isinstance(df.schema[key].dataType, T.NumericType):
         return df
-    return df.orderBy(F.col(key).asc() if ascending else F.col(key).desc())
+    ties = [f.name for f in df.schema.fields if f.name != key and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return df.orderBy(F.col(key).asc() if ascending else F.col(key).desc(), *ties)
 
 
 def sort_anchors(anchors: DataFrame, key: str = "reliability", descending: bool = True) -> DataFrame:

@@ -30,7 +30,7 @@ def top_movers(assets: DataFrame, sort_by: str = "change", limit: int = 10, dire
 
 
 def asset_rankings(assets: DataFrame, by: str = "holders", limit: int = 50) -> DataFrame:
-    column = {"holders": "new_holders_24h", "volume": "volume_24h_usd"}[by]
+    column = {"holders": "holder_count", "volume": "volume_24h_usd"}[by]
     return _ranked(assets, [F.desc(column), F.asc("asset_code"), F.asc("asset_issuer")], limit)
 
 

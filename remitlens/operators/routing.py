@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.functions.numbers import safe_div, to_fixed
-from remitlens.session import broadcast_if_small
 
 # Base probability of the common pairs, and the recommendation per risk level.
 BASE_PROBABILITY = {
@@ -64,7 +63,7 @@ def model_interval(p: Column, confidence: Column) -> Column:
 
 def convert(amounts: DataFrame, prices: DataFrame) -> DataFrame:
     """Amount in the destination asset at the cross rate of the two USD prices; null without a price."""
-    usd = broadcast_if_small(prices.select("asset", "price_usd"))
+    usd = prices.select("asset", "price_usd")
     source = usd.withColumnsRenamed({"asset": "from_asset", "price_usd": "_source_usd"})
     dest = usd.withColumnsRenamed({"asset": "to_asset", "price_usd": "_dest_usd"})
     rate = safe_div(F.col("_source_usd"), F.nullif("_dest_usd", F.lit(0.0)))
@@ -80,14 +79,14 @@ def convert(amounts: DataFrame, prices: DataFrame) -> DataFrame:
 def with_routes(requests: DataFrame, routes: DataFrame) -> DataFrame:
     """Attach the routes on offer to each request as one array.
 
-    ``routes`` is a short price list (size-checked before it is broadcast):
+    ``routes`` is a price list of a few routes per set:
     route_set, route, spread_bps, service_bps, slippage_bps, network_fee. A request
     names its ``route_set``. With the list in the row, costing and choosing a
-    route need no shuffle at all.
+    route need no further shuffle.
     """
     fields = ["route", "spread_bps", "service_bps", "slippage_bps", "network_fee"]
     offered = routes.groupBy("route_set").agg(F.collect_list(F.struct(*fields)).alias("_routes"))
-    return requests.join(broadcast_if_small(offered), "route_set")
+    return requests.join(offered, "route_set")
 
 
 def _cost(route: Column) -> Column:

@@ -151,15 +151,17 @@ def global_rank(df: DataFrame, order: list, out: str = "rank") -> DataFrame:
     )
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float], weight: str | None = None) -> DataFrame:
     """Interpolated percentiles per key, exact, for groups of any size.
 
     Values are first reduced to (key, value, frequency), which splits a hot key
     over its values. Cumulative frequencies come from a two-level scan (value
     ranges of the key, then values inside a range), and each percentile picks
-    the two values around its position.
+    the two values around its position. ``weight`` is a column of frequencies, for
+    rows that are counted already.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    frequency = F.sum(weight) if weight else F.count("*")
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(frequency.alias("_n"))
     # Order-preserving range number: 64 ranges per power of two of the magnitude, however small it is.
     magnitude = F.floor(F.log2(F.abs(F.col(value).cast("double"))) * 64) + 1100 * 64
     block = F.when(F.col(value) == 0, F.lit(0)).otherwise(F.signum(F.col(value).cast("double")).cast("bigint") * magnitude)

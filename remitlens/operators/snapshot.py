@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from remitlens.errors import AnalyticsError, EmptyInput, InvalidRange
+from remitlens.errors import EmptyInput, InvalidRange
 from remitlens.functions.numbers import canonical_number, exact_sum, safe_div
+from remitlens.operators.scans import global_rank
 
 # Fixed value: version text pinned into every payload.
 MODEL_VERSION = "reliability-v2025.01"
@@ -77,19 +78,19 @@ def _json_text(name: str) -> Column:
     return F.regexp_replace(F.to_json(F.array(F.col(name))), r"^\[|\]$", "")
 
 
-def snapshot_payload(snapshot: DataFrame, max_records: int = 50_000) -> DataFrame:
-    """The whole snapshot as one canonical JSON string, corridors in byte order.
+def payload_lines(snapshot: DataFrame) -> DataFrame:
+    """The canonical payload in ordered lines (position, value): header, one record per row, footer.
 
-    One string is one row, so the number of corridors is checked first; larger
-    snapshots are written with ``sources.sinks.write_snapshot_payload``.
+    Joined without anything between them the lines are one JSON document, of any
+    number of records. Records go by corridor and source in byte order; the
+    separator leads every record but the first. Ordering and numbering are a range
+    sort and partition offsets, so no task holds the snapshot.
     """
-    if snapshot.limit(max_records + 1).count() > max_records:
-        raise AnalyticsError(f"more than {max_records} records: write the payload as ordered lines instead")
-    ordered = F.array_sort(F.collect_list(F.struct("corridor", "source", record_json().alias("json"))))
-    body = F.array_join(F.transform(ordered, lambda r: r.getField("json")), ",")
-    return snapshot.agg(
-        F.concat(F.lit('{"model_version":"' + MODEL_VERSION + '","records":['), body, F.lit("]}")).alias("payload")
-    )
+    ranked = global_rank(snapshot.select("corridor", "source", record_json().alias("json")), ["corridor", "source", "json"])
+    records = ranked.select(F.col("rank").alias("position"), F.concat(F.when(F.col("rank") == 1, F.lit("")).otherwise(F.lit(",")), "json").alias("value"))
+    frame = snapshot.sparkSession.createDataFrame([(0, '{"model_version":"' + MODEL_VERSION + '","records":[')], "position bigint, value string")
+    footer = records.agg(F.coalesce(F.max("position"), F.lit(0)).alias("n")).select((F.col("n") + 1).alias("position"), F.lit("]}").alias("value"))
+    return frame.unionByName(records).unionByName(footer)
 
 
 def replay(rows: DataFrame, start: int, end: int) -> DataFrame:
@@ -98,8 +99,8 @@ def replay(rows: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def replay_payload(rows: DataFrame, start: int, end: int) -> DataFrame:
-    """Canonical payload of a historical range; an empty range has an empty record list."""
-    return snapshot_payload(replay(rows, start, end))
+    """Lines of the canonical payload of a historical range; an empty range has a header and a footer."""
+    return payload_lines(replay(rows, start, end))
 
 
 def snapshot_digest(df: DataFrame, columns: list[str], snapshot_type: str) -> DataFrame:

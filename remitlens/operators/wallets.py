@@ -11,7 +11,7 @@ from remitlens.functions.numbers import exact_avg, exact_sum, pct, safe_div
 from remitlens.functions.times import week_end, week_start
 
 
-def baseline_24h(prices: DataFrame, keys: list[str], as_of: datetime, oldest: datetime | None = None) -> DataFrame:
+def baseline_24h(prices: DataFrame, keys: list[str], as_of: datetime) -> DataFrame:
     """Latest price and its change against the newest price at least 24 h old.
 
     One pass: both picks are conditional max_by aggregates over the same rows.
@@ -19,8 +19,6 @@ def baseline_24h(prices: DataFrame, keys: list[str], as_of: datetime, oldest: da
     """
     cut = as_of - timedelta(hours=24)
     old = F.col("ts") <= F.lit(cut)
-    if oldest is not None:
-        old = old & (F.col("ts") > F.lit(oldest))
     picked = (
         prices.where(F.col("ts") <= F.lit(as_of))
         .groupBy(*keys)
@@ -34,14 +32,19 @@ def baseline_24h(prices: DataFrame, keys: list[str], as_of: datetime, oldest: da
 
 
 def wallet_portfolio(holdings: DataFrame, transfers: DataFrame, prices: DataFrame, as_of: datetime) -> DataFrame:
-    """Value, 24 h change, asset count, 30-day transactions and last activity per wallet."""
-    priced = holdings.join(baseline_24h(prices, ["asset"], as_of), "asset")
+    """Value, 24 h change, asset count, 30-day transactions and last activity per wallet.
+
+    A holding without a price counts as an asset, adds no value and is reported
+    in ``unpriced_count``.
+    """
+    priced = holdings.join(baseline_24h(prices, ["asset"], as_of), "asset", "left")
     now = F.col("amount") * F.col("price_usd")
     before = F.col("amount") * F.coalesce(F.col("price_24h_ago"), F.col("price_usd"))
     value = priced.groupBy("wallet").agg(
-        exact_sum(now).alias("total_value_usd"),
-        exact_sum(before).alias("_before"),
+        F.coalesce(exact_sum(now), F.lit(0.0)).alias("total_value_usd"),
+        F.coalesce(exact_sum(before), F.lit(0.0)).alias("_before"),
         F.count_if(F.col("amount") > 0).alias("asset_count"),
+        F.count_if((F.col("amount") > 0) & F.col("price_usd").isNull()).alias("unpriced_count"),
     )
     recent = (F.col("ts") > F.lit(as_of - timedelta(days=30))) & (F.col("ts") <= F.lit(as_of))
     activity = (
@@ -56,6 +59,7 @@ def wallet_portfolio(holdings: DataFrame, transfers: DataFrame, prices: DataFram
         change.alias("change_24h_usd"),
         (safe_div(change, F.nullif("_before", F.lit(0.0))) * 100).alias("change_24h_pct"),
         "asset_count",
+        "unpriced_count",
         F.coalesce("transactions_30d", F.lit(0)).alias("transactions_30d"),
         "last_activity",
     )

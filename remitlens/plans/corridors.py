@@ -280,9 +280,9 @@ def corridor_labels(spark, sf):
 @query(
     "comparison_export",
     f"""{_WITH} SELECT source_asset || '-' || dest_asset AS "Corridor", printf('%.2f', round(success_rate, 2)) AS "Success Rate (%)",
-    printf('%.0f', round(average_latency_ms, 0)) AS "Avg Latency (ms)", total_attempts AS "Total Attempts", failed_payments AS "Failed" FROM m""",
+    printf('%.1f', round(health_score, 1)) AS "Health Score", printf('%.0f', round(average_latency_ms, 0)) AS "Avg Latency (ms)",
+    printf('%.2f', round(liquidity_depth_usd, 2)) AS "Liquidity Depth (USD)", printf('%.2f', round(liquidity_volume_24h_usd, 2)) AS "24h Volume (USD)",
+    printf('%.2f', round(average_slippage_bps, 2)) AS "Avg Slippage (bps)", total_attempts AS "Total Attempts", successful_payments AS "Successful", failed_payments AS "Failed" FROM m""",
 )
 def comparison_export(spark, sf):
-    return op.comparison_csv_rows(metrics(spark, sf)).select(
-        "Corridor", "Success Rate (%)", "Avg Latency (ms)", "Total Attempts", "Failed"
-    )
+    return op.comparison_csv_rows(metrics(spark, sf))

@@ -158,40 +158,44 @@ def period_trend(spark, sf):
     return rounded(op.period_trend(monthly, ["network"], "month", "n"), trend_pct=6)
 
 
-# Asset movers: unit price per brand, latest day against the newest day at least 24 h older.
-_MOVERS = f"""WITH d AS (SELECT p_brand AS asset_code, p_type AS asset_issuer, l_shipdate AS ts, {davg('l_extendedprice / l_quantity')} AS price,
-    {dsum('l_extendedprice')} AS volume, count(DISTINCT l_suppkey) AS holders FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
-  n AS (SELECT asset_code, asset_issuer, arg_max(price, ts) AS price_usd, arg_max(volume, ts) AS volume_24h_usd, arg_max(holders, ts) AS new_holders_24h
-        FROM d WHERE ts <= TIMESTAMP '1998-06-15' AND ts > TIMESTAMP '1998-05-01' GROUP BY 1, 2),
-  b AS (SELECT asset_code, asset_issuer, arg_max(price, ts) AS p24 FROM d WHERE ts <= TIMESTAMP '1998-06-14' AND ts > TIMESTAMP '1998-06-07' GROUP BY 1, 2),
-  a AS (SELECT n.*, round((price_usd - p24) * 100.0 / nullif(p24, 0), 6) AS change_24h_pct FROM n LEFT JOIN b USING (asset_code, asset_issuer))"""
-
-
-def asset_daily(spark, sf):
+# Asset movers: unit price per asset, the latest against the newest of at least 24 h before. An asset's
+# holders are the accounts that ever bought it.
+MOVERS_AS_OF = datetime(2001, 11, 4)
+_MOVERS = f"""WITH l AS (SELECT p_brand AS asset_code, p_type AS asset_issuer, l_shipdate AS ts, l_extendedprice, l_quantity, o_custkey
+    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate <= TIMESTAMP '{MOVERS_AS_OF}'),
+  d AS (SELECT asset_code, asset_issuer, ts, {davg('l_extendedprice / l_quantity')} AS price, {dsum('l_extendedprice')} AS volume FROM l GROUP BY 1, 2, 3),
+  h AS (SELECT asset_code, asset_issuer, count(DISTINCT o_custkey) AS holder_count FROM l GROUP BY 1, 2),
+  n AS (SELECT asset_code, asset_issuer, arg_max(price, ts) AS price_usd, arg_max(volume, ts) AS volume_24h_usd,
+          arg_max(price, ts) FILTER (ts <= TIMESTAMP '{MOVERS_AS_OF - timedelta(hours=24)}') AS p24 FROM d GROUP BY 1, 2),
+  a AS (SELECT asset_code, asset_issuer, price_usd, volume_24h_usd, holder_count, round((price_usd - p24) * 100.0 / nullif(p24, 0), 6) AS change_24h_pct
+        FROM n JOIN h USING (asset_code, asset_issuer))"""
+
+
+def asset_trades(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type")
-    lines = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
-    from remitlens.functions.numbers import exact_avg, exact_sum
-
-    return lines.join(part, F.expr("l_partkey = p_partkey")).groupBy(
-        F.col("p_brand").alias("asset_code"), F.col("p_type").alias("asset_issuer"), F.col("l_shipdate").alias("ts")
-    ).agg(
-        F.round(exact_avg(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias("price"),
-        F.round(exact_sum("l_extendedprice"), 4).alias("volume"),
-        F.countDistinct("l_suppkey").alias("holders"),
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    return lines.where(F.col("l_shipdate") <= F.lit(MOVERS_AS_OF)).join(orders, F.expr("l_orderkey = o_orderkey")).join(part, F.expr("l_partkey = p_partkey")).select(
+        F.col("p_brand").alias("asset_code"), F.col("p_type").alias("asset_issuer"), F.col("l_shipdate").alias("ts"), "l_extendedprice", "l_quantity", "o_custkey"
     )
 
 
 def movers(spark, sf):
+    from remitlens.functions.numbers import exact_avg, exact_sum
     from remitlens.operators.wallets import baseline_24h
 
-    end = datetime(1998, 6, 15)
-    daily = asset_daily(spark, sf).where((F.col("ts") > F.lit(datetime(1998, 5, 1))) & (F.col("ts") <= F.lit(end)))
-    latest = daily.groupBy("asset_code", "asset_issuer").agg(
-        F.max_by("volume", "ts").alias("volume_24h_usd"), F.max_by("holders", "ts").alias("new_holders_24h")
+    key = ["asset_code", "asset_issuer"]
+    trades = asset_trades(spark, sf)
+    daily = trades.groupBy(*key, "ts").agg(
+        F.round(exact_avg(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias("price"),
+        F.round(exact_sum("l_extendedprice"), 4).alias("volume"),
     )
-    change = baseline_24h(daily, ["asset_code", "asset_issuer"], end, oldest=end - timedelta(days=8))
-    return rounded(latest.join(change, ["asset_code", "asset_issuer"]), change_24h_pct=6).select(
-        "asset_code", "asset_issuer", "price_usd", "volume_24h_usd", "new_holders_24h", "change_24h_pct"
+    latest = daily.groupBy(*key).agg(F.max_by("volume", "ts").alias("volume_24h_usd"))
+    # members first, then their number: a popular asset is never gathered
+    holders = trades.select(*key, "o_custkey").distinct().groupBy(*key).agg(F.count("o_custkey").alias("holder_count"))
+    change = baseline_24h(daily, key, MOVERS_AS_OF)
+    return rounded(latest.join(change, key).join(holders, key), change_24h_pct=6).select(
+        *key, "price_usd", "volume_24h_usd", "holder_count", "change_24h_pct"
     )
 
 
@@ -220,7 +224,7 @@ def top_movers_losers(spark, sf):
     return rankings.top_movers(movers(spark, sf), "change", 5, direction="losers")
 
 
-@query("asset_rankings_holders", _rank("new_holders_24h DESC", 20))
+@query("asset_rankings_holders", _rank("holder_count DESC", 20))
 def asset_rankings_holders(spark, sf):
     return rankings.asset_rankings(movers(spark, sf), "holders", 20)
 

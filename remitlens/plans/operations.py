@@ -15,7 +15,7 @@ from remitlens.plans import parties
 from remitlens.plans.common import AS_OF, AS_OF_SQL, EVENTS_AS_OF, EVENTS_AS_OF_SQL
 from remitlens.plans.registry import query, rounded
 from remitlens.plans.views import EVENTS, PAYMENTS, davg, dsum
-from remitlens.sources.tables import events, payments, spread, table
+from remitlens.sources.tables import events, payments, table
 
 # ---- logs ----------------------------------------------------------------------------------------
 
@@ -143,7 +143,7 @@ def _redacted_sql(column: str) -> str:
 
 @query("redact_documents", f"SELECT doc_id, {_redacted_sql('text')} AS text FROM documents")
 def redact_documents(spark, sf):
-    return spread(table(spark, sf, "documents"), "doc_id").select("doc_id", redaction.redact_text(F.col("text"), ssn=True).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", redaction.redact_text(F.col("text"), ssn=True).alias("text"))
 
 
 @query("redact_conversations", f"SELECT conv_id, turn, {_redacted_sql('text')} AS text FROM conversations")
@@ -596,12 +596,15 @@ def payment_requests(spark, sf):
     )
 
 
+_ADVICE = [routing.RECOMMENDATIONS[level].replace("'", "''") for level in ("low", "medium", "high")]
+
+
 @query(
     "predict_success",
     f"""{_PRED} SELECT l_orderkey, l_linenumber, l_partkey, round(p, 6) AS success_probability, round(greatest(0, p - ((1 - p) * 0.3 + 0.02)), 6) AS lower_bound,
     round(least(1, p + ((1 - p) * 0.3 + 0.02) / 2), 6) AS upper_bound, CASE WHEN p >= 0.85 THEN 'low' WHEN p >= 0.65 THEN 'medium' ELSE 'high' END AS risk_level,
     concat_ws(',', CASE WHEN least(0.99, p + 0.03) > p THEN 'XLM' END, CASE WHEN 0.96 > p THEN 'USDC' END) AS routes,
-    left(CASE WHEN p >= 0.85 THEN 'High probability' WHEN p >= 0.65 THEN 'Moderate success' ELSE 'Risk of failure' END, 15) AS advice FROM p""",
+    CASE WHEN p >= 0.85 THEN '{_ADVICE[0]}' WHEN p >= 0.65 THEN '{_ADVICE[1]}' ELSE '{_ADVICE[2]}' END AS advice FROM p""",
 )
 def predict_success(spark, sf):
     scored = routing.predict_success(payment_requests(spark, sf))
@@ -609,11 +612,11 @@ def predict_success(spark, sf):
     routes = F.array_join(F.transform("alternative_routes", lambda r: r["via_asset"]), ",")
     return out.select(
         "l_orderkey", "l_linenumber", "l_partkey", "success_probability", "lower_bound", "upper_bound", "risk_level",
-        routes.alias("routes"), F.left("recommendation", F.lit(15)).alias("advice"),
+        routes.alias("routes"), F.col("recommendation").alias("advice"),
     )
 
 
-_PRICE = f"px AS (SELECT p_brand AS asset, {davg('p_retailprice')} AS price_usd FROM part WHERE p_size > 1 GROUP BY 1)"
+_PRICE = f"px AS (SELECT p_brand AS asset, {davg('p_retailprice')} AS price_usd FROM part GROUP BY 1)"
 
 
 @query(
@@ -624,7 +627,7 @@ _PRICE = f"px AS (SELECT p_brand AS asset, {davg('p_retailprice')} AS price_usd
 )
 def convert_amounts(spark, sf):
     part = table(spark, sf, "part")
-    prices = part.where(F.col("p_size") > 1).groupBy(F.col("p_brand").alias("asset")).agg(F.round(numbers.exact_avg("p_retailprice"), 6).alias("price_usd"))
+    prices = part.groupBy(F.col("p_brand").alias("asset")).agg(F.round(numbers.exact_avg("p_retailprice"), 6).alias("price_usd"))
     amounts = table(spark, sf, "lineitem").join(part.select("p_partkey", "p_brand"), F.expr("l_partkey = p_partkey")).select(
         "l_orderkey", "l_linenumber", "l_partkey", F.col("p_brand").alias("from_asset"),
         F.concat(F.lit("Brand#"), (F.col("l_linenumber") * 5).cast("string")).alias("to_asset"), F.col("l_extendedprice").alias("amount"),

@@ -251,9 +251,9 @@ def prices(spark, sf):
 @query(
     "wallet_portfolio",
     f"""{_WALLET}, b AS (SELECT asset, arg_max(price, ts) AS p, arg_max(price, ts) FILTER (ts <= {AS_OF_SQL} - INTERVAL 24 HOUR) AS q FROM price WHERE ts <= {AS_OF_SQL} GROUP BY 1),
-    v AS (SELECT wallet, CAST(sum(CAST(amount * p AS DECIMAL(38,12))) AS DOUBLE) AS v1, CAST(sum(CAST(amount * coalesce(q, p) AS DECIMAL(38,12))) AS DOUBLE) AS v0, count(*) FILTER (amount > 0) AS n FROM hold JOIN b USING (asset) GROUP BY 1),
+    v AS (SELECT wallet, CAST(sum(CAST(amount * p AS DECIMAL(38,12))) AS DOUBLE) AS v1, CAST(sum(CAST(amount * coalesce(q, p) AS DECIMAL(38,12))) AS DOUBLE) AS v0, count(*) FILTER (amount > 0) AS n, count(*) FILTER (amount > 0 AND p IS NULL) AS u FROM hold LEFT JOIN b USING (asset) GROUP BY 1),
     t AS (SELECT source_account AS wallet, count(*) FILTER (ts > {AS_OF_SQL} - INTERVAL 30 DAY) AS c, max(ts) AS l FROM payments WHERE ts <= {AS_OF_SQL} GROUP BY 1)
-    SELECT wallet, round(v1, 3) AS total_value_usd, round(v1 - v0, 3) AS change_24h_usd, round((v1 - v0) / nullif(v0, 0) * 100, 4) AS change_24h_pct, n AS asset_count,
+    SELECT wallet, round(coalesce(v1, 0), 3) AS total_value_usd, round(coalesce(v1 - v0, 0), 3) AS change_24h_usd, round((v1 - v0) / nullif(v0, 0) * 100, 4) AS change_24h_pct, n AS asset_count, u AS unpriced_count,
     coalesce(c, 0) AS transactions_30d, l AS last_activity FROM v LEFT JOIN t USING (wallet)""",
 )
 def wallet_portfolio(spark, sf):

@@ -1,7 +1,6 @@
 """Snapshots and replay over the payments."""
 
-from pyspark.sql import functions as F
-
+from remitlens.functions.numbers import canonical_number
 from remitlens.operators import snapshot as op
 from remitlens.plans.registry import query, rounded
 from remitlens.plans.views import PAYMENTS, davg, dsum
@@ -46,26 +45,35 @@ def replay_range(spark, sf):
     return _round(op.replay(snapshot_rows(spark, sf), 100, 900))
 
 
-# The payload carries numbers rounded to four decimals, printed with at least one decimal.
-_NUM = "regexp_replace(printf('%.4f', {0}), '(\\.\\d+?)0+$', '\\1')"
+# The payload prints a number with the shortest digits that read back; so does DuckDB in this range.
+_LINES = f"""s AS ({_SNAPSHOT} {{where}} GROUP BY corridor),
+    r AS (SELECT row_number() OVER (ORDER BY corridor, source) AS position, '{{{{"corridor":"' || corridor || '","source":"' || source
+             || '","avg_reliability":' || avg_reliability::VARCHAR || ',"total_volume":' || total_volume::VARCHAR
+             || ',"avg_latency_ms":' || avg_latency_ms::VARCHAR || '}}}}' AS j FROM s)
+    SELECT 0 AS position, '{{{{"model_version":"{op.MODEL_VERSION}","records":[' AS value
+    UNION ALL SELECT position, CASE WHEN position = 1 THEN '' ELSE ',' END || j FROM r
+    UNION ALL SELECT coalesce(max(position), 0) + 1, ']}}}}' FROM r"""
 
 
-@query(
-    "replay_payload",
-    f"""WITH {PAYMENTS}, s AS ({_SNAPSHOT} GROUP BY corridor),
-    r AS (SELECT corridor, '{{"corridor":"' || corridor || '","source":"' || source
-             || '","avg_reliability":' || {_NUM.format('round(avg_reliability, 4)')}
-             || ',"total_volume":' || {_NUM.format('total_volume')}
-             || ',"avg_latency_ms":' || {_NUM.format('round(avg_latency_ms, 4)')} || '}}' AS j FROM s)
-    SELECT '{{"model_version":"{op.MODEL_VERSION}","records":[' || string_agg(j, ',' ORDER BY corridor) || ']}}' AS payload
-    FROM r""",
-)
+def _lines(spark, sf, start, end):
+    return op.payload_lines(_round(op.replay(snapshot_rows(spark, sf), start, end)))
+
+
+@query("replay_payload", f"WITH {PAYMENTS}, " + _LINES.format(where="WHERE ledger_sequence BETWEEN 100 AND 900"))
 def replay_payload(spark, sf):
-    snap = rounded(
-        rounded(op.generate_snapshot(snapshot_rows(spark, sf)), avg_reliability=6, avg_latency_ms=6),
-        avg_reliability=4, total_volume=4, avg_latency_ms=4,
-    )
-    return op.snapshot_payload(snap)
+    return _lines(spark, sf, 100, 900)
+
+
+@query("replay_payload_empty_range", f"WITH {PAYMENTS}, " + _LINES.format(where="WHERE ledger_sequence BETWEEN -9 AND -1"))
+def replay_payload_empty_range(spark, sf):
+    return _lines(spark, sf, -9, -1)
+
+
+@query("snapshot_lines", f"WITH {PAYMENTS}, l AS (WITH " + _LINES.format(where="") + ") SELECT value FROM l")
+def snapshot_lines(spark, sf):
+    from remitlens.sources import sinks
+
+    return sinks.snapshot_lines(_round(op.generate_snapshot(snapshot_rows(spark, sf))))
 
 
 def _digest_sql(source: str, row: str, kind: str) -> str:
@@ -80,13 +88,11 @@ def _digest_sql(source: str, row: str, kind: str) -> str:
 
 @query(
     "snapshot_digest",
-    f"WITH {PAYMENTS}, c AS (SELECT corridor, count(*) AS n, count(*) FILTER (successful) AS ok FROM payments GROUP BY corridor), "
-    + _digest_sql("c", "concat_ws('|', corridor, n::VARCHAR, ok::VARCHAR)", "corridor"),
+    f"WITH {PAYMENTS}, c AS ({_SNAPSHOT} GROUP BY corridor), "
+    + _digest_sql("c", "concat_ws('|', corridor, source, avg_reliability::VARCHAR, total_volume::VARCHAR, avg_latency_ms::VARCHAR)", "corridor"),
 )
 def snapshot_digest(spark, sf):
-    from remitlens.sources.tables import payments
-
-    rows = payments(spark, sf, "corridor", "successful").groupBy("corridor").agg(
-        F.count("*").alias("n"), F.count_if("successful").alias("ok")
-    )
-    return op.snapshot_digest(rows, ["corridor", "n", "ok"], "corridor")
+    snap = _round(op.generate_snapshot(snapshot_rows(spark, sf)))
+    numbers = ["avg_reliability", "total_volume", "avg_latency_ms"]
+    texts = snap.withColumns({n: canonical_number(n) for n in numbers})
+    return op.snapshot_digest(texts, ["corridor", "source", *numbers], "corridor")

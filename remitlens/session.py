@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from remitlens.errors import MissingSharedFolder
 
 
 def build_session(app_name: str = "remitlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -34,23 +35,23 @@ def build_session(app_name: str = "remitlens", master: str | None = None, **conf
 def durable_checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    session that names none (a unit test) gets a folder of its own.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; see ``shared_dir``.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="remitlens-checkpoint-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint for a lookup side whose size has been checked.
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that the driver and all executors see, from ``spark.checkpoint.dir``.
 
-    The check reads at most ``max_rows + 1`` rows. A larger side comes back
-    unhinted and Spark picks a shuffle join for it.
+    A local session that names none (a test) gets a folder of its own; on a
+    cluster that is an error, since a machine-local folder would lose rows.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise MissingSharedFolder("name a shared folder in spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix="remitlens-shared-")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from remitlens.errors import BadEvent
 from remitlens.functions.numbers import to_fixed
-from remitlens.operators.snapshot import MODEL_VERSION, record_json
+from remitlens.operators.snapshot import payload_lines
 
 
 def export_columns(df: DataFrame, columns: dict[str, str], rate_is_fraction: bool = True) -> DataFrame:
@@ -41,21 +41,8 @@ def export_json(df: DataFrame, columns: list[str], path: str) -> None:
 
 
 def snapshot_lines(snapshot: DataFrame) -> DataFrame:
-    """The canonical payload as ordered text lines (header, records in byte order, footer).
-
-    The lines of all part files in order are one JSON document, however many
-    corridors there are. The separator leads each record but the first.
-    """
-    first = snapshot.agg(F.min("corridor")).scalar()
-    records = snapshot.select(
-        F.lit(1).alias("_section"),
-        F.col("corridor").alias("_key"),
-        F.concat(F.when(F.col("corridor") == first, F.lit("")).otherwise(F.lit(",")), record_json()).alias("value"),
-    )
-    frame = snapshot.sparkSession.createDataFrame(
-        [(0, "", '{"model_version":"' + MODEL_VERSION + '","records":['), (2, "", "]}")], "_section int, _key string, value string"
-    )
-    return records.unionByName(frame).orderBy("_section", "_key").select("value")
+    """The canonical payload as ordered text lines; the lines of all part files in order are one JSON document."""
+    return payload_lines(snapshot).orderBy("position").select("value")
 
 
 def write_snapshot_payload(snapshot: DataFrame, path: str) -> None:

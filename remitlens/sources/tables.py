@@ -16,18 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over the cores when a table consists of fewer files than there are cores.
-
-    For work that is heavy per row: a file read as one row group is one task,
-    however it is split. A table of many files is left as it is read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > 2 * cores or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 # column -> (expression, tables joined to lineitem)
 _PAYMENT = {
     "payment_id": ("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)", []),

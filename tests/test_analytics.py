@@ -28,7 +28,7 @@ def one(spark, column):
 @pytest.fixture
 def assets(spark):
     return spark.createDataFrame(
-        ASSETS, "asset_code string, asset_issuer string, price_usd double, change_24h_pct double, volume_24h_usd double, new_holders_24h bigint"
+        ASSETS, "asset_code string, asset_issuer string, price_usd double, change_24h_pct double, volume_24h_usd double, holder_count bigint"
     )
 
 

@@ -5,7 +5,7 @@ import json
 
 import pytest
 
-from remitlens.errors import AnalyticsError, EmptyInput, InvalidRange
+from remitlens.errors import EmptyInput, InvalidRange
 from remitlens.operators import snapshot as op
 from remitlens.sources import sinks
 from remitlens.sources.schemas import RAW_SNAPSHOT_ROW
@@ -25,7 +25,7 @@ def rows(spark):
 
 
 def payload(df):
-    return df.first()["payload"]
+    return "".join(r["value"] for r in df.orderBy("position").collect())
 
 
 def test_golden_values(rows):
@@ -62,9 +62,12 @@ def test_source_is_that_of_the_lowest_ledger(spark):
     assert op.generate_snapshot(df, by_network=True).count() == 3
 
 
-def test_payload_size_is_checked(rows):
-    with pytest.raises(AnalyticsError):
-        op.snapshot_payload(op.generate_snapshot(rows), max_records=1)
+def test_payload_of_two_networks_in_one_corridor_is_json(spark):
+    rows = [(1, "a", "x", 1.0, 1e-13, 1.0), (1, "a", "y", 1.0, 1e26, 1.0), (1, "b", "x", float("nan"), 1.0, None)]
+    snap = op.generate_snapshot(spark.createDataFrame(rows, RAW_SNAPSHOT_ROW), by_network=True)
+    got = json.loads(payload(op.payload_lines(snap)))["records"]
+    assert [(r["corridor"], r["source"]) for r in got] == [("a", "x"), ("a", "y"), ("b", "x")]
+    assert [r["total_volume"] for r in got] == [1e-13, 1e26, 1.0] and got[2]["avg_reliability"] is None
 
 
 def test_written_lines_are_the_payload(rows, tmp_path):
@@ -72,7 +75,7 @@ def test_written_lines_are_the_payload(rows, tmp_path):
     sinks.write_snapshot_payload(snap, str(tmp_path / "out"))
     parts = sorted((tmp_path / "out").glob("part-*"))
     text = "".join("".join(p.read_text().splitlines()) for p in parts)
-    assert text == payload(op.snapshot_payload(snap))
+    assert text == payload(op.payload_lines(snap))
 
 
 def test_digest_ignores_order_but_not_content(spark):
