@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Redaction patterns and their replacements, in application order.
 # Addresses are themselves long tokens, so they come before the token rule.
@@ -25,9 +28,9 @@ SENSITIVE_KEY = r"(?i)password|secret|token|key|auth|credential|private|seed|mne
 SENSITIVE_FIELDS = ["password", "api_key", "secret", "token", "authorization"]
 
 
-def redact_text(col: Column, ssn: bool = False, mnemonics: bool = False) -> Column:
+def redact_text(col: Column, ssn: bool = True, mnemonics: bool = True) -> Column:
     """Apply the rules in order. The mnemonic rules match any 12 or 24 lower-case
-    words in a row, which ordinary prose contains too, so they are off by default."""
+    words in a row, which ordinary prose contains too: turn them off for prose."""
     rules = list(TEXT_RULES)
     if ssn:
         rules.append(SSN_RULE)
@@ -45,6 +48,33 @@ def redact_map(col: Column) -> Column:
     )
 
 
+def redact_nested(col: Column, kind: T.DataType, key: str = "") -> Column:
+    """The same for structs, arrays and maps of any depth, by their type.
+
+    What stands under a sensitive key becomes "[REDACTED]", whatever its type;
+    other text goes through the text rules; numbers and dates stay.
+    """
+    if re.search(SENSITIVE_KEY, key):
+        return F.when(col.isNotNull(), F.lit("[REDACTED]"))
+    if isinstance(kind, T.StructType):
+        fields = [redact_nested(col[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields]
+        return F.when(col.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: redact_nested(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        inner = kind.valueType
+        if isinstance(inner, T.StringType):
+            return redact_map(col)
+        # a map has one value type: sensitive values vanish, the others are redacted inside
+        return F.transform_values(col, lambda k, v: F.when(~k.rlike(SENSITIVE_KEY), redact_nested(v, inner)))
+    return redact_text(col) if isinstance(kind, T.StringType) else col
+
+
+def redact_columns(df: DataFrame) -> DataFrame:
+    """Every column of a frame under ``redact_nested``."""
+    return df.select(*[redact_nested(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema.fields])
+
+
 def drop_sensitive_fields(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Remove sensitive columns, and fields of that name one level down in structs."""
     names = names or SENSITIVE_FIELDS

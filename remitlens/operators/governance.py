@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from remitlens.functions.numbers import pct
@@ -113,12 +113,34 @@ def quest_table(spark) -> DataFrame:
     return spark.createDataFrame([q[:3] for q in QUESTS], "quest_id string, category string, xp bigint")
 
 
-def path_completions(visits: DataFrame) -> DataFrame:
-    """Quest completed by a page visit: the first quest, in list order, one of whose paths starts the page path."""
-    hit = F.coalesce(
-        *[F.when(_any_prefix(paths), F.lit(quest)) for quest, _, _, paths in QUESTS], F.lit(None).cast("string")
-    )
-    return visits.withColumn("quest_id", hit).where(F.col("quest_id").isNotNull())
+def path_completions(visits: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """Quests completed by page visits: (user_id, quest_id), in the order of ``visited_at``.
+
+    A visit completes the first quest, in list order, that the user has not
+    completed and one of whose paths starts the page path. ``done`` (user_id,
+    quest_id) lists earlier completions. Of the visits that match the same quests
+    only as many as there are such quests can complete anything, so each user
+    keeps a bounded number of visits, and the rest never leaves its task.
+    """
+    found = F.array_compact(F.array(*[F.when(_any_prefix(paths), F.lit(quest)) for quest, _, _, paths in QUESTS]))
+    order = ["visited_at", "path"] if "visited_at" in visits.columns else ["path"]
+    matched = visits.select("user_id", F.struct(*order).alias("at"), found.alias("quests")).where(F.size("quests") > 0)
+    nth = F.row_number().over(Window.partitionBy("user_id", "quests").orderBy("at"))
+    few = matched.withColumn("nth", nth).where(F.col("nth") <= len(QUESTS))
+    per_user = few.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("at", "quests"))).alias("visits"))
+    nothing = F.array().cast("array<string>")
+    before = nothing
+    if done is not None:
+        earlier = done.groupBy("user_id").agg(F.collect_set("quest_id").alias("before"))
+        per_user = per_user.join(earlier, "user_id", "left")
+        before = F.coalesce("before", nothing)
+
+    def visit(completed, v):
+        left = F.array_except(v["quests"], completed)
+        return F.when(F.size(left) > 0, F.concat(completed, F.slice(left, 1, 1))).otherwise(completed)
+
+    completed = F.aggregate("visits", before, visit)
+    return per_user.select("user_id", F.explode(F.array_except(completed, before)).alias("quest_id"))
 
 
 def _any_prefix(paths: list[str]):

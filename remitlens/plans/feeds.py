@@ -121,6 +121,26 @@ def normalize_series(spark, sf):
     return payloads.normalize_series(payload, payloads.VALUE_NAMES["volume"], ["user_id"], out="volume")
 
 
+def _series_family(family):
+    names = payloads.VALUE_NAMES[family]
+
+    @query(
+        f"normalize_series_{family}",
+        f"WITH {EVENTS} SELECT user_id, strftime(ts::DATE, '%Y-%m-%d') AS date, CAST(count(*) AS DOUBLE) AS number FROM ev GROUP BY user_id, ts::DATE",
+    )
+    def series(spark, sf):
+        day, n = F.date_format("date", "yyyy-MM-dd"), F.col("n")
+        daily = events(spark, sf).groupBy("user_id", F.to_date("ts").alias("date")).agg(F.count("*").alias("n"))
+        # the name of the value varies by day
+        point = F.struct(day.alias("date"), *[F.when(F.pmod(n, F.lit(len(names))) == i, n).alias(name) for i, name in enumerate(names)])
+        payload = daily.groupBy("user_id").agg(F.to_json(F.struct(F.collect_list(point).alias("series"))).alias("value"))
+        return payloads.normalize_series(payload, names, ["user_id"])
+
+
+for _family in ("active_accounts", "transactions", "new_accounts", "fees", "contract_calls"):
+    _series_family(_family)
+
+
 # ---- realtime messages ---------------------------------------------------------------------------
 
 def message_text(spark, sf):

@@ -123,32 +123,51 @@ def top_error_messages(spark, sf):
 
 # ---- redaction -----------------------------------------------------------------------------------
 
-_RULES = [
-    ("G[A-Z0-9]{55}", "G****[REDACTED]"),
-    ("S[A-Z0-9]{55}", "S****[REDACTED_SECRET]"),
-    (r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*", "[REDACTED_JWT]"),
-    (r"\b[A-Za-z0-9_-]{32,}\b", "[REDACTED_KEY]"),
-    (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "****@[REDACTED]"),
-    (r"(\+\d{1,3})\d{7,}", r"\1****[REDACTED]"),
-    (r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b", "****-****-****-[REDACTED]"),
-    (r"\b\d{3}-\d{2}-\d{4}\b", "***-**-[REDACTED]"),
-]
-
-
-def _redacted_sql(column: str) -> str:
-    for pattern, replacement in _RULES:
-        column = f"regexp_replace({column}, '{pattern}', '{replacement}', 'g')"
+def _redacted_sql(column: str, rules=(*redaction.TEXT_RULES, redaction.SSN_RULE)) -> str:
+    for pattern, replacement in rules:
+        column = f"regexp_replace({column}, '{pattern}', '{replacement.replace('$1', chr(92) + '1')}', 'g')"
     return column
 
 
 @query("redact_documents", f"SELECT doc_id, {_redacted_sql('text')} AS text FROM documents")
 def redact_documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", redaction.redact_text(F.col("text"), ssn=True).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", redaction.redact_text(F.col("text"), mnemonics=False).alias("text"))
 
 
 @query("redact_conversations", f"SELECT conv_id, turn, {_redacted_sql('text')} AS text FROM conversations")
 def redact_conversations(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", redaction.redact_text(F.col("text"), ssn=True).alias("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", redaction.redact_text(F.col("text"), mnemonics=False).alias("text"))
+
+
+_ASCII = "regexp_replace(text, '[^ -~]', '', 'g')"
+_ALL_RULES = (*redaction.MNEMONIC_RULES, *redaction.TEXT_RULES, redaction.SSN_RULE)
+
+
+@query("redact_mnemonics", f"SELECT doc_id, {_redacted_sql(_ASCII, _ALL_RULES)} AS text FROM documents")
+def redact_mnemonics(spark, sf):
+    """All rules; word boundaries of the two engines agree on ASCII text."""
+    plain = F.regexp_replace("text", "[^ -~]", "")
+    return table(spark, sf, "documents").select("doc_id", redaction.redact_text(plain).alias("text"))
+
+
+@query(
+    "redact_nested",
+    f"""WITH {EVENTS} SELECT event_id, '[REDACTED]' AS token, '[REDACTED]' AS inner_secret, CASE WHEN k < 50 THEN '****@[REDACTED]' ELSE event_type END AS note,
+    k AS number, '[REDACTED]' AS listed_key, event_type AS listed_note FROM ev""",
+)
+def redact_nested(spark, sf):
+    text = lambda c: F.col(c).cast("string")
+    note = F.when(F.col("k") < 50, F.concat(text("user_id"), F.lit("@mail.example.org"))).otherwise(F.col("event_type"))
+    tree = F.struct(
+        F.struct(text("k").alias("clientSecret"), note.alias("note"), F.col("k").alias("number")).alias("inner"),
+        F.struct(text("k").alias("x")).alias("authToken"),
+        F.array(F.struct(text("value").alias("api_key"), F.col("event_type").alias("note"))).alias("items"),
+    )
+    masked = redaction.redact_columns(events(spark, sf).select("event_id", tree.alias("tree")))
+    return masked.select(
+        "event_id", F.col("tree.authToken").alias("token"), F.col("tree.inner.clientSecret").alias("inner_secret"), F.col("tree.inner.note").alias("note"),
+        F.col("tree.inner.number").alias("number"), F.col("tree.items")[0]["api_key"].alias("listed_key"), F.col("tree.items")[0]["note"].alias("listed_note"),
+    )
 
 
 @query(

@@ -14,13 +14,21 @@ ENVELOPES = ["points", "series", "data"]
 DATE_NAMES = ["date", "day", "timestamp"]
 VALUE_NAMES = {
     "volume": ["volume", "volume_usd", "payment_volume"],
+    "active_accounts": ["count", "active_accounts", "daily_active_accounts"],
+    "transactions": ["count", "transactions", "tx_count"],
+    "new_accounts": ["count", "new_accounts", "created_accounts"],
+    "fees": ["avg_fee_stroops", "avg_fee", "average_fee"],
+    "contract_calls": ["count", "call_count"],
 }
 NUMBER_KINDS = r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)"
 
 
-def read_pages(spark: SparkSession, path: str, schema) -> DataFrame:
-    """JSON documents (one per file or one per line) of a paged endpoint."""
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+def read_pages(spark: SparkSession, path: str, schema, lines: bool = False) -> DataFrame:
+    """JSON documents of a paged endpoint: one per file, or one per line with ``lines``.
+
+    Files of lines are split and read in parallel; a file of one document is one task.
+    """
+    return spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
 
 
 def parse_pages(df: DataFrame, schema, value: str = "value") -> DataFrame:

@@ -55,20 +55,29 @@ def _spread(df: DataFrame, partition: str, files: int) -> DataFrame:
     return df.repartition(partition, salt)
 
 
-def append_metrics(df: DataFrame, path: str, files_per_network: int = 64) -> None:
-    """Append to the network-partitioned store."""
-    _spread(df, "network", files_per_network).write.mode("append").partitionBy("network").parquet(path)
+def _replace_parts(df: DataFrame, path: str, *partitions: str) -> None:
+    """Write partitions; those that the frame has replace their old content, all others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
+def append_metrics(df: DataFrame, path: str, batch_id: int = 0, files_per_network: int = 64) -> None:
+    """Add a batch to the network-partitioned store.
+
+    The batch number is a partition below the network, so a repeated batch replaces itself.
+    """
+    _replace_parts(_spread(df, "network", files_per_network).withColumn("batch", F.lit(batch_id)), path, "network", "batch")
 
 
 def route_logs(logs: DataFrame, path: str, batch_id: int = 0, files_per_day: int = 64) -> None:
     """All documents by day, and the error documents once more by day.
 
-    The batch number is part of the directory, so a repeated batch replaces its own output.
+    The layout is ``<all or errors>/log_date=.../batch=...``: retention drops days, and a
+    repeated batch replaces its own output.
     """
     dated = logs.withColumn("log_date", F.to_date("event_time"))
     errors = dated.where(F.array_contains("tags", "error"))
     for name, rows in (("all", dated), ("errors", errors)):
-        _spread(rows, "log_date", files_per_day).write.mode("overwrite").partitionBy("log_date").parquet(f"{path}/{name}/batch={batch_id}")
+        _replace_parts(_spread(rows, "log_date", files_per_day).withColumn("batch", F.lit(batch_id)), f"{path}/{name}", "log_date", "batch")
 
 
 def write_normalized_events(

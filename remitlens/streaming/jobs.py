@@ -6,7 +6,6 @@ runs again after a lost executor or driver replaces its own output.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from remitlens.operators import contract_events as ev
 from remitlens.operators.logs import shape_logs
+from remitlens.session import shared_dir
 from remitlens.sources import sinks
 from remitlens.streaming import messages as msg
 
@@ -27,8 +27,7 @@ ALERT_LIST, PAYMENT_LIST = 50, 100
 
 def stream_dir(spark: SparkSession, name: str) -> str:
     """New folder for one stream's output and checkpoint, in the cluster's shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="remitlens-stream-")
-    return f"{base.rstrip('/')}/remitlens/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/remitlens/{name}-{uuid.uuid4().hex}"
 
 
 def _start(df: DataFrame, path: str, write, mode: str) -> StreamingQuery:

@@ -133,6 +133,9 @@ def test_redaction(spark):
     assert one(spark, redaction.redact_text(F.lit("ssn 123-45-6789"), ssn=True)) == "ssn ***-**-[REDACTED]"
     words = " ".join(["word"] * 12)
     assert one(spark, redaction.redact_text(F.lit(words), mnemonics=True)) == "[12_WORD_MNEMONIC_REDACTED]"
+    tree = spark.createDataFrame([({"token": {"a": 1}, "list": [{"note": "a@b.io", "secretKey": "x"}]}, None)], "t struct<token: struct<a: int>, list: array<struct<note: string, secretKey: string>>>, n string")
+    row = redaction.redact_columns(tree).first()
+    assert row["t"]["token"] == "[REDACTED]" and tuple(row["t"]["list"][0]) == ("****@[REDACTED]", "[REDACTED]") and row["n"] is None
     masked = one(spark, redaction.redact_map(F.create_map(F.lit("API_KEY"), F.lit("x"), F.lit("note"), F.lit("a@b.io"))))
     assert masked == {"API_KEY": "[REDACTED]", "note": "****@[REDACTED]"}
     df = spark.createDataFrame([(1, ("s", "keep"))], "id int, auth struct<token:string,user:string>")
@@ -232,6 +235,11 @@ def test_quest_paths_and_achievements(spark):
     done = governance.path_completions(visits)
     # the dashboard quest also lists the root path, so any other page completes it
     assert sorted(r["quest_id"] for r in done.collect()) == ["view-claimable-balances", "view-corridor", "view-dashboard", "view-liquidity-pools"]
+    trail = [("w", "/sep6", 1), ("w", "/sep6", 2), ("w", "/sep6", 3), ("w", "/send-payment", 4), ("x", "/corridors", 1), ("x", "/corridors", 2)]
+    trail = spark.createDataFrame(trail, "user_id string, path string, visited_at int")
+    earlier = spark.createDataFrame([("x", "view-corridor"), ("x", "view-dashboard")], "user_id string, quest_id string")
+    got = sorted((r["user_id"], r["quest_id"]) for r in governance.path_completions(trail, earlier).collect())
+    assert got == [("w", "send-payment"), ("w", "view-dashboard"), ("w", "view-sep6")]
     scores = governance.quest_scores(done, governance.quest_table(spark))
     unlocked = {r["achievement"] for r in governance.achievements(scores).where("user_id = 'u'").collect()}
     assert unlocked == {"first-quest", "explorer-3", "defi-expert"}

@@ -118,6 +118,24 @@ def test_retention_drops_old_partitions_only(spark, tmp_path):
     assert spark.read.parquet(path).count() == 30
 
 
+def test_retention_over_routed_logs_and_repeated_batches(spark, tmp_path):
+    path = str(tmp_path / "routed")
+    logs = spark.createDataFrame([(i, datetime(2024, 1, 1 + i), ["error"] if i % 2 else []) for i in range(20)], "id int, event_time timestamp, tags array<string>")
+    for _ in range(2):
+        sinks.route_logs(logs, path, batch_id=7, files_per_day=1)
+    assert spark.read.parquet(f"{path}/all").count() == 20 and spark.read.parquet(f"{path}/errors").count() == 10
+    assert len(sinks.apply_retention(spark, f"{path}/all", datetime(2024, 2, 9))) == 10
+    assert spark.read.parquet(f"{path}/all").count() == 10
+
+
+def test_pages_by_line_and_by_file(spark, tmp_path):
+    for name, text in (("lines", '{"a": 1}\n{"a": 2}\n{"a": 3}\n'), ("whole", '{\n "a": 4\n}')):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.json").write_text(text)
+    assert sorted(r["a"] for r in payloads.read_pages(spark, str(tmp_path / "lines"), "a int", lines=True).collect()) == [1, 2, 3]
+    assert [r["a"] for r in payloads.read_pages(spark, str(tmp_path / "whole"), "a int").collect()] == [4]
+
+
 def _written(folder):
     """Text of the one part file that holds the row (empty partitions may leave files too)."""
     return max((p.read_text() for p in folder.glob("part-*")), key=len)
@@ -136,7 +154,8 @@ def test_exports(spark, tmp_path):
 
 def test_network_store_prunes(spark, tmp_path):
     df = spark.createDataFrame([("a", "testnet"), ("b", "mainnet")], "corridor string, network string")
-    sinks.append_metrics(df, str(tmp_path / "store"))
+    for _ in range(2):  # a repeated batch replaces itself
+        sinks.append_metrics(df, str(tmp_path / "store"), batch_id=3)
     stored = spark.read.parquet(str(tmp_path / "store")).where("network = 'mainnet'")
     assert [r["corridor"] for r in stored.collect()] == ["b"]
     assert "PartitionFilters: [isnotnull(network" in stored._jdf.queryExecution().toString()
