@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from remitlens.llm import hashing
@@ -194,10 +194,10 @@ def train(docs: DataFrame, per_language: int = 300, words_per_language: int = 8_
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1_000_003)) / 1_000_003
     sample = usable.where(draw < share[F.col("lang")]).select("lang", "text")
     counted = sample.mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rows = []
-    for lang in sorted(sizes):
-        top = counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(words_per_language)
-        rows += [(r.lang, bytes(r.word), r.n) for r in top.collect()]
+    # the limit also runs before the shuffle; what is collected is bounded per language
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = counted.withColumn("nth", nth).where(F.col("nth") <= words_per_language).select("lang", "word", "n")
+    rows = [(r.lang, bytes(r.word), r.n) for r in top.collect()]
     return fit(rows, **settings)
 
 
