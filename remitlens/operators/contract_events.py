@@ -34,13 +34,17 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
-def _first_entry(name: str) -> Column:
-    return F.get(F.filter("data", lambda e: (e["key_kind"] == "symbol") & (e["key"] == name)), F.lit(0))
+# Codes of entries whose key is no symbol, or has no text; no key starts like that.
+_BAD_KIND, _BAD_TEXT = "\0kind", "\0text"
+
+
+def _at(code: str) -> Column:
+    """1-based position of the first entry of that name or code, 0 when there is none."""
+    return F.coalesce(F.array_position("_codes", F.lit(code)), F.lit(0))
 
 
-def _first_position(test) -> Column:
-    """1-based position of the first entry that meets the test, 0 when none does."""
-    return F.array_position(F.transform("data", lambda e: F.coalesce(test(e), F.lit(False))), True)
+def _first_entry(name: str) -> Column:
+    return F.get("data", (_at(name) - 1).cast("int"))
 
 
 def _wrong_type(name: str, kind: str, extra: Column | None = None) -> Column:
@@ -61,11 +65,16 @@ def _entry_errors() -> Column:
         return (
             F.when(entry["key_kind"] != "symbol", _error("InvalidFieldNameType"))
             .when(entry["key"].isNull(), _error("InvalidFieldNameEncoding"))
-            .when(F.array_position(F.col("_keys"), entry["key"]) <= index, _error("DuplicateField", entry["key"]))
+            .when(F.array_position(F.col("_codes"), entry["key"]) <= index, _error("DuplicateField", entry["key"]))
             .when(~F.array_contains(F.col("_expected"), entry["key"]), _error("UnexpectedField", entry["key"]))
         )
 
-    return F.get(F.array_compact(F.transform("data", check)), F.lit(0))
+    # most events have no such entry, which whole-array functions tell without looking at one entry at a time
+    clean = (
+        (_at(_BAD_KIND) == 0) & (_at(_BAD_TEXT) == 0) & (F.size(F.array_distinct("_codes")) == F.size("_codes"))
+        & (F.size(F.array_except("_codes", "_expected")) == 0)
+    )
+    return F.when(~clean, F.get(F.array_compact(F.transform("data", check)), F.lit(0)))
 
 
 def decode_snapshot_events(events: DataFrame) -> DataFrame:
@@ -76,12 +85,12 @@ def decode_snapshot_events(events: DataFrame) -> DataFrame:
     entries of the payload are looked up once per row, before the checks.
     """
     topic, number = F.get("topics", F.lit(0)), F.col("_number")
+    # the one pass over the entries; every later look-up is an array search by name
+    code = lambda e: F.when(F.coalesce(e["key_kind"], F.lit("")) != "symbol", F.lit(_BAD_KIND)).otherwise(F.coalesce(e["key"], F.lit(_BAD_TEXT)))
+    found = once(events, _codes=F.transform("data", code))
     found = once(
-        events,
-        _keys=F.transform("data", lambda e: F.coalesce(e["key"], F.lit(""))),
-        _version_at=_first_position(lambda e: (e["key_kind"] == "symbol") & (e["key"] == "schema_version")),
-        _bad_key_at=_first_position(lambda e: e["key_kind"] != "symbol"),
-        _bad_text_at=_first_position(lambda e: (e["key_kind"] == "symbol") & e["key"].isNull()),
+        found,
+        _version_at=_at("schema_version"), _bad_key_at=_at(_BAD_KIND), _bad_text_at=_at(_BAD_TEXT),
         **{f"_{name}": _first_entry(name) for name in V2_FIELDS},
     )
     version = F.col("_schema_version")
@@ -95,7 +104,7 @@ def decode_snapshot_events(events: DataFrame) -> DataFrame:
     def met_first(position: Column) -> Column:
         return (position > 0) & ((version_at == 0) | (position < version_at))
 
-    missing = F.get(F.array_except("_expected", "_keys"), F.lit(0))
+    missing = F.get(F.array_except("_expected", "_codes"), F.lit(0))
     too_big = [
         F.when(F.col(f"_{name}")["val"].try_cast("bigint").isNull(), _error("ValueOutOfRange", name))
         for name in ("epoch", "submitted_at")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,11 +133,17 @@ def best_routes(requests: DataFrame, routes: DataFrame) -> DataFrame:
     return priced.select(*kept, F.array_min(F.transform("_routes", _cost)).alias("_cost")).select(*kept, "_cost.*")
 
 
+def _last_days(df: DataFrame, as_of, days: int) -> DataFrame:
+    """Rows of the last days up to ``as_of``; plain bounds on the date, which go below a grouping by date."""
+    last = as_of.date()
+    return df.where(F.col("date").between(F.lit(last - timedelta(days=days - 1)), F.lit(last)))
+
+
 def corridor_insights(history: DataFrame, as_of, weak_rate: float = 95.0) -> DataFrame:
     """Sentences on each corridor's rate change this week against the week before."""
     day = F.lit(as_of.date())
     age = F.datediff(day, "date")
-    week = history.where((age >= 0) & (age < 14)).groupBy("corridor").agg(
+    week = _last_days(history, as_of, 14).groupBy("corridor").agg(
         F.sum(F.when(age < 7, F.col("successes"))).alias("_ok1"), F.sum(F.when(age < 7, F.col("attempts"))).alias("_n1"),
         F.sum(F.when(age >= 7, F.col("successes"))).alias("_ok0"), F.sum(F.when(age >= 7, F.col("attempts"))).alias("_n0"),
     )
@@ -163,7 +171,7 @@ def anchor_insights(daily: DataFrame, as_of) -> DataFrame:
     ``daily`` has (anchor, date, attempts, successes, new_assets), one row per anchor and day.
     """
     age = F.datediff(F.lit(as_of.date()), "date")
-    sums = daily.where((age >= 0) & (age < 14)).groupBy("anchor").agg(
+    sums = _last_days(daily, as_of, 14).groupBy("anchor").agg(
         F.sum(F.when(age < 7, F.col("successes"))).alias("_ok1"), F.sum(F.when(age < 7, F.col("attempts"))).alias("_n1"),
         F.sum(F.when(age >= 7, F.col("successes"))).alias("_ok0"), F.sum(F.when(age >= 7, F.col("attempts"))).alias("_n0"),
         F.coalesce(F.sum(F.when(age < 7, F.col("new_assets"))), F.lit(0)).alias("new_assets"),
