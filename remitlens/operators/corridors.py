@@ -247,13 +247,7 @@ def union_time_axis(series: list[DataFrame], time: str) -> DataFrame:
 
 
 def related_corridors(corridors: DataFrame, corridor: str) -> DataFrame:
-    """Other corridors that leave the same source asset.
-
-    A key of the form ``A->B`` names its source asset; for other keys it is looked up.
-    """
-    source, arrow, _ = corridor.partition("->")
-    if arrow:
-        return corridors.where((F.col("source_asset") == source) & (F.col("corridor") != corridor))
+    """Other corridors that leave the same source asset; none if the corridor itself has no row."""
     here = corridors.where(F.col("corridor") == corridor).select("source_asset")
     return corridors.where(F.col("corridor") != corridor).join(here, "source_asset", "left_semi")
 
