@@ -47,6 +47,12 @@ def _first_entry(name: str) -> Column:
     return F.get("data", (_at(name) - 1).cast("int"))
 
 
+def _unsigned(text: Column) -> Column:
+    """A 64-bit unsigned integer as decimal(20,0), null outside its range."""
+    value = text.try_cast("decimal(20,0)")
+    return F.when((value >= 0) & (value <= F.lit(str(2**64 - 1)).cast("decimal(20,0)")), value)
+
+
 def _wrong_type(name: str, kind: str, extra: Column | None = None) -> Column:
     ok = F.coalesce(F.col(f"_{name}")["val_kind"] == kind, F.lit(False))
     if extra is not None:
@@ -106,7 +112,7 @@ def decode_snapshot_events(events: DataFrame) -> DataFrame:
 
     missing = F.get(F.array_except("_expected", "_codes"), F.lit(0))
     too_big = [
-        F.when(F.col(f"_{name}")["val"].try_cast("bigint").isNull(), _error("ValueOutOfRange", name))
+        F.when(_unsigned(F.col(f"_{name}")["val"]).isNull(), _error("ValueOutOfRange", name))
         for name in ("epoch", "submitted_at")
     ]
     error = F.coalesce(
@@ -135,10 +141,10 @@ def decode_snapshot_events(events: DataFrame) -> DataFrame:
     decoded = once(
         found,
         error=error,
-        epoch=F.col("_epoch")["val"].try_cast("bigint"),
+        epoch=_unsigned(F.col("_epoch")["val"]),
         snapshot_hash=F.lower(F.col("_snapshot_hash")["val"]),
         source_data_hash=F.lower(F.col("_source_data_hash")["val"]),
-        submitted_at=F.col("_submitted_at")["val"].try_cast("bigint"),
+        submitted_at=_unsigned(F.col("_submitted_at")["val"]),
         submitter=F.col("_submitter")["val"],
     )
     return decoded.drop(*[c for c in decoded.columns if c.startswith("_")])

@@ -51,7 +51,7 @@ def envelopes_of(rows):
         F.array(
             F.when(k == 10, entry("epoch", "u64", "1", key_kind="string")),
             F.when(~k.isin(11), entry("schema_version", F.when(k == 12, s("u64")).otherwise(s("u32")), version)),
-            entry("epoch", F.when(k == 16, s("u32")).otherwise(s("u64")), F.when(k == 20, s("18446744073709551615")).otherwise(text("event_id"))),
+            entry("epoch", F.when(k == 16, s("u32")).otherwise(s("u64")), F.when(k == 20, s("18446744073709551615")).when(k == 21, s("18446744073709551616")).otherwise(text("event_id"))),
             F.when(k == 13, entry("epoch", "u64", "7")),
             F.when(k == 14, entry("note", "string", "x")),
             entry("snapshot_hash", "bytes", F.when(k == 17, s("abcd")).otherwise(F.upper(snapshot_hash))),
@@ -85,13 +85,15 @@ _VERDICT = f"""WITH {EVENTS}, v AS (SELECT *, CASE
     WHEN k >= 90 THEN 'UnsupportedSchemaVersion:999' WHEN k = 13 THEN 'DuplicateField:epoch' WHEN k = 14 THEN 'UnexpectedField:note'
     WHEN k = 15 THEN 'MissingField:submitter' WHEN k = 61 THEN 'MissingField:snapshot_size_bytes' WHEN k = 62 THEN 'InvalidFieldType:snapshot_size_bytes'
     WHEN k = 16 THEN 'InvalidFieldType:epoch' WHEN k = 17 THEN 'InvalidFieldType:snapshot_hash' WHEN k = 18 THEN 'InvalidFieldType:submitted_at'
-    WHEN k = 19 THEN 'InvalidFieldType:submitter' WHEN k = 20 THEN 'ValueOutOfRange:epoch' END AS e FROM ev)"""
+    WHEN k = 19 THEN 'InvalidFieldType:submitter' WHEN k = 21 THEN 'ValueOutOfRange:epoch' END AS e FROM ev)"""
 
 
-@query("decode_events_normalized", f"""{_VERDICT} SELECT event_id AS seq, 'C' || user_id AS contract_id, event_id AS epoch, sha256(event_id::VARCHAR) AS snapshot_hash,
+@query("decode_events_normalized", f"""{_VERDICT} SELECT event_id AS seq, 'C' || user_id AS contract_id, CASE WHEN k = 20 THEN '18446744073709551615' ELSE event_id::VARCHAR END AS epoch, sha256(event_id::VARCHAR) AS snapshot_hash,
     sha256(user_id::VARCHAR) AS source_data_hash, CAST(floor(epoch(ts)) AS BIGINT) AS submitted_at, 'G' || user_id AS submitter FROM v WHERE e IS NULL""")
 def decode_events_normalized(spark, sf):
-    return ev.normalized(ev.decode_snapshot_events(envelopes(spark, sf)))
+    # unsigned 64-bit values travel as decimals
+    rows = ev.normalized(ev.decode_snapshot_events(envelopes(spark, sf)))
+    return rows.withColumns({"epoch": F.col("epoch").cast("string"), "submitted_at": F.col("submitted_at").cast("bigint")})
 
 
 @query("decode_events_rejected", f"{_VERDICT} SELECT event_id AS seq, split_part(e, ':', 1) AS error_code, split_part(e, ':', 2) AS error_detail FROM v WHERE e IS NOT NULL")

@@ -54,7 +54,7 @@ CASES = {
     "UnexpectedField": event(0, fields(1, note=("string", "x"))),
     "MissingField": event(0, fields(1, submitter=None)),
     "InvalidFieldType": event(0, fields(1, epoch=("u32", "42"))),
-    "ValueOutOfRange": event(0, fields(1, epoch=("u64", str(2**64 - 1)))),
+    "ValueOutOfRange": event(0, fields(1, epoch=("u64", str(2**64)))),
 }
 
 
