@@ -283,6 +283,36 @@ def stream_latest_state(spark, sf):
     return jobs.latest_rows(spark, path, ["user_id"]).select("user_id", "event_id", "value")
 
 
+@query("stream_bounded_lists", "SELECT event_id, ts AS received_at FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 50")
+def stream_bounded_lists(spark, sf):
+    kind = F.when(F.col("event_type") == "error", F.lit("health_alert")).otherwise(F.lit("new_payment"))
+    rows = event_stream(spark, sf).select("event_id", F.col("ts").alias("received_at"), kind.alias("kind"))
+    path = jobs.stream_dir(spark, "lists")
+    run = jobs.run_bounded_lists(rows, path)
+    run.awaitTermination()
+    return jobs.bounded_list(spark, path, "health_alert", run.lastProgress["batchId"]).select("event_id", "received_at")
+
+
+@query("read_logs", f"WITH {EVENTS} SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, event_type AS level, 'user ' || user_id AS message, CAST(k AS INTEGER) AS http_status FROM ev")
+def read_logs(spark, sf):
+    rows = events(spark, sf).select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("event_type").alias("level"),
+        F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("message"), F.col("k").cast("int").alias("http_status"), "value",
+    )
+    path = jobs.stream_dir(spark, "log-files")
+    columns = ["timestamp", "level", "message", "http_status"]
+    sinks.export_json(rows, columns, path)
+    return payloads.read_logs(spark, path).select(*columns)
+
+
+@query("read_contract_events", f"""WITH {EVENTS} SELECT event_id AS seq, CASE WHEN event_type = 'error' AND k < 5 THEN 'system' ELSE 'contract' END AS type,
+    CASE WHEN event_type = 'signup' AND k < 5 THEN NULL ELSE 'C' || user_id END AS contract_id, CASE WHEN k = 50 THEN 2 ELSE 1 END AS n_topics FROM ev""")
+def read_contract_events(spark, sf):
+    path = jobs.stream_dir(spark, "contract-events")
+    contract_plans.envelopes(spark, sf).write.mode("overwrite").parquet(path)
+    return payloads.read_contract_events(spark, path).select("seq", "type", "contract_id", F.size("topics").alias("n_topics"))
+
+
 @query("stream_decode_events", f"{contract_plans._VERDICT} SELECT event_id AS seq, split_part(e, ':', 1) AS error_code, split_part(e, ':', 2) AS error_detail FROM v WHERE e IS NOT NULL")
 def stream_decode_events(spark, sf):
     rows = contract_plans.envelopes_of(event_stream(spark, sf).selectExpr("event_id", "ts", "user_id", "event_type", "value", "cast(get_json_object(props, '$.k') as bigint) AS k"))

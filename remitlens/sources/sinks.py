@@ -90,14 +90,18 @@ def write_normalized_events(
     """
     from remitlens.operators.contract_events import normalized, rejected
 
-    bad = rejected(decoded)
-    if mode == "failfast":
-        first = bad.agg(F.min_by(F.struct("seq", "error_code"), "seq").alias("r")).first()["r"]
-        if first is not None:
-            sink(normalized(decoded.where(F.col("seq") < first["seq"])))
-            raise BadEvent(f"event {first['seq']}: {first['error_code']}")
-    sink(normalized(decoded))
-    quarantine(bad)
+    decoded = decoded.persist()  # both sinks read one decoding; what is lost is decoded again
+    try:
+        bad = rejected(decoded)
+        if mode == "failfast":
+            first = bad.agg(F.min_by(F.struct("seq", "error_code"), "seq").alias("r")).first()["r"]
+            if first is not None:
+                sink(normalized(decoded.where(F.col("seq") < first["seq"])))
+                raise BadEvent(f"event {first['seq']}: {first['error_code']}")
+        sink(normalized(decoded))
+        quarantine(bad)
+    finally:
+        decoded.unpersist()
 
 
 def apply_retention(spark, path: str, as_of, column: str = "log_date") -> list[str]:

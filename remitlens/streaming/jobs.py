@@ -110,7 +110,8 @@ def staleness(messages: DataFrame, seconds: int = msg.STALE_SECONDS) -> DataFram
     """Connections that fall silent: a processing-time timer per connection.
 
     The state is one timestamp. A message re-arms the timer; when it expires a
-    row is emitted. Rows are first reduced to one per connection and batch.
+    row is emitted. A connection's rows of a batch come to Python in Arrow batches, of
+    which only the newest time is kept.
     """
     schema = "connection string, last_seen timestamp, stale boolean"
 
