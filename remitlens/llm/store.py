@@ -9,14 +9,18 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from remitlens import session
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a session that names none (a test) gets one of its own."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="llm-checkpoint-"))
-    return (named or context.getCheckpointDir()).rstrip("/")
+    """The folder in ``spark.checkpoint.dir``, also set as the context's checkpoint folder.
+
+    A cluster must name one; a local session that names none (a test) gets its own.
+    """
+    root = session.shared_dir(spark).rstrip("/")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
+    return root
 
 
 def pinned(df: DataFrame, label: str) -> DataFrame:

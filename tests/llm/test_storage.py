@@ -25,10 +25,12 @@ def test_archives_round_trip(spark, tmp_path):
     best = {}
     for d, _, h in pages:
         best[h or ""] = max(best.get(h or "", -1), -1 if d is None else d)
-    want = sorted((repr(d), len((h or "").encode()), warc.payload_digest((h or "").encode()), "response" if d in (None, best[h or ""]) else "revisit",
-                   None if d in (None, best[h or ""]) else best[h or ""]) for d, _, h in pages)
-    assert sorted((repr(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == [tuple(w) for w in want] or \
-        sorted(map(repr, want)) == sorted(repr((repr(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got)
+    want = []
+    for d, _, h in pages:
+        first = best[h or ""] if d not in (None, best[h or ""]) else None
+        want.append((d, len((h or "").encode()), warc.payload_digest((h or "").encode()), "response" if first is None else "revisit", first))
+    rows = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got]
+    assert sorted(rows, key=repr) == sorted(want, key=repr)
     texts = {d: (h or "").encode() for d, _, h in pages}
     assert all(bytes(r.block) == (texts[r.page_id] if r.record_type == "response" else b"") for r in got if r.page_id is not None)
 
