@@ -9,6 +9,7 @@ open window that still holds the piece.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from array import array
 from functools import cache
@@ -47,60 +48,67 @@ class Encoder:
         self._tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self._model = self._tokenizer.model
         self._marks = dict(zip("\n.,", self._encode(["\n", ".", ","])))
-        #: ids of a chunk; None if white space stands at its ends
-        self._known: dict[str, bytes | None] = {}
+        #: ids of a word by whether a space stands before it; None if white space stands at its ends
+        self._known: tuple[dict[str, bytes | None], dict[str, bytes | None]] = ({}, {})
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _piece(self, chunk: str) -> bytes:
-        """Ids of a chunk that is one piece: an optional space and letters."""
-        own = self._model.tokenize(chunk.encode().decode("latin-1").translate(_BYTE_LETTERS))
-        return array("I", [t.id for t in own]).tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        """Remember the chunks ``new``."""
-        known, marked, plain = self._known, [], set()
-        for chunk in new:
-            body = chunk[1:] if chunk[0] == " " else chunk
-            if not body or body != body.strip():
-                known[chunk] = None
-            elif chunk[-1] in ".," and len(body) > 1 and body[-2].isalpha():
-                marked.append(chunk)
-                plain.add(chunk[:-1])
+    def _piece(self, space: str, letters: str) -> bytes:
+        """Ids of one piece: an optional space and letters."""
+        if letters.isascii():
+            mapped = (_BYTE_LETTERS[32] if space else "") + letters
+        else:
+            mapped = (space + letters).encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self._model.tokenize(mapped)]).tobytes()
+
+    def _learn(self, words: set[str], spaced: bool) -> None:
+        """Remember the new ones of ``words``."""
+        known, space, rest = self._known[spaced], " " if spaced else "", []
+        for word in words - known.keys():
+            if word.isalpha():
+                known[word] = self._piece(space, word)
+            elif not word or word != word.strip():
+                known[word] = None
+            elif word[-1] in ".," and word[:-1].isalpha():
+                own = known.get(word[:-1])
+                if own is None:
+                    own = known[word[:-1]] = self._piece(space, word[:-1])
+                known[word] = own + self._marks[word[-1]]
             else:
-                plain.add(chunk)
-        todo = []
-        for chunk in plain:
-            if chunk not in known:
-                if (chunk[1:] if chunk[0] == " " else chunk).isalpha():
-                    known[chunk] = self._piece(chunk)
-                else:
-                    todo.append(chunk)
-        for at in range(0, len(todo), 5000):
-            known.update(zip(todo[at : at + 5000], self._encode(todo[at : at + 5000])))
-        for chunk in marked:
-            known[chunk] = known[chunk[:-1]] + self._marks[chunk[-1]]
+                rest.append(word)
+        for at in range(0, len(rest), 5000):
+            part = rest[at : at + 5000]
+            known.update(zip(part, self._encode([space + w for w in part])))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-        known, feed = self._known, self._marks["\n"]
-        lines_of: list[list[list[str]] | None] = []
+        if len(self._known[0]) + len(self._known[1]) > REMEMBERED:
+            for known in self._known:
+                known.clear()
+        lines_of: list[list[tuple[str, list[str]]] | None] = []
+        heads: set[str] = set()
+        others: set[str] = set()
         for text in texts:
             if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in ("  ", " \n", "\n ", "\n\n")):
                 lines_of.append(None)
                 continue
             # the first word of a line has no space before it
-            lines_of.append([[head, *[" " + x for x in rest]] for head, *rest in (line.split(" ") for line in text.split("\n"))])
-        self._learn({c for lines in lines_of if lines for line in lines for c in line} - known.keys())
+            lines = [line.split(" ") for line in text.split("\n")]
+            split = [(line.pop(0), line) for line in lines]
+            for head, line in split:
+                heads.add(head)
+                others.update(line)
+            lines_of.append(split)
+        self._learn(heads, False)
+        self._learn(others, True)
+        plain, spaced, feed = *self._known, self._marks["\n"]
         out = []
         for text, lines in zip(texts, lines_of):
             ids: bytes | None = b""
             if lines is not None:
                 try:
-                    ids = feed.join([b"".join([known[c] for c in line]) for line in lines])
-                except TypeError:  # a chunk with white space at its ends
+                    ids = feed.join([plain[head] + b"".join([spaced[w] for w in line]) for head, line in lines])
+                except TypeError:  # a word with white space at its ends
                     ids = None
             if lines is None or ids is None:
                 ids = self._encode([text])[0] if text else b""
@@ -123,7 +131,12 @@ def _pieces(tokenizer_file: str, size: int, end: int):
             for part in hashing.slices(batch, "text", most=1 << 20):
                 rows = []
                 names = part.column("doc_id").to_pylist()
-                for name, ids in zip(names, encoder.encode(part.column("text").fill_null("").to_pylist())):
+                gc.disable()  # word lists hold no cycles, and there are many
+                try:
+                    encoded = encoder.encode(part.column("text").fill_null("").to_pylist())
+                finally:
+                    gc.enable()
+                for name, ids in zip(names, encoded):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
                     for start in range(0, len(ids), size):
                         piece = ids[start : start + size]
