@@ -1,11 +1,15 @@
 """License texts in documents: MinHash bands over overlapping windows, then exact containment.
 
-A template of s shingles is looked for in windows of S shingles, S a power of two
-with s <= S / 2 + 1, at every S / 2: any stretch of s shingles lies whole in one
-window. A window that contains ``percent`` of the template then has a Jaccard
-similarity of at least J = need / (S + s - need) with it, and as many bands are
-taken as make a miss less likely than ``miss``. Retrieved windows are verified on
-full shingle sets.
+A copy of a template is a stretch of L shingles that holds ``percent`` of the
+template's distinct shingles. L is the template's length and ``inserted`` words
+more; where the percentage allows the loss of fewer shingles than one insertion
+breaks, L is the length alone. Copies are looked for in windows of S shingles, S a
+power of two with L <= S / 2 + 1, at every S / 2: any stretch of L shingles lies
+whole in one window. That window has a Jaccard similarity of at least
+J = need / (S + s - need) with the template's s distinct shingles, and as many bands
+are taken as make a miss less likely than ``miss``. Retrieved windows are widened by
+L to both sides, joined where they overlap, and every stretch in them is counted on
+full shingle sets, so the result does not depend on where the windows lie.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from remitlens.llm.near_dedup import UNIVERSE, _circulant
 from remitlens.llm.store import prepare
 
 MAX_TEMPLATE_WORDS = 200_000
+INSERTED = 64  # words that a copy may have more than its template, in all
 _STEP = 8192  # shingles of a document that are looked at together; a multiple of every stride up to its half
 
 # Notices and opening paragraphs of common licenses.
@@ -56,30 +61,40 @@ TEMPLATES: dict[str, str] = {
 }
 
 
-def window_size(shingles: int) -> int:
+def stretch_size(shingles: int, percent: int = 80, shingle: int = 5, inserted: int = INSERTED, distinct: int | None = None) -> int:
+    """Longest copy of a template of so many shingles (``distinct`` of them different) that is looked for."""
+    distinct = shingles if distinct is None else distinct
+    lost = distinct - -(-percent * distinct // 100)
+    return shingles + inserted if lost >= shingle - 1 or distinct < shingles else shingles
+
+
+def window_size(shingles: int, percent: int = 80, shingle: int = 5, inserted: int = INSERTED, distinct: int | None = None) -> int:
     """Window for a template of so many shingles: a power of two, at least 2."""
-    return max(2, 1 << (2 * (shingles - 1) - 1).bit_length()) if shingles > 1 else 2
+    stretch = stretch_size(shingles, percent, shingle, inserted, distinct)
+    return max(2, 1 << (2 * (stretch - 1) - 1).bit_length()) if stretch > 1 else 2
 
 
-def bands_for(shingles: int, percent: int, miss: float) -> int:
+def bands_for(shingles: int, percent: int, miss: float, size: int | None = None) -> int:
     """Bands of one coordinate that miss a matching window with probability ``miss`` at most."""
-    need, size = -(-percent * shingles // 100), window_size(shingles)
+    need, size = -(-percent * shingles // 100), size or window_size(shingles, percent)
     similarity = need / (size + shingles - need)
     return 1 if similarity >= 1 else math.ceil(math.log(miss) / math.log1p(-similarity))
 
 
-def _prepared(templates: dict[str, str], shingle: int, percent: int, miss: float) -> dict[int, list[tuple[str, np.ndarray, int]]]:
-    """Window size -> (name, distinct shingle hashes, bands) of its templates."""
+def _prepared(templates: dict[str, str], shingle: int, percent: int, miss: float, inserted: int) -> dict[int, list[tuple[str, np.ndarray, int, int]]]:
+    """Window size -> (name, distinct shingle hashes, stretch, bands) of its templates."""
     words = hashing.words(pa.array(list(templates.values()), pa.string()), hashing.PUNCTUATION, hashing.LOWERED)
     if len(words.hashes) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates of {len(words.hashes)} words; at most {MAX_TEMPLATE_WORDS} go to every task")
     values, offsets = hashing.shingle_sets(words, shingle)
-    out: dict[int, list[tuple[str, np.ndarray, int]]] = {}
+    out: dict[int, list[tuple[str, np.ndarray, int, int]]] = {}
     for i, name in enumerate(templates):
         if words.counts[i] < shingle:
             raise ValueError(f"template {name} has fewer than {shingle} words")
         own = values[offsets[i] : offsets[i + 1]]
-        out.setdefault(window_size(len(own)), []).append((name, own, bands_for(len(own), percent, miss)))
+        shape = (int(words.counts[i]) - shingle + 1, percent, shingle, inserted, len(own))
+        size = window_size(*shape)
+        out.setdefault(size, []).append((name, own, stretch_size(*shape), bands_for(len(own), percent, miss, size)))
     return out
 
 
@@ -90,10 +105,10 @@ def _slots(values: np.ndarray, odd: int) -> np.ndarray:
 class _Retriever:
     """Candidate (window start, template) pairs of a document's shingles for one window size."""
 
-    def __init__(self, size: int, templates: list[tuple[str, np.ndarray, int]], view: np.ndarray, odd: int):
+    def __init__(self, size: int, templates: list[tuple[str, np.ndarray, int, int]], view: np.ndarray, odd: int):
         self.size, self.templates = size, templates
         self.bands = max(b for *_, b in templates)
-        self.least = np.stack([view[_slots(own, odd)].min(0)[: self.bands] for _, own, _ in templates])
+        self.least = np.stack([view[_slots(own, odd)].min(0)[: self.bands] for _, own, *_ in templates])
         self.marked = np.zeros(UNIVERSE, bool)
         self.marked[self.least.ravel()] = True
 
@@ -112,27 +127,61 @@ class _Retriever:
                     yield i * stride, j
 
 
+def best_stretch(hashes: np.ndarray, template: np.ndarray, stretch: int) -> tuple[int, int]:
+    """(first shingle, distinct shingles of ``template``) of the fullest stretch, the first of equals.
+
+    A stretch starts at a shingle of the template; ``template`` is sorted.
+    """
+    at = np.minimum(np.searchsorted(template, hashes), len(template) - 1)
+    places = np.flatnonzero(template[at] == hashes)
+    kinds, places = at[places].tolist(), places.tolist()
+    counts: dict[int, int] = {}
+    best, end = (0, 0), 0
+    for i, start in enumerate(places):
+        while end < len(places) and places[end] < start + stretch:
+            counts[kinds[end]] = counts.get(kinds[end], 0) + 1
+            end += 1
+        if len(counts) > best[1]:
+            best = start, len(counts)
+        counts[kinds[i]] -= 1
+        if not counts[kinds[i]]:
+            del counts[kinds[i]]
+    return best
+
+
 def find_licenses(hashes: np.ndarray, retrievers: list[_Retriever], view: np.ndarray, odd: int, percent: int) -> dict[str, tuple[int, int, int]]:
-    """name -> (first shingle of the window, shared, template's shingles) of the best window of a document."""
+    """name -> (first shingle of the stretch, shared, template's shingles) of the best stretch of a document."""
     best: dict[str, tuple[int, int, int]] = {}
-    for at in range(0, len(hashes), _STEP):
-        for r in retrievers:
+    for r in retrievers:
+        regions: dict[int, list[list[int]]] = {}
+        for at in range(0, len(hashes), _STEP):
             own = hashes[at : at + _STEP + r.size]
             for start, j in r.candidates(view[_slots(own, odd)]):
-                name, template, _ = r.templates[j]
-                shared = int(np.isin(template, own[start : start + r.size]).sum())
+                regions.setdefault(j, []).append([at + start - r.templates[j][2], at + start + r.size + r.templates[j][2]])
+        for j, spans in regions.items():
+            name, template, stretch, _ = r.templates[j]
+            joined: list[list[int]] = []
+            for a, b in sorted(spans):
+                if joined and a <= joined[-1][1]:
+                    joined[-1][1] = max(joined[-1][1], b)
+                else:
+                    joined.append([max(0, a), b])
+            for a, b in joined:
+                start, shared = best_stretch(hashes[a:b], template, stretch)
                 if 100 * shared >= percent * len(template) and shared > best.get(name, (0, 0, 0))[1]:
-                    best[name] = (at + start, shared, len(template))
+                    best[name] = (a + start, shared, len(template))
     return best
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, shingle: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, shingle: int = 5, percent: int = 80, miss: float = 1e-6, inserted: int = INSERTED) -> DataFrame:
     """(doc_id, license, first_word, n_shared, n_shingles) for each license found in ``docs(doc_id, text)``.
 
     Words are runs of ASCII letters and digits and other code points, A-Z
-    lower-cased. A license is found when a window of the grid holds at least
-    ``percent`` / 100 of its template's distinct shingles; the row names the
-    window with most of them, the first of equals, by its first word.
+    lower-cased. A license is found when some stretch of its template's length and
+    ``inserted`` words more, wherever it stands, holds at least ``percent`` / 100 of
+    the template's distinct shingles (a template that one insertion takes below
+    ``percent`` is looked for in its own length); the row names the stretch with
+    most of them, the first of equals, by its first word that belongs to the template.
 
     Defined cases: null, empty and short texts hold no license; texts of any
     length are scanned whole, in overlapping stretches; rows that repeat a doc_id
@@ -142,7 +191,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, shingle: int
     ``MAX_TEMPLATE_WORDS`` in all raise ValueError.
     """
     prepare(docs.sparkSession)
-    by_size = _prepared(TEMPLATES if templates is None else templates, shingle, percent, miss)
+    by_size = _prepared(TEMPLATES if templates is None else templates, shingle, percent, miss, inserted)
     schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("first_word", pa.int64()), ("n_shared", pa.int64()), ("n_shingles", pa.int64())])
 
     def run(batches):

@@ -49,6 +49,39 @@ def test_licenses_equal_containment_on_the_grid(spark, corpus):
     assert got == want and len(want) >= 60
 
 
+def test_licenses_equal_containment_at_every_position(spark):
+    """Whole copies and copies with words inserted in the middle, at many offsets, against all stretches."""
+    rows, small = [], {"twice": "one two three four five six seven eight " * 2 + "nine ten one two three four five"}
+    templates = license_scan.TEMPLATES | small
+    for name in ("Apache-2.0", "ISC", "MIT", "GPL", "BSD", "twice"):
+        own = templates[name].split()
+        for n in (0, 9, 20, 40, 64, 65, 90):
+            for offset in (0, 1, 7, 13, 31, 50, 64, 97, 120, 127, 200):
+                pad = ["before%d" % i for i in range(offset)]
+                new = ["new%d" % i for i in range(n)]
+                rows.append((len(rows), " ".join(pad + own[: len(own) // 2] + new + own[len(own) // 2 :] + ["after%d" % i for i in range(150)])))
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates)
+    got = {(r.doc_id, r.license, r.first_word, r.n_shared, r.n_shingles) for r in found.collect()}
+
+    def five(w):
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    want = set()
+    for d, t in rows:
+        own = five(tokens(t))
+        for name, template in templates.items():
+            every = five(tokens(template))
+            s = set(every)
+            lost = len(s) - -(-80 * len(s) // 100)
+            size = len(every) + (64 if lost >= 4 or len(s) < len(every) else 0)
+            shared = [len(s & set(own[at : at + size])) if x in s else 0 for at, x in enumerate(own)]
+            if 100 * max(shared) >= 80 * len(s):
+                want.add((d, name, shared.index(max(shared)), max(shared), len(s)))
+    assert got == want
+    for k, name in enumerate(("Apache-2.0", "ISC", "MIT", "GPL")):
+        assert all((d, name) in {x[:2] for x in got} for d in range(k * 77, k * 77 + 55))  # up to 64 words inserted
+
+
 def test_license_bands_keep_their_promise():
     for s in range(1, 200):
         size, need = license_scan.window_size(s), -(-80 * s // 100)
