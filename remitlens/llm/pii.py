@@ -169,6 +169,12 @@ _UNIT = rf"(?:{_WORD}|[0-9]+|plus|dot|point|punto|punkt)"
 # from seven units on, two of them digits in words that stand side by side
 _SPELLED = re.compile(rf"(?<!\w){_UNIT}(?:[\s,.-]+{_UNIT}){{6,}}(?!\w)", re.IGNORECASE)
 _TWO_WORDS = re.compile(rf"(?:{_WORD})[\s,.-]+(?:{_WORD})(?!\w)")
+# four groups of one to three digits, some in words, joined by dot words or by the dots made of them: a run of any length
+_GROUP = rf"(?:{_WORD}|[0-9]{{1,3}})(?:[\s-]+(?:{_WORD}|[0-9]{{1,3}})){{0,2}}"
+_JOIN = r"(?:\.|[\s-]+(?:dot|point|punto|punkt)[\s-]+)"
+_QUAD = re.compile(rf"(?<!\w){_GROUP}(?:{_JOIN}{_GROUP}){{3}}(?!\w)(?!(?:[\s-]+|{_JOIN}){_UNIT}(?!\w))", re.IGNORECASE)
+_GOES_ON = re.compile(rf"(?<!\w){_UNIT}[\s.-]+\Z", re.IGNORECASE)
+_SPELLED_WORD = re.compile(_WORD, re.IGNORECASE)
 _PART = re.compile(rf"{_WORD}|[0-9]+|plus|dot|point|punto|punkt|[\s,.-]+", re.IGNORECASE)
 
 
@@ -183,8 +189,31 @@ def _spelled_part(m: re.Match) -> str:
     return own if own.isdigit() else ""
 
 
+def _spelled(run: re.Match) -> str:
+    return "".join(_spelled_part(m) for m in _PART.finditer(run[0]))
+
+
+def _spelled_ips(text: str) -> Iterator[re.Match]:
+    """Addresses with spelled digits that are not a part of a longer run of digits."""
+    for run in _QUAD.finditer(text):
+        if _SPELLED_WORD.search(run[0]) and not _GOES_ON.search(text[max(0, run.start() - 40) : run.start()]) and any(_ips(_spelled(run))):
+            yield run
+
+
+def _spelled_runs(text: str) -> Iterator[re.Match]:
+    """Spelled addresses of any length, and between them the long runs."""
+    at = 0
+    for quad in [*_spelled_ips(text), None]:
+        for run in _SPELLED.finditer(text, at, quad.start() if quad else len(text)):
+            if _TWO_WORDS.search(run[0].lower()):
+                yield run
+        if quad:
+            yield quad
+            at = quad.end()
+
+
 def _spell_digits(text: str) -> tuple[str, Alignment]:
-    """Spelled digits inside long runs become digits; separators of such a run vanish, but for a single dot."""
+    """Spelled digits inside long runs and addresses become digits; separators of such a run vanish, but for a single dot."""
     parts, alignment, size, at = [], Alignment(), 0, 0
 
     def add(piece: str, start: int, end: int, copied: bool) -> None:
@@ -194,9 +223,7 @@ def _spell_digits(text: str) -> tuple[str, Alignment]:
             parts.append(piece)
             size += len(piece)
 
-    for run in _SPELLED.finditer(text):
-        if not _TWO_WORDS.search(run[0].lower()):
-            continue
+    for run in _spelled_runs(text):
         add(text[at : run.start()], at, run.start(), True)
         for m in _PART.finditer(text, run.start(), run.end()):
             add(_spelled_part(m), m.start(), m.end(), False)
@@ -214,7 +241,7 @@ def normalised(text: str) -> tuple[str, list[Alignment]]:
     if _DISGUISED.search(text):
         text, step = transduce(text, _DISGUISE, lambda m: "@" if m["at"] else ".")
         steps.append(step)
-    if _TWO_WORDS.search(text.lower()):
+    if _TWO_WORDS.search(text.lower()) or _QUAD.search(text):
         text, step = _spell_digits(text)
         steps.append(step)
     return text, steps

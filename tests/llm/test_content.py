@@ -308,6 +308,27 @@ def test_disguises_map_back_to_the_source(text, kind, piece):
     assert [(k, text[a:b]) for k, a, b in added if k == kind] == [(kind, piece)]
 
 
+@pytest.mark.parametrize(
+    "text, pieces",
+    [
+        ("ip one two seven dot zero dot zero dot one end", ["one two seven dot zero dot zero dot one"]),
+        ("eight dot eight dot eight dot eight", ["eight dot eight dot eight dot eight"]),
+        ("use one zero dot zero dot zero dot one.", ["one zero dot zero dot zero dot one"]),
+        ("Ten (dot), 10 dot Zero dot 0 dot one", ["10 dot Zero dot 0 dot one"]),
+        ("uno punto dos punto tres punto cuatro", ["uno punto dos punto tres punto cuatro"]),
+        ("one zero [dot] zero [dot] zero [dot] one", ["one zero [dot] zero [dot] zero [dot] one"]),
+        ("eight dot eight dot eight dot eight, eight dot eight dot four dot four", ["eight dot eight dot eight dot eight", "eight dot eight dot four dot four"]),
+        ("three nine nine dot zero dot zero dot one", []),
+        ("one dot two dot three", []),
+        ("one. Two. Three. Four.", []),
+        ("plus four nine dot one dot two dot three", []),
+    ],
+)
+def test_short_spelled_addresses(text, pieces):
+    _, added = pii.find(text)
+    assert [text[a:b] for k, a, b in added if k == "ip"] == pieces
+
+
 def test_plain_prose_adds_nothing():
     for text in ("we met at noon. dot by dot.", "one two three", "Look at example.com today", "(at) last", "uno dos tres cuatro"):
         assert pii.find(text) == ([], [])
