@@ -224,6 +224,12 @@ def _epoch_list(epochs: DataFrame, keys: list[str]) -> DataFrame:
     return back.select(*keys, "epoch", "from_epoch", F.col("_following.epoch").alias("_next"))
 
 
+def _join_epochs(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Equi-join on keys and epoch as one struct: null keys and null epochs meet their like."""
+    at = F.struct(*keys, "epoch").alias("_at")
+    return left.select("*", at).join(right.select(at, *[c for c in right.columns if c not in (*keys, "epoch")]), "_at", how).drop("_at")
+
+
 def diff_metrics(metrics: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Added, removed and changed metrics between consecutive epochs of a contract.
 
@@ -231,15 +237,16 @@ def diff_metrics(metrics: DataFrame, keys: list[str] | None = None) -> DataFrame
     several contracts; a metric is named once per epoch. Every row stands for the
     new side of its epoch and the old side of the next one, and one aggregation on
     (contract, epoch, metric) brings the sides together: a large epoch spreads
-    over its metrics.
+    over its metrics. Rows without a contract are a contract of their own; a null
+    epoch has none before or after it, so all its metrics are added.
     """
     keys = _contract_keys(metrics, keys)
-    placed = metrics.join(_epoch_list(metrics, keys), [*keys, "epoch"])
+    placed = _join_epochs(metrics, _epoch_list(metrics, keys), keys, "inner")
     value = metrics.schema["value"].dataType
     none = F.lit(None).cast(value)
     new = F.struct(F.col("from_epoch"), F.col("epoch").alias("to_epoch"), F.lit(1).alias("n"), F.lit(0).alias("o"), F.col("value").alias("new_value"), none.alias("old_value"))
     old = F.struct(F.col("epoch").alias("from_epoch"), F.col("_next").alias("to_epoch"), F.lit(0).alias("n"), F.lit(1).alias("o"), none.alias("new_value"), F.col("value").alias("old_value"))
-    sides = placed.select(*keys, "metric", F.inline(F.array(new, old))).where("to_epoch is not null")
+    sides = placed.select(*keys, "metric", F.inline(F.array(new, old))).where("n = 1 or to_epoch is not null")
     both = sides.groupBy(*keys, "from_epoch", "to_epoch", "metric").agg(
         F.max("n").alias("n"), F.max("o").alias("o"), F.max("old_value").alias("old_value"), F.max("new_value").alias("new_value")
     )
@@ -266,7 +273,7 @@ def diff_receipts(metrics: DataFrame, keys: list[str] | None = None) -> DataFram
         )
     )
     zero = F.lit(0)
-    return previous_epochs(metrics, keys).join(counts, [*keys, "epoch"], "left").select(
+    return _join_epochs(previous_epochs(metrics, keys), counts, keys, "left").select(
         *keys, "epoch", "from_epoch", *[F.coalesce(c, zero).alias(c) for c in ("added", "removed", "changed")]
     )
 

@@ -121,6 +121,17 @@ def test_diff_of_two_epochs(spark):
     assert (2, "volume") not in got and got[(1, "daa")] == ("added", None, 10)
 
 
+def test_diffs_keep_null_contracts_and_null_epochs(spark):
+    rows = [(c, e, m, v) for c in (None, "C1") for e, m, v in ((1, "daa", 10), (1, "gone", 1), (2, "daa", 11), (2, "new", 3), (None, "lost", 7))]
+    metrics = spark.createDataFrame(rows, "contract_id string, epoch bigint, metric string, value bigint")
+    diffs = {tuple(r) for r in ev.diff_metrics(metrics).collect()}
+    own = [(0, 1, "daa", "added", None, 10), (0, 1, "gone", "added", None, 1), (1, 2, "daa", "changed", 10, 11), (1, 2, "gone", "removed", 1, None),
+           (1, 2, "new", "added", None, 3), (0, None, "lost", "added", None, 7)]
+    assert diffs == {(c, *r) for c in (None, "C1") for r in own}
+    receipts = {tuple(r) for r in ev.diff_receipts(metrics).collect()}
+    assert receipts == {(c, *r) for c in (None, "C1") for r in ((1, 0, 2, 0, 0), (2, 1, 1, 1, 1), (None, 0, 1, 0, 0))}
+
+
 def test_epoch_acceptance(spark):
     rows = [
         ("c", 1, 0, 2, False), ("c", 2, 5, 0, False), ("c", 3, 5, 2, True), ("c", 4, 5, 2, False), ("c", 5, 5, 2, False),
