@@ -18,6 +18,7 @@ from remitlens.llm import (
     quality_rules,
     substring_dedup,
     warc,
+    whitening,
 )
 from remitlens.llm.store import pinned
 
@@ -112,3 +113,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+@_query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings projected on the leading components of their distinct grid vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit_whitening(vectors, components=16)
+    return whitening.components(model, whitening.whiten(vectors, model))
