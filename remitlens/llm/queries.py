@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitlens.llm import (
+    context_tree,
     decontaminate,
     language_id,
     license_scan,
@@ -121,3 +122,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     model = whitening.fit_whitening(vectors, components=16)
     return whitening.components(model, whitening.whiten(vectors, model))
+
+
+@_query("op12_context_tree")
+def op12_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents, learned from those that are not held out."""
+    part = F.crc32(F.col("doc_id").cast("string")) % 7
+    return context_tree.score(table(spark, sf_dir, "documents"), learn=part != 2, held_out=part == 2)

@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def pinned(df: DataFrame, label: str) -> DataFrame:
+def pinned(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: what follows survives the loss of any executor without
@@ -32,7 +32,7 @@ def pinned(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
