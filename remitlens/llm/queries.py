@@ -17,6 +17,7 @@ from remitlens.llm import (
     packing,
     pii,
     quality_rules,
+    spelling,
     substring_dedup,
     warc,
     whitening,
@@ -129,3 +130,10 @@ def op12_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents, learned from those that are not held out."""
     part = F.crc32(F.col("doc_id").cast("string")) % 7
     return context_tree.score(table(spark, sf_dir, "documents"), learn=part != 2, held_out=part == 2)
+
+
+@_query("op13_spelling")
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their spelling variants at one edit."""
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"))
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
