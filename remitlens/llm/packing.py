@@ -39,13 +39,19 @@ class Encoder:
     is therefore the concatenation of its lines' " word" chunks, unless white
     space borders on white space or on an end of the text; then it is encoded
     whole. A full stop or comma after a letter is a piece of its own, too.
+
+    ``special_tokens`` gives the strings of special tokens their own ids, as the
+    tokenizer does by itself; without it they are ordinary text. A text that holds
+    the string of an added token is encoded whole.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, special_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_file)
-        self._tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self._tokenizer.encode_special_tokens = not special_tokens
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        self._added = [t.content for t in added if special_tokens or not t.special]
         self._model = self._tokenizer.model
         self._marks = dict(zip("\n.,", self._encode(["\n", ".", ","])))
         #: ids of a word by whether a space stands before it; None if white space stands at its ends
@@ -86,10 +92,11 @@ class Encoder:
             for known in self._known:
                 known.clear()
         lines_of: list[list[tuple[str, list[str]]] | None] = []
+        whole = ("  ", " \n", "\n ", "\n\n", *self._added)
         heads: set[str] = set()
         others: set[str] = set()
         for text in texts:
-            if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in ("  ", " \n", "\n ", "\n\n")):
+            if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in whole):
                 lines_of.append(None)
                 continue
             # the first word of a line has no space before it
@@ -119,7 +126,7 @@ class Encoder:
 @cache
 def _encoder(tokenizer_file: str) -> Encoder:
     """One per worker process, so that its memory serves all tasks there."""
-    return Encoder(tokenizer_file)
+    return Encoder(tokenizer_file, special_tokens=True)
 
 
 def _pieces(tokenizer_file: str, size: int, end: int):
@@ -206,7 +213,8 @@ def _pack(size: int):
 def pack(docs: DataFrame, tokenizer_file: str, size: int = 2048, end: int = 1, group_pieces: int = 20_000) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece.
 
-    Every row of ``docs(doc_id, text)`` becomes its token ids and the id ``end``.
+    Every row of ``docs(doc_id, text)`` becomes its token ids and the id ``end``;
+    the string of a special token in a text is that token.
     Documents longer than ``size`` are cut into full windows first; the rests and
     shorter documents share windows of ``size`` ids. ``sequence_id`` is unique over
     all groups, not consecutive; offsets in a sequence are gapless from 0.

@@ -75,6 +75,21 @@ def test_encoder_equals_the_tokenizer(tokenizer):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_with_special_tokens_equals_the_untouched_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    untouched = Tokenizer.from_file(tokenizer_file())
+    rng = random.Random(9)
+    parts = ["a", "word", " ", "  ", "\n", "é", "don't", "<|endoftext|>", "<|endoftext", "|>", ".", "x\n y"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>b", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(2000))]
+    got = packing.Encoder(tokenizer_file(), special_tokens=True).encode(texts)
+    for text, ids in zip(texts, got):
+        assert ids.tolist() == untouched.encode(text, add_special_tokens=False).ids, repr(text)
+    rows = packing.pack(spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string"), tokenizer_file()).collect()
+    expected = np.array([*untouched.encode("a <|endoftext|> b", add_special_tokens=False).ids, 1], "<u4")
+    assert [(r.length, r.ids_crc32) for r in rows] == [(len(expected), zlib.crc32(expected.tobytes()))]
+
+
 def test_best_fit_decreasing_equals_a_scan():
     rng = random.Random(2)
     for _ in range(60):
