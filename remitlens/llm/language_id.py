@@ -24,35 +24,51 @@ from remitlens.llm import hashing
 from remitlens.llm.store import prepare
 
 UNDETERMINED = "und"
+#: Class of the noise words in a network; no value of a language column.
+NOISE = "\x00noise"
 LONGEST = 24  # bytes of a word read at once; longer words are cut
 REMEMBERED = 500_000
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # also numbers that are no digits, like ½; see _has_letter
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
+def _has_letter(text: str | None) -> bool:
+    """Whether a character of Unicode category L occurs."""
+    return bool(text) and any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
+def _cut(word: bytes) -> list[bytes]:
+    """The pieces that the network reads of a word."""
+    return [word[k : k + LONGEST] for k in range(0, len(word), LONGEST)]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 @dataclass
 class Network:
-    """Weights: byte inputs ``w`` and recurrences ``u`` per direction, output ``v`` and bias ``c``."""
+    """Weights: byte inputs ``w`` and recurrences ``u`` per direction, output ``v`` and bias ``c``.
+
+    The outputs are the languages and, with ``noise``, one more for words of none.
+    """
 
     languages: list[str]
     w: list[np.ndarray]
     u: list[np.ndarray]
     v: list[np.ndarray]
     c: np.ndarray
+    noise: bool = False
 
     @staticmethod
-    def fresh(languages: list[str], hidden: int, seed: int) -> Network:
+    def fresh(languages: list[str], hidden: int, seed: int, noise: bool = False) -> Network:
         random = np.random.default_rng(seed)
         draw = lambda *shape, scale: (random.standard_normal(shape) * scale).astype(np.float32)
-        n = len(languages)
+        n = len(languages) + noise
         return Network(
             languages, [draw(256, 3 * hidden, scale=0.3) for _ in range(2)], [draw(hidden, 3 * hidden, scale=hidden**-0.5) for _ in range(2)],
-            [draw(hidden, n, scale=0.1) for _ in range(2)], np.zeros(n, np.float32),
+            [draw(hidden, n, scale=0.1) for _ in range(2)], np.zeros(n, np.float32), noise,
         )
 
     @property
@@ -128,12 +144,12 @@ def _byte_rows(words: list[bytes]) -> np.ndarray:
 
 def fit(counts: list[tuple[str, bytes, int]], hidden: int = 16, steps: int = 700, batch: int = 384, seed: int = 7) -> Network:
     """Train on (language, word, count) rows; every language weighs the same. Adam, fixed seed."""
-    counts = sorted((a, w[:LONGEST], n) for a, w, n in counts if w)
-    languages = sorted({a for a, _, _ in counts})
-    net = Network.fresh(languages, hidden, seed)
-    if not languages:
+    counts = sorted((a, piece, n) for a, w, n in counts for piece in _cut(w))
+    classes = sorted({a for a, _, _ in counts}, key=lambda a: (a == NOISE, a))
+    net = Network.fresh([a for a in classes if a != NOISE], hidden, seed, NOISE in classes)
+    if not classes:
         return net
-    label = np.array([languages.index(a) for a, _, _ in counts])
+    label = np.array([classes.index(a) for a, _, _ in counts])
     length = np.array([len(w) for _, w, _ in counts])
     weight = np.array([n for _, _, n in counts], float) ** 0.75
     weight /= np.bincount(label, weight)[label]
@@ -164,8 +180,8 @@ def _word_counts(batches):
             found: dict[tuple[str, bytes], int] = {}
             for d, lang in enumerate(part.column("lang").to_pylist()):
                 for word in w.texts(d):
-                    key = (lang, word[:LONGEST].lower())
-                    found[key] = found.get(key, 0) + 1
+                    for piece in _cut(word.lower()):
+                        found[lang, piece] = found.get((lang, piece), 0) + 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.binary()), pa.array(list(found.values()), pa.int64())],
                 schema=schema,
@@ -177,28 +193,57 @@ def learnable() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 != 0
 
 
-def train(docs: DataFrame, per_language: int = 300, words_per_language: int = 8_000, **settings) -> Network:
+def _sampled(rows: DataFrame, per_language: int, most_languages: int = 1000) -> DataFrame:
+    """About ``per_language`` rows of each of the ``most_languages`` most frequent languages, picked by a hash of doc_id."""
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    sizes = {r.lang: r.n for r in counted.collect()}
+    if not sizes:
+        return rows.where("false")
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_language / n))])
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1_000_003)) / 1_000_003
+    return rows.where(draw < F.try_element_at(share, F.col("lang")))
+
+
+def noise_words(words: list[bytes], n: int, seed: int = 5) -> list[bytes]:
+    """``n`` words of no language: letters of ``words`` in random order and number, and random letters of random scripts."""
+    random = np.random.default_rng(seed)
+    letters = np.array(list(b"".join(words).decode("utf-8", "ignore")) or ["a"])
+    lengths = np.array([len(w) for w in words] or [5])
+    out = []
+    for k in range(n):
+        length = max(1, int(random.choice(lengths)))
+        if k % 3 == 0:
+            text = "".join(random.choice(letters, length))
+        elif k % 3 == 1:
+            text = bytes(random.integers(0x61, 0x7B, length, np.uint8)).decode()
+        else:  # a block of 64 neighbouring letters, anywhere behind Latin
+            block = int(random.choice([random.integers(0x370, 0x800), random.integers(0x800, 0xD000)]))
+            text = "".join(map(chr, random.integers(block, block + 64, -(-length // 2))))
+        out += _cut(text.encode().lower())[:1]
+    return out
+
+
+def train(docs: DataFrame, per_language: int = 300, words_per_language: int = 8_000, noise: int = 8_000, **settings) -> Network:
     """Network for the values of ``lang`` in ``docs(doc_id, text, lang)``.
 
+    It also learns ``noise`` words of no language, a class that no text is given as
+    its language; ``identify`` then tells the margin to it.
+
     Learns from rows with a non-null doc_id, text and lang whose checksum allows
-    it: about ``per_language`` documents of each language, picked by a hash of
-    doc_id, and of their words the ``words_per_language`` most frequent. Both
+    it: about ``per_language`` documents of each language (of the 1000 most frequent
+    values of ``lang``), picked by a hash of doc_id, and of their words the ``words_per_language`` most frequent. Both
     bounds hold at any size of the table.
     """
     prepare(docs.sparkSession)
     usable = docs.where("doc_id is not null and text is not null and lang is not null").where(learnable())
-    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return fit([])
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_language / n))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1_000_003)) / 1_000_003
-    sample = usable.where(draw < share[F.col("lang")]).select("lang", "text")
-    counted = sample.mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = _sampled(usable, per_language).select("lang", "text").mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     # the limit also runs before the shuffle; what is collected is bounded per language
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = counted.withColumn("nth", nth).where(F.col("nth") <= words_per_language).select("lang", "word", "n")
     rows = [(r.lang, bytes(r.word), r.n) for r in top.collect()]
-    return fit(rows, **settings)
+    if not rows:
+        return fit([])
+    return fit([*rows, *((NOISE, w, 1) for w in noise_words([w for _, w, _ in rows], noise))], **settings)
 
 
 class _Labels:
@@ -207,7 +252,7 @@ class _Labels:
     def __init__(self, net: Network):
         self._net = net
         self._keys = np.zeros(0, np.uint64)
-        self._values = np.zeros((0, len(net.languages)), np.float32)
+        self._values = np.zeros((0, len(net.c)), np.float32)
 
     def of(self, w: hashing.Words) -> np.ndarray:
         """(words, languages) for all words of a batch."""
@@ -246,40 +291,59 @@ class _Labels:
         return (sums / (ends - starts)[:, None]).astype(np.float32)
 
 
-def identify(docs: DataFrame, net: Network) -> DataFrame:
+def identify(docs: DataFrame, net: Network, with_margin: bool = False) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1); only ``text`` is read.
 
     Defined cases: a null text, one without a letter and any text under a network
     without languages are ``und`` with score 0; texts of any length are used
     whole; equal sums go to the first language by name; columns of ``docs`` named
-    lang_pred or score are replaced, all others pass through; an empty table
+    lang_pred, score or margin are replaced, all others pass through; an empty table
     gives an empty table.
+
+    ``with_margin`` adds ``margin``: how much likelier the language is than noise, as
+    the mean logarithm per position and word, so that it does not grow with the text;
+    0 where there is no language and under a network that did not learn noise.
     """
     prepare(docs.sparkSession)
-    base = docs.drop("lang_pred", "score")
+    base = docs.drop("lang_pred", "score", "margin")
 
     def run(batches):
         labels = _Labels(net)
+        spoken = len(net.languages)
         names = np.array([*net.languages, UNDETERMINED], object)
         for batch in batches:
             for part in hashing.slices(batch, "text"):
                 column = part.column("text")
                 w = hashing.words(column, separators=hashing.PUNCTUATION, codes=hashing.LOWERED)
-                lettered = np.array([bool(t) and _LETTER.search(t) is not None for t in column.to_pylist()], bool)
-                best, score = np.full(part.num_rows, len(net.languages)), np.zeros(part.num_rows)
-                if net.languages and len(w.hashes):
-                    total = np.zeros((part.num_rows + 1, len(net.languages)))
+                lettered = np.array([_has_letter(t) for t in column.to_pylist()], bool)
+                best, score, margin = np.full(part.num_rows, spoken), np.zeros(part.num_rows), np.zeros(part.num_rows)
+                if spoken and len(w.hashes):
+                    total = np.zeros((part.num_rows + 1, len(net.c)))
                     full = np.flatnonzero(w.counts > 0)
                     total[full] = np.add.reduceat(labels.of(w).astype(float), w.offsets[full])
-                    total = total[:-1] - total[:-1].max(1, keepdims=True)
+                    every, total = total[:-1], total[:-1, :spoken]
+                    if net.noise:
+                        own = total.max(1) - every[:, spoken]
+                        margin[lettered] = (own / np.maximum(w.counts, 1))[lettered]
+                    total = total - total.max(1, keepdims=True)
                     p = np.exp(total)
                     p /= p.sum(1, keepdims=True)
                     best[lettered], score[lettered] = p.argmax(1)[lettered], p.max(1)[lettered]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(names[best], pa.string()), pa.array(score)], names=[*part.schema.names, "lang_pred", "score"]
-                )
+                new = {"lang_pred": pa.array(names[best], pa.string()), "score": pa.array(score)} | ({"margin": pa.array(margin)} if with_margin else {})
+                yield pa.RecordBatch.from_arrays([*part.columns, *new.values()], names=[*part.schema.names, *new])
+
+    return base.mapInArrow(run, f"{_ddl(base)}lang_pred string, score double{', margin double' if with_margin else ''}")
+
 
-    return base.mapInArrow(run, f"{_ddl(base)}lang_pred string, score double")
+def margin_bound(docs: DataFrame, net: Network, per_language: int = 300, rejected: float = 0.001) -> float:
+    """Least margin that a text must have, set on rows the network did not learn from.
+
+    The largest bound of at most 0 (as likely as noise) that rejects no more than
+    the share ``rejected`` of about ``per_language`` held-out rows of each language.
+    """
+    held = _sampled(docs.where("doc_id is not null and text is not null and lang is not null").where(~learnable()), per_language)
+    least = identify(held.select("text"), net, with_margin=True).where(F.col("lang_pred") != UNDETERMINED).agg(F.percentile("margin", F.lit(rejected)).alias("m")).first().m
+    return 0.0 if least is None else min(0.0, least)
 
 
 def _ddl(df: DataFrame) -> str:

@@ -343,3 +343,65 @@ def test_personal_data_rows(spark, empty):
     assert first.base_sha256 == hashlib.sha256(b"email:0:6,ip:8:16").hexdigest()
     assert next(r for r in got if r.doc_id == 2).base_sha256 == hashlib.sha256(b"").hexdigest()
     assert pii.personal_data(empty).collect() == []
+
+
+def plain_judgement(net, text):
+    """Language, score and margin of one text, word by word and piece by piece."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0, 0.0
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text).encode()
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", low)
+    total = np.zeros(len(net.c))
+    for word in words:
+        pieces = [word[k : k + language_id.LONGEST] for k in range(0, len(word), language_id.LONGEST)]
+        total += sum(net.log_probabilities(np.frombuffer(p, np.uint8)[None])[0].sum(0) for p in pieces) / len(word)
+    own = total[: len(net.languages)]
+    p = np.exp(own - own.max())
+    margin = (own.max() - total[-1]) / len(words)
+    return net.languages[int(own.argmax())], float((p / p.sum()).max()), float(margin)
+
+
+@pytest.fixture(scope="module")
+def noisy_net(spark):
+    return language_id.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), noise=4000)
+
+
+def test_language_of_each_document_by_hand(spark, noisy_net):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()]
+    rows += [(9001, "² ½ ① 12"), (9002, "x²"), (9003, None), (9004, "猫" * 40 + " word"), (9005, "... !!")]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), noisy_net, with_margin=True).collect()}
+    for d, text in rows:
+        lang, score, margin = plain_judgement(noisy_net, text)
+        assert (got[d].lang_pred, got[d].score, got[d].margin) == (lang, pytest.approx(score, abs=1e-4), pytest.approx(margin, abs=1e-4)), d
+    assert [got[d].lang_pred for d in (9001, 9003, 9005)] == ["und"] * 3 and got[9002].lang_pred != "und"
+
+
+def test_held_out_accuracy(spark):
+    from remitlens.llm import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = queries.QUERIES["op6_language_id"](spark, "/root/testdata/sf0.01").where("held_out and lang_pred <> 'und'")
+    judged = out.join(docs.where("lang is not null"), "doc_id").select("lang", "lang_pred").collect()
+    assert len(judged) > 150 and sum(r.lang == r.lang_pred for r in judged) >= 0.98 * len(judged)
+
+
+def test_long_words_are_learned_whole():
+    net = language_id.fit([("a", b"x" * 24 + b"q" * 24, 5), ("b", b"x" * 24 + b"z" * 24, 5)], steps=80)
+    label = lambda w: net.languages[int(net.log_probabilities(np.frombuffer(w, np.uint8)[None])[0].sum(0).argmax())]
+    assert (label(b"q" * 24), label(b"z" * 24)) == ("a", "b")
+
+
+def test_noise_and_unlearned_languages_are_rejected(spark, noisy_net, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(language_id, "train", lambda docs, **_: noisy_net)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rng = random.Random(3)
+    consonants = lambda n: " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    cyrillic = "съешь же ещё этих мягких французских булок да выпей чаю " * 20
+    bad = [(50_001, consonants(300)), (50_002, consonants(20)), (50_003, cyrillic), (50_004, "敏捷的棕色狐狸跳过懒狗。" * 9), (50_005, None), (50_006, "½ ²")]
+    added = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in bad], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(added), "").collect()}
+    assert not kept & {d for d, _ in bad}
+    lettered = {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    assert len(kept & lettered) >= 0.99 * len(lettered)
