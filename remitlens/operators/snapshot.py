@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.errors import EmptyInput, InvalidRange
-from remitlens.functions.numbers import canonical_number, exact_sum, safe_div
+from remitlens.functions.accumulate import exact_totals
+from remitlens.functions.numbers import canonical_number, safe_div
 from remitlens.operators.scans import global_rank
 
 # Fixed value: version text pinned into every payload.
@@ -31,33 +32,31 @@ def generate_snapshot(rows: DataFrame, by_network: bool = False, require_rows: b
     ledger has several. ``by_network`` keeps networks apart instead of merging
     them under one corridor.
 
-    The rows are reduced per (corridor, source) with numeric buffers only, which
-    keeps the big aggregation hash-based and map-side; picking the source works
-    on one row per corridor and source.
+    Sums are exact over the whole range of a double (``exact_totals``): the same
+    bits for any partitioning and order of the rows. The big aggregate, per (corridor,
+    source), keeps numeric buffers only, so it is hash-based and map-side; the source
+    is picked among one row per corridor and source.
     """
     if require_rows and rows.isEmpty():
         raise EmptyInput("snapshot input is empty")
-    parts = rows.groupBy("corridor", "source").agg(
-        F.min("ledger_sequence").alias("_first"),
-        F.count("reliability").alias("_n"),
-        F.count("latency_ms").alias("_m"),
-        exact_sum("reliability").alias("_reliability"),
-        exact_sum("volume").alias("_volume"),
-        exact_sum("latency_ms").alias("_latency"),
+    values = ["reliability", "volume", "latency_ms"]
+    parts = exact_totals(
+        rows,
+        ["corridor", "source"] if by_network else ["corridor"],
+        values,
+        {
+            "_n": (F.count("reliability"), F.sum),
+            "_m": (F.count("latency_ms"), F.sum),
+            "_first": (F.min("ledger_sequence"), F.min, F.struct("_first", "source")),
+        },
+        within=() if by_network else ("source",),
     )
-    if by_network:
-        return parts.select(
-            "corridor",
-            "source",
-            safe_div("_reliability", "_n").alias("avg_reliability"),
-            F.col("_volume").alias("total_volume"),
-            safe_div("_latency", "_m").alias("avg_latency_ms"),
-        )
-    return parts.groupBy("corridor").agg(
-        F.min(F.struct("_first", "source")).getField("source").alias("source"),
-        safe_div(exact_sum("_reliability"), F.sum("_n")).alias("avg_reliability"),
-        exact_sum("_volume").alias("total_volume"),
-        safe_div(exact_sum("_latency"), F.sum("_m")).alias("avg_latency_ms"),
+    return parts.select(
+        "corridor",
+        F.col("source") if by_network else F.col("_first.source").alias("source"),
+        safe_div("reliability", "_n").alias("avg_reliability"),
+        F.col("volume").alias("total_volume"),
+        safe_div("latency_ms", "_m").alias("avg_latency_ms"),
     )
 
 
