@@ -11,10 +11,10 @@ by the weights that the training texts leave.
 
 Plan. (1) One pass over the texts writes blocks of bounded size: the texts, the
 distinct byte grams (context and byte) with their training counts, the distinct
-words with theirs. (2) Grams and words are summed over all blocks. The context
-trees are tables, one row per (context, node), made bottom-up by one grouped sum
-per depth and read top-down by one join per depth: plain Spark work, whatever the
-number of contexts. (3) Each block gets back the code lengths of its own grams and
+words with theirs. (2) Grams and words are summed over all blocks. The two longest
+context depths are made in numpy, where the grams of a shorter context meet; above
+them the context trees are tables, one row per (context, node), made bottom-up by
+one grouped sum per depth and read top-down by one join per depth. (3) Each block gets back the code lengths of its own grams and
 sums them over its texts. Hot grams and words meet once per block, not per
 occurrence.
 """
@@ -218,67 +218,148 @@ def _write_blocks(depth: int, block_bytes: int):
 
 # --- (2) context trees --------------------------------------------------------------------------
 
+#: Depths below which a context's descendants are handled together: at most 256^2 contexts.
+_INNER = 2
 
-def _log_gamma(x: Column) -> Column:
-    """Logarithm of the gamma function for x >= 1/2: seven steps up, then Stirling's series."""
+
+def _log_gamma(x, log):
+    """Logarithm of the gamma function for x >= 1/2: seven steps up, then Stirling's series. Columns or arrays."""
     y = x + 7
     steps = x
     for k in range(1, 7):
         steps = steps * (x + k)
     inverse = 1 / y
-    series = inverse * (F.lit(1 / 12) - inverse * inverse * (F.lit(1 / 360) - inverse * inverse * (F.lit(1 / 1260) - inverse * inverse / 1680)))
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(steps)
+    square = inverse * inverse
+    series = inverse * (square * (square * (square * (-1 / 1680) + 1 / 1260) + -1 / 360) + 1 / 12)
+    return (y - 0.5) * log(y) - y + 0.5 * math.log(2 * math.pi) + series - log(steps)
 
 
-def _block_probability(zeros: Column, ones: Column) -> Column:
-    """Natural logarithm of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    a, b = zeros.cast("double"), ones.cast("double")
-    known = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - math.log(math.pi)
-    return F.when(a + b == 0, F.lit(0.0)).otherwise(known)
+def _block_probability(a, b, log):
+    """Natural logarithm of the Krichevsky-Trofimov probability of ``a`` zeros and ``b`` ones (doubles)."""
+    return _log_gamma(a + 0.5, log) + _log_gamma(b + 0.5, log) - _log_gamma(a + b + 1, log) - math.log(math.pi)
 
 
-def _bits(grams: DataFrame) -> DataFrame:
-    """Eight rows per (gram, n): the key (context, node) and the bit taken there."""
-    symbol = F.col("gram").bitwiseAND(F.lit(255))
-    exploded = grams.select("gram", "n", symbol.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
-    node = F.expr("shiftleft(1, i) + cast(shiftright(x, 8 - i) as int)")
-    bit = F.expr("cast(shiftright(x, 7 - i) as int) & 1")
-    return exploded.select("gram", "n", (F.expr("shiftleft(shiftright(gram, 8), 8)") + node).alias("key"), bit.alias("bit"))
+def _parent(key):
+    """The same node one context byte shorter."""
+    return (key >> 16 << 8) | (key & 255)
 
 
-def _parent(key: str) -> Column:
-    """The same node one context byte shorter."""
-    return F.shiftleft(F.shiftright(key, 16), 8) + F.col(key).bitwiseAND(F.lit(255))
+class _Descendants:
+    """The contexts below some contexts of one depth, from all grams that begin with these: one array level per depth.
+
+    Level 0 is the longest context. A node's key is its context and, in the last
+    byte, its place in the binary tree (a leading one and the bits before it).
+    """
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, inner: int):
+        i = np.arange(8)
+        self.bit = ((grams[:, None] & 255) >> (7 - i) & 1).ravel()
+        keys = ((grams[:, None] >> 8 << 8) + (1 << i) + ((grams[:, None] & 255) >> (8 - i))).ravel()
+        n = np.repeat(n, 8).astype(float)
+        self.keys, self.places, self.zeros, self.ones, self.pe, self.longer = [], [], [], [], [], []
+        below, zeros, ones = None, n * (1 - self.bit), n * self.bit
+        for k in range(inner + 1):
+            keys, place = np.unique(keys if k == 0 else _parent(keys), return_inverse=True)
+            total = lambda v: np.bincount(place, v, len(keys))  # noqa: E731, B023
+            zeros, ones, longer = total(zeros), total(ones), total(below) if k else None
+            pe = np.where(zeros + ones > 0, _block_probability(zeros, ones, np.log), 0.0)
+            below = np.logaddexp(pe, longer) - math.log(2) if k else pe
+            for own, v in ((self.keys, keys), (self.places, place), (self.zeros, zeros), (self.ones, ones), (self.pe, pe), (self.longer, longer)):
+                own.append(v)
+
+    def lengths(self, q0: np.ndarray, q1: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram, given what the contexts from the root to the last level contribute and leave open."""
+        for k in range(len(self.keys) - 2, -1, -1):
+            up = self.places[k + 1]
+            share = 1 / (1 + np.exp(np.minimum(self.longer[k] - self.pe[k], 700))) if k else 1.0
+            total = self.zeros[k] + self.ones[k] + 1
+            q0 = q0[up] + left[up] * share * (self.zeros[k] + 0.5) / total
+            q1 = q1[up] + left[up] * share * (self.ones[k] + 0.5) / total
+            left = left[up] * (1 - share)
+        at = self.places[0]
+        return np.log10(np.where(self.bit == 1, q1[at], q0[at])).reshape(-1, 8).sum(1)
+
+
+def _by_root(handle, schema: pa.Schema, least: int = 1 << 18):
+    """Rows sorted by the first column as whole groups of it, many at a time: ``handle(table) -> columns``."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def answered(table: pa.Table):
+            for some in pa.table(handle(table), schema=schema).to_batches():
+                yield some
+
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) < least:
+                continue
+            table = pa.Table.from_batches(held)
+            roots = table.column(0).to_numpy()
+            whole = int(np.searchsorted(roots, roots[-1]))
+            if whole:
+                yield from answered(table.slice(0, whole))
+            held = table.slice(whole).to_batches()
+        if held:
+            yield from answered(pa.Table.from_batches(held))
+
+    return run
 
 
 def gram_lengths(grams: DataFrame, depth: int) -> DataFrame:
     """(gram, log10_p) for ``grams (gram, n)``: distinct grams, n how often each was seen in training (0 allowed)."""
-    bits = _bits(grams)
-    ones, zeros = F.sum(F.col("n") * F.col("bit")), F.sum(F.col("n") * (1 - F.col("bit")))
-    level = bits.groupBy("key").agg(zeros.alias("a"), ones.alias("b"))
-    own = _block_probability(F.col("a"), F.col("b"))
-    levels = [pinned(level.select("*", own.alias("pw")), f"contexts-{depth}")]
-    for k in range(depth - 1, -1, -1):
-        below = levels[0].groupBy(_parent("key").alias("key")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pw").alias("longer"))
-        pe = below.select("*", own.alias("pe"))
-        most, least = F.greatest("pe", "longer"), F.least("pe", "longer")
-        pw = most + F.log1p(F.exp(least - most)) - math.log(2)
-        share = 1 / (1 + F.exp(F.least(F.col("longer") - F.col("pe"), F.lit(700.0))))
-        levels.insert(0, pinned(pe.select("key", "a", "b", pw.alias("pw"), share.alias("share")), f"contexts-{k}"))
-    total = F.col("a") + F.col("b") + 1
+    inner = min(_INNER, depth - 1)
+    root = F.shiftright("gram", 8 * (1 + inner)).alias("root")
+
+    def bottom(table: pa.Table):
+        own = _Descendants(table["gram"].to_numpy(), table["n"].to_numpy(), inner)
+        return [own.keys[-1], own.zeros[-1], own.ones[-1], own.longer[-1]]
+
+    def top(table: pa.Table):
+        is_gram = table["n"].is_valid().to_numpy()
+        rows, above = table.filter(pa.array(is_gram)), table.filter(pa.array(~is_gram))
+        own = _Descendants(rows["gram"].to_numpy(), rows["n"].to_numpy(), inner)
+        keys = above["gram"].to_numpy()
+        order = np.argsort(keys)
+        place = order[np.searchsorted(keys[order], own.keys[-1])]
+        return [rows["gram"].to_numpy(), own.lengths(*[above[c].to_numpy()[place] for c in ("q0", "q1", "rest")])]
+
+    def spread(rows: DataFrame, handle, ddl: str, schema) -> DataFrame:
+        return rows.repartition("root").sortWithinPartitions("root").mapInArrow(_by_root(handle, pa.schema(schema)), ddl)
+
+    f8, i8 = pa.float64(), pa.int64()
+    last = spread(
+        grams.select(root, "gram", "n"), bottom, "key long, a double, b double, longer double", [("key", i8), ("a", f8), ("b", f8), ("longer", f8)]
+    )
+    a, b = F.col("a"), F.col("b")
+    pe = F.when(a + b == 0, F.lit(0.0)).otherwise(_block_probability(a, b, F.log))
+    most, least = F.greatest("pe", "longer"), F.least("pe", "longer")
+    weighted = most + F.log1p(F.exp(least - most)) - math.log(2)
+    share = 1 / (1 + F.exp(F.least(F.col("longer") - F.col("pe"), F.lit(700.0))))
+    above_key = F.shiftleft(F.shiftright("key", 16), 8) + F.col("key").bitwiseAND(F.lit(255))
+    levels: list[DataFrame] = []
+    for k in range(depth - inner, -1, -1):  # upwards: one grouped sum per depth
+        if levels:
+            last = levels[0].groupBy(above_key.alias("key")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pw").alias("longer"))
+        levels.insert(0, pinned(last.withColumn("pe", pe).select("key", "a", "b", weighted.alias("pw"), share.alias("share")), f"contexts-{k}"))
     mixed = None
-    for k, level in enumerate(levels):
-        share = F.col("share") if k < depth else F.lit(1.0)
-        here = level.select("key", (share * (F.col("a") + 0.5) / total).alias("p0"), (share * (F.col("b") + 0.5) / total).alias("p1"), (1 - share).alias("rest"))
-        if mixed is not None:
-            above = mixed.select(F.col("key").alias("up"), F.col("p0").alias("q0"), F.col("p1").alias("q1"), F.col("rest").alias("left"))
-            here = here.withColumn("up", _parent("key")).join(above, "up").select(
-                "key", (F.col("q0") + F.col("left") * F.col("p0")).alias("p0"), (F.col("q1") + F.col("left") * F.col("p1")).alias("p1"),
-                (F.col("left") * F.col("rest")).alias("rest"),
+    total = a + b + 1
+    for level in levels:  # downwards: one join per depth
+        own = F.col("share")
+        here = level.select("key", (own * (a + 0.5) / total).alias("p0"), (own * (b + 0.5) / total).alias("p1"), (1 - own).alias("open"))
+        if mixed is None:
+            mixed = here.select("key", F.col("p0").alias("q0"), F.col("p1").alias("q1"), F.col("open").alias("rest"))
+        else:
+            above = mixed.select(F.col("key").alias("up"), "q0", "q1", "rest")
+            mixed = here.withColumn("up", above_key).join(above, "up").select(
+                "key", (F.col("q0") + F.col("rest") * F.col("p0")).alias("q0"), (F.col("q1") + F.col("rest") * F.col("p1")).alias("q1"),
+                (F.col("rest") * F.col("open")).alias("rest"),
             )
-        mixed = here
-    taken = F.log10(F.when(F.col("bit") == 1, F.col("p1")).otherwise(F.col("p0")))
-    return bits.join(mixed, "key").groupBy("gram").agg(F.sum(taken).alias("log10_p"))
+    none = F.lit(None)
+    rows = grams.select(root, "gram", "n", *[none.cast("double").alias(c) for c in ("q0", "q1", "rest")]).unionByName(
+        mixed.select(F.shiftright("key", 8).alias("root"), F.col("key").alias("gram"), none.cast("long").alias("n"), "q0", "q1", "rest")
+    )
+    return spread(rows, top, "gram long, log10_p double", [("gram", i8), ("log10_p", f8)])
 
 
 # --- (3) texts ----------------------------------------------------------------------------------
@@ -345,7 +426,7 @@ def score(docs: DataFrame, learn: Column, held_out: Column, depth: int = 5, bloc
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte), one row per row of ``docs``.
 
     ``score`` is the log10 probability of the text under the weighted context trees
-    of up to ``depth`` bytes (1 to 6), learned from the rows where ``learn`` holds;
+    of up to ``depth`` bytes (2 to 6), learned from the rows where ``learn`` holds;
     bits_per_byte is its code length, the end byte counted. ``base_score`` is that of
     the add-one word model. Both are of the same tokens.
 
@@ -355,8 +436,8 @@ def score(docs: DataFrame, learn: Column, held_out: Column, depth: int = 5, bloc
     scored each; texts of any length are read whole, in pieces cut between words;
     other columns of ``docs`` are not read; an empty table gives an empty table.
     """
-    if not 1 <= depth <= 6:
-        raise ValueError("depth must lie between 1 and 6")
+    if not 2 <= depth <= 6:
+        raise ValueError("depth must lie between 2 and 6")
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(
