@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.functions.numbers import exact_sum, safe_div
-from remitlens.operators.scans import ROWS_PER_BLOCK, even_block, previous_max, previous_row
+from remitlens.operators.scans import ROWS_PER_BLOCK, previous_max, previous_row, quantile_blocks
 
 # Alert thresholds (a window fires above the count).
 ERROR_COUNT, SLOW_COUNT, RPC_ERROR_COUNT, DATABASE_ERROR_COUNT = 10, 5, 3, 1
@@ -76,7 +76,7 @@ def hold(evaluations: DataFrame, keys: list[str], seconds: int = 300, rows_per_b
     stretch start is an aggregate per (key, last false) joined back.
     """
     stamped = evaluations.withColumn("_false", F.when(~F.col("firing"), F.col("evaluated_at")))
-    scanned = previous_max(stamped, keys, ["evaluated_at"], "_false", even_block(stamped, "evaluated_at", rows_per_block), "_since_false")
+    scanned = previous_max(stamped, keys, ["evaluated_at"], "_false", quantile_blocks(stamped, "evaluated_at", rows_per_block), "_since_false")
     true = scanned.where("firing").withColumn("_stretch", F.coalesce(F.unix_micros(F.col("_since_false").cast("timestamp")), F.lit(-1)))
     # a struct keeps the stretches of a null key together
     true = true.withColumn("_stretch", F.struct(*keys, "_stretch"))
@@ -114,7 +114,7 @@ def latency_alert(df: DataFrame, keys: list[str], seconds: str, limit: float = P
 
 def counter_rate(samples: DataFrame, keys: list[str], order: list[str], window: str, seconds: float, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Increase per second of counters; a drop is a reset that counts from zero."""
-    scanned = previous_row(samples, keys, order, ["value"], even_block(samples, "ts", rows_per_block), "_prev")
+    scanned = previous_row(samples, keys, order, ["value"], quantile_blocks(samples, "ts", rows_per_block), "_prev")
     before = F.col("_prev.value")
     step = F.when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
     return (

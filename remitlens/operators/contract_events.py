@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from remitlens.operators.scans import ROWS_PER_BLOCK, even_block, previous_max, previous_row
+from remitlens.operators.scans import ROWS_PER_BLOCK, neighbours, previous_max, previous_row, quantile_blocks
 
 # The event topic and the fields of each schema version, in check order.
 SNAPSHOT_TOPIC = "snapshot_submitted"
@@ -170,7 +170,7 @@ def drop_fenced_writes(writes: DataFrame, rows_per_block: int = ROWS_PER_BLOCK)
     A rejected token is below the maximum anyway, so the running maximum over
     all writes equals the one over accepted writes.
     """
-    scanned = previous_max(writes, ["resource"], ["seq"], "token", even_block(writes, "seq", rows_per_block), "_highest")
+    scanned = previous_max(writes, ["resource"], ["seq"], "token", quantile_blocks(writes, "seq", rows_per_block), "_highest")
     return scanned.where(F.col("_highest").isNull() | (F.col("token") >= F.col("_highest"))).drop("_highest")
 
 
@@ -187,14 +187,15 @@ def accept_epochs(submissions: DataFrame, check_duplicates: bool = False, rows_p
         .when(F.col("metric_count") == 0, F.lit("EmptyMetrics"))
     )
     checked = submissions.withColumn("_basic", basic).withColumn("_epoch", F.when(F.col("_basic").isNull(), F.col("epoch")))
-    scanned = previous_max(checked, ["contract_id"], ["arrival"], "_epoch", even_block(checked, "arrival", rows_per_block), "_last")
+    scanned = previous_max(checked, ["contract_id"], ["arrival"], "_epoch", quantile_blocks(checked, "arrival", rows_per_block), "_last")
     too_old = F.col("epoch") <= F.col("_last")
     if check_duplicates:
         first = (
             scanned.where(F.col("_basic").isNull() & ~F.coalesce(too_old, F.lit(False)))
             .select("contract_id", "epoch", F.col("arrival").alias("_accepted_at"))
         )
-        scanned = scanned.join(first, ["contract_id", "epoch"], "left")
+        # as a struct, so that submissions without a contract meet their like
+        scanned = _join_epochs(scanned, first, ["contract_id"], "left")
         again = F.col("_accepted_at") < F.col("arrival")
         reason = F.coalesce("_basic", F.when(again, F.lit("DuplicateEpoch")), F.when(too_old, F.lit("EpochMonotonicityViolated")))
         return scanned.withColumn("reason", reason).drop("_basic", "_epoch", "_last", "_accepted_at")
@@ -217,11 +218,8 @@ def _contract_keys(df: DataFrame, keys: list[str] | None) -> list[str]:
 def _epoch_list(epochs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, epoch, from_epoch, _next) with blocked scans, so that a long list is not one task."""
     distinct = epochs.select(*keys, "epoch").distinct()
-    block = even_block(distinct, "epoch")
-    placed = previous_row(distinct, keys, ["epoch"], ["epoch"], block, "_prev")
-    placed = placed.select(*keys, "epoch", F.coalesce("_prev.epoch", F.lit(0)).alias("from_epoch"), (-F.col("epoch")).alias("_back"))
-    back = previous_row(placed, keys, ["_back"], ["epoch"], even_block(placed, "_back"), "_following")
-    return back.select(*keys, "epoch", "from_epoch", F.col("_following.epoch").alias("_next"))
+    placed = neighbours(distinct, keys, "epoch", quantile_blocks(distinct, "epoch"), "_prev", "_next")
+    return placed.select(*keys, "epoch", F.coalesce("_prev", F.lit(0)).alias("from_epoch"), "_next")
 
 
 def _join_epochs(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -346,6 +344,6 @@ def ledger_progress_check(ledgers: DataFrame, keys: list[str], rows_per_block: i
     """Consecutive ledgers that break progression, per key in arrival order."""
     from remitlens.operators.contract_state import progression_ok
 
-    scanned = previous_row(ledgers, keys, ["seq"], ["ledger", "closed_at"], even_block(ledgers, "seq", rows_per_block), "_prev")
+    scanned = previous_row(ledgers, keys, ["seq"], ["ledger", "closed_at"], quantile_blocks(ledgers, "seq", rows_per_block), "_prev")
     ok = progression_ok(F.col("_prev.closed_at"), F.col("_prev.ledger"), F.col("closed_at"), F.col("ledger"))
     return scanned.where(F.col("_prev").isNotNull()).withColumn("valid", ok).drop("_prev")

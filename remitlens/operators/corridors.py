@@ -34,34 +34,28 @@ def health_score(success_rate: Column, latency_ms: Column, latency_weight: float
 def corridor_metrics(payments: DataFrame, as_of: datetime) -> DataFrame:
     """Attempts, success rate, latency percentiles, volumes and slippage per corridor.
 
-    Payments are first reduced to one row per corridor and latency, combined
-    map-side. The percentiles are exact and work on these frequencies in blocks,
-    so neither a hot corridor nor a fine-grained latency is gathered.
+    Sums and counts are one aggregate per corridor, combined map-side. The
+    percentiles are exact: a narrow aggregate gives the frequency of each latency,
+    and they work on these in blocks, so neither a hot corridor nor a fine-grained
+    latency is gathered.
     """
+    keys = ["corridor", "source_asset", "dest_asset"]
     recent = (F.col("ts") > F.lit(as_of - timedelta(hours=24))) & (F.col("ts") <= F.lit(as_of))
-    by_latency = payments.groupBy("corridor", "source_asset", "dest_asset", "latency_ms").agg(
-        F.count("*").alias("n"),
-        F.count_if("successful").alias("ok"),
-        exact_sum("amount_usd").alias("volume"),
-        exact_sum(F.when(recent, F.col("amount_usd"))).alias("volume_24h"),
-        exact_sum("slippage_bps").alias("slippage"),
-        F.max("ts").alias("last"),
-    )
-    points = {"median_latency_ms": 0.5, "p95_latency_ms": 0.95, "p99_latency_ms": 0.99}
-    placed = exact_percentiles(by_latency, ["corridor", "source_asset", "dest_asset"], "latency_ms", points, weight="n")
-    total, ok = F.sum("n"), F.sum("ok")
-    metrics = by_latency.groupBy("corridor", "source_asset", "dest_asset").agg(
+    total, ok = F.count("*"), F.count_if("successful")
+    metrics = payments.groupBy(*keys).agg(
         total.alias("total_attempts"),
         ok.alias("successful_payments"),
         (total - ok).alias("failed_payments"),
         pct(ok, total).alias("success_rate"),
-        safe_div(exact_sum(F.col("latency_ms") * F.col("n")), total).alias("average_latency_ms"),
-        exact_sum("volume").alias("liquidity_depth_usd"),
-        F.coalesce(exact_sum("volume_24h"), F.lit(0.0)).alias("liquidity_volume_24h_usd"),
-        safe_div(exact_sum("slippage"), total).alias("average_slippage_bps"),
-        F.max("last").alias("last_updated"),
+        safe_div(exact_sum("latency_ms"), total).alias("average_latency_ms"),
+        exact_sum("amount_usd").alias("liquidity_depth_usd"),
+        F.coalesce(exact_sum(F.when(recent, F.col("amount_usd"))), F.lit(0.0)).alias("liquidity_volume_24h_usd"),
+        safe_div(exact_sum("slippage_bps"), total).alias("average_slippage_bps"),
+        F.max("ts").alias("last_updated"),
     )
-    group = F.struct("corridor", "source_asset", "dest_asset")  # equal also where a field is null
+    points = {"median_latency_ms": 0.5, "p95_latency_ms": 0.95, "p99_latency_ms": 0.99}
+    placed = exact_percentiles(payments, keys, "latency_ms", points)
+    group = F.struct(*keys)  # equal also where a field is null
     placed = placed.select(group.alias("_group"), *points)
     return metrics.withColumn("_group", group).join(placed, "_group", "left").drop("_group").withColumn(
         "health_score", health_score(F.col("success_rate"), F.col("average_latency_ms"))

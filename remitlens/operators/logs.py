@@ -11,7 +11,7 @@ from remitlens.functions import bands
 from remitlens.functions.numbers import exact_avg, js_round, pct, safe_div
 from remitlens.functions.redaction import drop_sensitive_fields
 from remitlens.functions.times import parse_timestamp
-from remitlens.operators.scans import ROWS_PER_BLOCK, even_block, previous_two
+from remitlens.operators.scans import ROWS_PER_BLOCK, previous_two, quantile_blocks
 
 # User-agent marks in the order they are tried. A Chromium-based
 # Edge also says Chrome and is therefore counted there.
@@ -139,7 +139,7 @@ def session_stats(events: DataFrame, user: str = "user_id", gap_seconds: int = 1
     carries both preceding times.
     """
     rows = events.select(user, "ts", "event_id")
-    scanned = previous_two(rows, [user], ["ts", "event_id"], "ts", even_block(rows, "ts", rows_per_block), "_p1", "_p2")
+    scanned = previous_two(rows, [user], ["ts", "event_id"], "ts", quantile_blocks(rows, "ts", rows_per_block), "_p1", "_p2")
     gap, before = _gap(F.col("_p1"), F.col("ts")), _gap(F.col("_p2"), F.col("_p1"))
     opens = lambda g, p: p.isNull() | (g >= gap_seconds)
     two = scanned.select(

@@ -13,12 +13,16 @@ null order value form the first block of their key.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BEFORE = (Window.unboundedPreceding, -1)
 #: Rows that a block should hold on average.
 ROWS_PER_BLOCK = 200_000
+#: Quantiles of the order column that blocks are made of; a power of two.
+_CUTS = 4096
 
 
 def time_block(ts, seconds: int) -> Column:
@@ -33,7 +37,7 @@ def number_block(order: str, width: int) -> Column:
 
 
 def even_block(df: DataFrame, order: str, rows_per_block: int = ROWS_PER_BLOCK) -> Column:
-    """Block number whose width follows the data: so many blocks between the least and
+    """Block number of evenly spread values, whose width follows the data: so many blocks between the least and
     the greatest order value that they hold ``rows_per_block`` rows on average.
 
     The bounds are a scalar subquery (one map-side aggregate); nothing reaches the
@@ -50,8 +54,46 @@ def even_block(df: DataFrame, order: str, rows_per_block: int = ROWS_PER_BLOCK)
     return F.floor(share * bounds.getField("n"))
 
 
-def _blocked(df: DataFrame, keys: list[str], block: Column) -> DataFrame:
+@dataclass
+class QuantileBlocks:
+    """Blocks by quantiles of a number column; ``sketch`` is a scalar subquery."""
+
+    place: Column
+    sketch: Column
+
+    def added(self, df: DataFrame, out: str) -> DataFrame:
+        """``df`` with the block number of each row; null where the order value is."""
+        # the sketch becomes a column first, as no subquery may stand inside a lambda
+        placed = df.withColumn("_sketch", self.sketch).withColumn("_place", self.place)
+        cuts, n = F.col("_sketch.cuts"), F.col("_sketch.n")
+        steps = F.array(*[F.lit(_CUTS >> k) for k in range(1, _CUTS.bit_length())])
+        passed = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.element_at(cuts, at + step) <= F.col("_place"), at + step).otherwise(at))
+        number = F.when(n > 1, F.floor(passed * F.least(n, F.lit(_CUTS)) / _CUTS)).otherwise(F.lit(0).cast("bigint"))
+        return placed.withColumn(out, F.when(F.col("_place").isNotNull(), number)).drop("_sketch", "_place")
+
+
+def quantile_blocks(df: DataFrame, order: str, rows_per_block: int = ROWS_PER_BLOCK) -> QuantileBlocks:
+    """Blocks by sampled quantiles of the order column, so many that they hold ``rows_per_block`` rows on average.
+
+    A sketch of the order values (one map-side aggregate; nothing reaches the driver)
+    gives 4095 cut points. Outliers and clusters don't matter: blocks follow the rank
+    of a row, not its value, and a key has no more rows in a block than all keys
+    together. Only rows of one order value stay together. A row finds its place among
+    the cuts by binary search. Few rows make one block.
+    """
+    timed = df.schema[order].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
+    place = (F.unix_micros(F.col(order).cast("timestamp")) if timed else F.col(order)).cast("double")
+    points = [i / _CUTS for i in range(1, _CUTS)]
+    sketch = df.select(place.alias("x")).agg(
+        F.struct(F.percentile_approx("x", points, 10 * _CUTS).alias("cuts"), F.ceil(F.count("*") / F.lit(rows_per_block)).alias("n")).alias("b")
+    )
+    return QuantileBlocks(place, sketch.scalar())
+
+
+def _blocked(df: DataFrame, keys: list[str], block: Column | QuantileBlocks) -> DataFrame:
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
+    if isinstance(block, QuantileBlocks):
+        return block.added(df, "_block").withColumn("_key", F.struct(key.alias("key"), F.col("_block").alias("block"))).drop("_block")
     return df.withColumn("_key", F.struct(key.alias("key"), block.alias("block")))
 
 
@@ -65,7 +107,7 @@ def _blocks_before(frame: bool = True):
     return by_key.rowsBetween(*_BEFORE) if frame else by_key
 
 
-def previous_max(df: DataFrame, keys: list[str], order: list[str], value: str, block: Column, out: str) -> DataFrame:
+def previous_max(df: DataFrame, keys: list[str], order: list[str], value: str, block: Column | QuantileBlocks, out: str) -> DataFrame:
     """Largest ``value`` among the rows of the key that come before this one."""
     blocked = _blocked(df, keys, block)
     carry = _carried(blocked.groupBy("_key").agg(F.max(value).alias("_top")), F.max("_top").over(_blocks_before()))
@@ -78,7 +120,7 @@ def previous_max(df: DataFrame, keys: list[str], order: list[str], value: str, b
 
 
 def previous_row(
-    df: DataFrame, keys: list[str], order: list[str], values: list[str], block: Column, out: str
+    df: DataFrame, keys: list[str], order: list[str], values: list[str], block: Column | QuantileBlocks, out: str
 ) -> DataFrame:
     """Struct of ``values`` of the preceding row of the key, null on the first row."""
     blocked = _blocked(df, keys, block).withColumn("_row", F.struct(*values))
@@ -92,7 +134,22 @@ def previous_row(
     )
 
 
-def previous_two(df: DataFrame, keys: list[str], order: list[str], value: str, block: Column, last: str, before: str) -> DataFrame:
+def neighbours(df: DataFrame, keys: list[str], value: str, block: Column | QuantileBlocks, previous: str, following: str) -> DataFrame:
+    """The next smaller and the next larger ``value`` of the key, for distinct values, in one scan; a null value has neither."""
+    blocked = _blocked(df, keys, block)
+    ends = blocked.groupBy("_key").agg(F.min(value).alias("_least"), F.max(value).alias("_most"))
+    by_block = _blocks_before(frame=False)
+    carry = ends.select("_key", F.lag("_most").over(by_block).alias("_before"), F.lead("_least").over(by_block).alias("_after"))
+    inside = Window.partitionBy("_key").orderBy(value)
+    return (
+        blocked.join(carry, "_key")
+        .withColumn(previous, F.coalesce(F.lag(value).over(inside), F.col("_before")))
+        .withColumn(following, F.when(F.col(value).isNotNull(), F.coalesce(F.lead(value).over(inside), F.col("_after"))))
+        .drop("_key", "_before", "_after")
+    )
+
+
+def previous_two(df: DataFrame, keys: list[str], order: list[str], value: str, block: Column | QuantileBlocks, last: str, before: str) -> DataFrame:
     """``value`` of the preceding row of the key and of the row before that, in one scan."""
     blocked = _blocked(df, keys, block)
     inside = Window.partitionBy("_key").orderBy(*order)
@@ -113,7 +170,7 @@ def previous_two(df: DataFrame, keys: list[str], order: list[str], value: str, b
     )
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, block: Column, out: str) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, block: Column | QuantileBlocks, out: str) -> DataFrame:
     """Sum of ``value`` over the rows of the key up to and including this one."""
     blocked = _blocked(df, keys, block)
     carry = _carried(blocked.groupBy("_key").agg(F.sum(value).alias("_part")), F.sum("_part").over(_blocks_before()))
@@ -157,22 +214,25 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[s
     Values are first reduced to (key, value, frequency), which splits a hot key
     over its values. Cumulative frequencies come from a two-level scan (value
     ranges of the key, then values inside a range), and each percentile picks
-    the two values around its position. ``weight`` is a column of frequencies, for
-    rows that are counted already.
+    the two values around its position. The range sums that are carried also give
+    the total of the key. ``weight`` is a column of frequencies, for rows that are
+    counted already; these are not grouped again.
     """
-    frequency = F.sum(weight) if weight else F.count("*")
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(frequency.alias("_n"))
+    if weight:
+        counted = df.where(F.col(value).isNotNull()).select(*keys, value, F.col(weight).alias("_n"))
+    else:
+        counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     # Order-preserving range number: 64 ranges per power of two of the magnitude, however small it is.
     magnitude = F.floor(F.log2(F.abs(F.col(value).cast("double"))) * 64) + 1100 * 64
     block = F.when(F.col(value) == 0, F.lit(0)).otherwise(F.signum(F.col(value).cast("double")).cast("bigint") * magnitude)
-    ranked = running_sum(counted, keys, [value], "_n", block, "_upto")
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    if keys:
-        # a struct keeps groups with null keys together with their totals
-        group = F.struct(*keys)
-        totals = totals.select(group.alias("_group"), "_total")
-        ranked = ranked.withColumn("_group", group).join(totals, "_group").drop("_group")
-    ranked = ranked if keys else ranked.withColumn("_total", totals.select("_total").scalar())
+    blocked = _blocked(counted, keys, block)
+    parts = blocked.groupBy("_key").agg(F.sum("_n").alias("_part"))
+    carry = parts.select(
+        "_key", F.coalesce(F.sum("_part").over(_blocks_before()), F.lit(0)).alias("_carry"),
+        F.sum("_part").over(Window.partitionBy("_key.key")).alias("_total"),
+    )
+    inside = Window.partitionBy("_key").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = blocked.join(carry, "_key").withColumn("_upto", F.sum("_n").over(inside) + F.col("_carry"))
     exprs = []
     for name, p in points.items():
         position = F.lit(float(p)) * (F.col("_total") - 1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from remitlens.functions.numbers import exact_sum
 from remitlens.operators.contract_events import once
-from remitlens.operators.scans import ROWS_PER_BLOCK, even_block, previous_row
+from remitlens.operators.scans import ROWS_PER_BLOCK, previous_row, quantile_blocks
 from remitlens.sources.payloads import NUMBER_KINDS
 
 # Required fields of every message type, s = string, n = number, b = boolean.
@@ -89,7 +89,7 @@ def subscribed(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
 def stale_gaps(messages: DataFrame, connection: str, seconds: int = STALE_SECONDS, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Silences longer than the limit between consecutive messages of a connection."""
     scanned = previous_row(
-        messages, [connection], ["received_at", "event_id"], ["received_at"], even_block(messages, "received_at", rows_per_block), "_prev"
+        messages, [connection], ["received_at", "event_id"], ["received_at"], quantile_blocks(messages, "received_at", rows_per_block), "_prev"
     )
     before, now = F.col("_prev.received_at"), F.col("received_at")
     gap = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 1e6
