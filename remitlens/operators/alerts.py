@@ -54,19 +54,24 @@ def log_alerts(logs: DataFrame, time: str = "event_time", window: str = "5 minut
 
 
 def _bucketed(df: DataFrame, time: str, slide: str, keys: list[str], aggregates: list[Column]) -> DataFrame:
-    start = F.window(time, slide)["start"]
-    return df.groupBy(*keys, start.alias("_bucket")).agg(*aggregates)
+    # the window itself, not its start: it carries the watermark to a second aggregate
+    return df.groupBy(*keys, F.window(time, slide).alias("_bucket")).agg(*aggregates)
 
 
 def error_ratio(logs: DataFrame, time: str = "event_time", window: str = "5 minutes", slide: str = "30 seconds", limit: float = ERROR_RATIO) -> DataFrame:
-    """Share of 5xx responses per sliding window and whether it exceeds the limit."""
+    """Share of 5xx responses per sliding window and whether it exceeds the limit.
+
+    On a stream with a watermark on ``time`` the two aggregates are chained (append
+    mode): a window appears once the watermark has passed its end.
+    """
     buckets = _bucketed(
         logs, time, slide, [],
         [F.count("*").alias("n"), F.count_if(F.col("http_status").between(500, 599)).alias("bad")],
     )
     ratio = safe_div(F.sum("bad"), F.sum("n"))
     windows = buckets.groupBy(F.window("_bucket", window, slide).alias("w")).agg(ratio.alias("ratio"))
-    return windows.select(F.col("w.end").alias("evaluated_at"), "ratio", (F.col("ratio") > limit).alias("firing"))
+    closed = [F.window_time("w").alias("_closed")] if logs.isStreaming else []
+    return windows.select(F.col("w.end").alias("evaluated_at"), "ratio", (F.col("ratio") > limit).alias("firing"), *closed)
 
 
 def hold(evaluations: DataFrame, keys: list[str], seconds: int = 300, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
