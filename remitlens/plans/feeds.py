@@ -193,18 +193,22 @@ def newest_alerts(spark, sf):
     return jobs.newest(alerts, jobs.ALERT_LIST).select("event_id", "corridor_id")
 
 
+def subscriptions(spark, sf):
+    """(subscriber, channel): customers follow the corridor, or the payments and the anchor, of their own number."""
+    first = F.col("c_mktsegment") < "F"
+    names = F.when(first, F.array(F.lit("corridor:"))).otherwise(F.array(F.lit("payments:"), F.lit("anchor:")))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("subscriber"), F.explode(names).alias("prefix")).select(
+        "subscriber", F.concat("prefix", F.lit("U"), F.col("subscriber").cast("string")).alias("channel")
+    )
+
+
 @query(
     "subscribed_messages",
     f"""{_MSG} SELECT c_custkey AS subscriber, event_id, CASE kind WHEN 'corridor_update' THEN 'corridor:' WHEN 'new_payment' THEN 'payments:' ELSE 'anchor:' END || connection AS channel
     FROM msg JOIN customer ON 'U' || c_custkey = connection AND CASE WHEN c_mktsegment < 'F' THEN kind = 'corridor_update' ELSE kind IN ('new_payment', 'anchor_update') END""",
 )
 def subscribed_messages(spark, sf):
-    first = F.col("c_mktsegment") < "F"
-    names = F.when(first, F.array(F.lit("corridor:"))).otherwise(F.array(F.lit("payments:"), F.lit("anchor:")))
-    subscriptions = table(spark, sf, "customer").select(F.col("c_custkey").alias("subscriber"), F.explode(names).alias("prefix")).select(
-        "subscriber", F.concat("prefix", F.lit("U"), F.col("subscriber").cast("string")).alias("channel")
-    )
-    delivered = msg.subscribed(msg.parse_messages(message_text(spark, sf)), subscriptions)
+    delivered = msg.subscribed(msg.parse_messages(message_text(spark, sf)), subscriptions(spark, sf))
     return delivered.select("subscriber", "event_id", "channel")
 
 

@@ -37,12 +37,13 @@ RAW_LOGS = f"""{EVENTS}, raw AS (SELECT event_id, ts, strftime(date_trunc('secon
 _L = f"WITH {RAW_LOGS}"
 
 
-def raw_logs(spark, sf):
+def raw_logs(spark, sf, rows=None):
+    """Raw log documents of the events, or of ``rows`` of the same form."""
     k, kind = F.col("k"), F.col("event_type")
     error = kind == "error"
     http = kind.isin("click", "error", "purchase")
     secret = F.lit("hidden")
-    return events(spark, sf).select(
+    return (events(spark, sf) if rows is None else rows).select(
         "event_id",
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
         F.when(error & (k < 50), "ERROR").when(error, "error").when(kind == "signup", "WARN").when((kind == "view") & (k > 90), "warn").otherwise("info").alias("level"),
@@ -306,14 +307,16 @@ _RULE_SQL = {
 }
 
 
-@query(
-    "log_alerts",
+LOG_ALERTS_SQL = (
     f"""{_L}, w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, event_time, TIMESTAMP '1970-01-01') AS s FROM logs) """
     + " UNION ALL ".join(
         f"SELECT '{n}' AS rule, s AS window_start, s + INTERVAL 6 HOUR AS window_end, count(*) AS count FROM w WHERE {t} GROUP BY s HAVING count(*) > {c}"
         for n, (t, c) in _RULE_SQL.items()
-    ),
+    )
 )
+
+
+@query("log_alerts", LOG_ALERTS_SQL)
 def log_alerts(spark, sf):
     return al.log_alerts(shaped_logs(spark, sf), window="6 hours")
 
@@ -327,17 +330,22 @@ def _ratio(spark, sf):
     return al.error_ratio(http_logs(spark, sf), window="6 hours", slide="1 hour", limit=0.2)
 
 
-@query("error_ratio", f"{_L}, {_RATIO} SELECT evaluated_at, round(ratio, 9) AS ratio, ratio > 0.2 AS firing FROM r")
+ERROR_RATIO_SQL = f"{_L}, {_RATIO} SELECT evaluated_at, round(ratio, 9) AS ratio, ratio > 0.2 AS firing FROM r"
+
+
+@query("error_ratio", ERROR_RATIO_SQL)
 def error_ratio(spark, sf):
     return rounded(_ratio(spark, sf), ratio=9)
 
 
-@query(
-    "alert_hold",
+ALERT_HOLD_SQL = (
     f"""{_L}, {_RATIO}, f AS (SELECT evaluated_at, ratio > 0.2 AS firing, max(CASE WHEN NOT ratio > 0.2 THEN evaluated_at END) OVER (ORDER BY evaluated_at) AS lf FROM r),
     s AS (SELECT *, min(evaluated_at) OVER (PARTITION BY lf) AS since FROM f WHERE firing)
-    SELECT evaluated_at, since FROM s WHERE evaluated_at - since >= INTERVAL 3 HOUR""",
+    SELECT evaluated_at, since FROM s WHERE evaluated_at - since >= INTERVAL 3 HOUR"""
 )
+
+
+@query("alert_hold", ALERT_HOLD_SQL)
 def alert_hold(spark, sf):
     evaluations = _ratio(spark, sf).withColumn("series", F.lit("5xx"))
     return al.hold(evaluations, ["series"], seconds=3 * 3600).select("evaluated_at", "since")

@@ -1,10 +1,12 @@
 """Snapshots and replay over the payments."""
 
+from pyspark.sql import functions as F
+
 from remitlens.functions.numbers import canonical_number
 from remitlens.operators import snapshot as op
 from remitlens.plans.registry import query, rounded
 from remitlens.plans.views import PAYMENTS, davg, dsum
-from remitlens.sources.tables import snapshot_rows
+from remitlens.sources.tables import snapshot_rows, table
 
 _SNAPSHOT = f"""
   SELECT corridor,
@@ -35,6 +37,23 @@ def snapshot_by_network(spark, sf):
     return _round(op.generate_snapshot(snapshot_rows(spark, sf), by_network=True))
 
 
+@query(
+    "snapshot_wide_range",
+    """SELECT l_returnflag AS corridor, 'x' AS source, CAST(sum(m) AS DOUBLE) / 1048576 AS total_volume, CAST(sum(m) AS DOUBLE) / 1048576 / count(*) AS avg_latency_ms
+    FROM (SELECT l_returnflag, (l_orderkey * 31 + l_linenumber) % 1000003 AS m FROM lineitem) GROUP BY 1""",
+)
+def snapshot_wide_range(spark, sf):
+    """Volumes of 2**-20 to 2**80 whose large parts cancel: sums in double would lose the small ones."""
+    m = F.expr("(l_orderkey * 31 + l_linenumber) % 1000003").cast("double")
+    parts = [(m * 2.0**60, None), (m * 2.0**-20, m * 2.0**-20), (m * -(2.0**60), None)]
+    values = F.array(*[F.struct(v.alias("volume"), (F.lit(None).cast("double") if x is None else x).alias("latency_ms")) for v, x in parts])
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("ledger_sequence"), F.col("l_returnflag").alias("corridor"), F.lit("x").alias("source"), F.lit(1.0).alias("reliability"),
+        F.inline(values),
+    )
+    return op.generate_snapshot(rows).select("corridor", "source", "total_volume", "avg_latency_ms")
+
+
 @query("filter_ledger_range", f"WITH {PAYMENTS} SELECT ledger_sequence, corridor, network AS source, reliability, amount_usd AS volume, latency_ms FROM payments WHERE ledger_sequence BETWEEN 100 AND 900")
 def filter_ledger_range(spark, sf):
     return op.filter_ledger_range(snapshot_rows(spark, sf), 100, 900)
