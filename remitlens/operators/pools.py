@@ -90,39 +90,46 @@ def insight_sentences(insights: DataFrame) -> DataFrame:
     return insights.select("asset_code", sentences().alias("sentences"))
 
 
+# The sentences, each with the limit that its measure is above (or at, where marked) to be said; the first that holds is taken.
+_CONCENTRATION = [
+    (50.0, "above", "The largest single holder controls %s%% of supply, indicating high concentration."),
+    (20.0, "above", "The largest single holder controls %s%% of supply, showing moderate concentration."),
+    (float("-inf"), "at", "The largest single holder controls %s%% of supply, suggesting broad distribution."),
+]
+_FEW_HOLDERS = 50
+_SMALL_SAMPLE = "Trustline count changed by %s over 30 days — sample size is small, so trends may not be representative."
+_GROWTH = [
+    (0.0, "above", "Holder count grew by %s over the past 30 days."),
+    (0.0, "at", "Holder count was flat over the past 30 days."),
+    (float("-inf"), "at", "Holder count declined by %s over the past 30 days."),
+]
+_TRANSFERS = [
+    (1.2, "above", "30-day transfer volume (%s) is %s%% above the historical average."),
+    (0.8, "at", "30-day transfer volume (%s) is in line with the historical average."),
+    (float("-inf"), "at", "30-day transfer volume (%s) is %s%% below the historical average."),
+]
+_TRANSFERS_ALONE = "30-day transfer volume: %s."
+
+
+def _said(measure: Column, bands: list[tuple[float, str, str]], *values: Column) -> Column:
+    """Text of the band of ``measure``, null for a null measure; a text takes as many ``values`` as it has places."""
+    texts = [(low, kind, F.format_string(text, *values[: text.count("%s")])) for low, kind, text in bands]
+    return F.coalesce(*[F.when(measure > low if kind == "above" else measure >= low, text) for low, kind, text in texts])
+
+
 def sentences() -> Column:
-    largest, growth = F.col("largest_holder_pct"), F.col("holder_growth_30d")
-    volume, usual = F.col("transfer_volume_30d"), F.col("avg_transfer_volume")
-    spread = (
-        F.when(largest > 50, F.lit(", indicating high concentration"))
-        .when(largest > 20, F.lit(", showing moderate concentration"))
-        .otherwise(F.lit(", suggesting broad distribution"))
-    )
-    concentration = F.when(
-        largest.isNotNull(),
-        F.concat(F.lit("The largest single holder controls "), to_fixed(largest, 1), F.lit("% of supply"), spread, F.lit(".")),
-    )
-    signed = F.concat(F.when(growth > 0, F.lit("+")).otherwise(F.lit("")), plain_number(growth))
-    holders = F.when(
-        growth.isNotNull(),
-        F.when(
-            F.col("total_trustlines") < 50,
-            F.concat(
-                F.lit("Trustline count changed by "), signed,
-                F.lit(" over 30 days — sample size is small, so trends may not be representative."),
-            ),
+    """The sentences of one asset: concentration, holders, transfers; what has no measure is left out."""
+    share, growth, volume = (F.col(c) for c in ("largest_holder_pct", "holder_growth_30d", "transfer_volume_30d"))
+    small = F.coalesce(F.col("total_trustlines") < _FEW_HOLDERS, F.lit(False)) & growth.isNotNull()
+    change = F.concat(F.when(growth > 0, F.lit("+")).otherwise(F.lit("")), plain_number(growth))
+    # no ratio without a positive average; the plain sentence takes its place
+    ratio = safe_div(volume, F.when(F.col("avg_transfer_volume") > 0, F.col("avg_transfer_volume")))
+    off = to_fixed(F.abs(ratio - 1) * 100, 0)
+    alone = F.when(volume.isNotNull(), F.format_string(_TRANSFERS_ALONE, compact_intl(volume)))
+    return F.array_compact(
+        F.array(
+            _said(share, _CONCENTRATION, to_fixed(share, 1)),
+            F.when(small, F.format_string(_SMALL_SAMPLE, change)).otherwise(_said(growth, _GROWTH, plain_number(F.abs(growth)))),
+            F.coalesce(_said(ratio, _TRANSFERS, compact_intl(volume), off), alone),
         )
-        .when(growth > 0, F.concat(F.lit("Holder count grew by "), plain_number(growth), F.lit(" over the past 30 days.")))
-        .when(growth < 0, F.concat(F.lit("Holder count declined by "), plain_number(F.abs(growth)), F.lit(" over the past 30 days.")))
-        .otherwise(F.lit("Holder count was flat over the past 30 days.")),
     )
-    ratio = safe_div(volume, usual)
-    amount = compact_intl(volume)
-    head = F.concat(F.lit("30-day transfer volume ("), amount, F.lit(") is "))
-    transfers = F.when(
-        volume.isNotNull() & (usual > 0),
-        F.when(ratio > 1.2, F.concat(head, to_fixed((ratio - 1) * 100, 0), F.lit("% above the historical average.")))
-        .when(ratio < 0.8, F.concat(head, to_fixed((F.lit(1.0) - ratio) * 100, 0), F.lit("% below the historical average.")))
-        .otherwise(F.concat(head, F.lit("in line with the historical average."))),
-    ).when(volume.isNotNull(), F.concat(F.lit("30-day transfer volume: "), amount, F.lit(".")))
-    return F.array_compact(F.array(concentration, holders, transfers))
