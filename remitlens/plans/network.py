@@ -165,7 +165,7 @@ _MOVERS = f"""WITH l AS (SELECT p_brand AS asset_code, p_type AS asset_issuer, l
     FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate <= TIMESTAMP '{MOVERS_AS_OF}'),
   d AS (SELECT asset_code, asset_issuer, ts, {davg('l_extendedprice / l_quantity')} AS price, {dsum('l_extendedprice')} AS volume FROM l GROUP BY 1, 2, 3),
   h AS (SELECT asset_code, asset_issuer, count(DISTINCT o_custkey) AS holder_count FROM l GROUP BY 1, 2),
-  n AS (SELECT asset_code, asset_issuer, arg_max(price, ts) AS price_usd, arg_max(volume, ts) AS volume_24h_usd,
+  n AS (SELECT asset_code, asset_issuer, arg_max(price, ts) AS price_usd, coalesce(sum(volume) FILTER (ts > TIMESTAMP '{MOVERS_AS_OF - timedelta(hours=24)}'), 0.0) AS volume_24h_usd,
           arg_max(price, ts) FILTER (ts <= TIMESTAMP '{MOVERS_AS_OF - timedelta(hours=24)}') AS p24 FROM d GROUP BY 1, 2),
   a AS (SELECT asset_code, asset_issuer, price_usd, volume_24h_usd, holder_count, round((price_usd - p24) * 100.0 / nullif(p24, 0), 6) AS change_24h_pct
         FROM n JOIN h USING (asset_code, asset_issuer))"""
@@ -190,7 +190,9 @@ def movers(spark, sf):
         F.round(exact_avg(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias("price"),
         F.round(exact_sum("l_extendedprice"), 4).alias("volume"),
     )
-    latest = daily.groupBy(*key).agg(F.max_by("volume", "ts").alias("volume_24h_usd"))
+    # what was traded in the 24 hours before, not on the last day that had a trade
+    recent = F.col("ts") > F.lit(MOVERS_AS_OF - timedelta(hours=24))
+    latest = daily.groupBy(*key).agg(F.coalesce(exact_sum(F.when(recent, F.col("volume"))), F.lit(0.0)).alias("volume_24h_usd"))
     # members first, then their number: a popular asset is never gathered
     holders = trades.select(*key, "o_custkey").distinct().groupBy(*key).agg(F.count("o_custkey").alias("holder_count"))
     change = baseline_24h(daily, key, MOVERS_AS_OF)
