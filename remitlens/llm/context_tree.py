@@ -26,6 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -121,13 +122,13 @@ _BLOCK = pa.schema(
     [
         ("block", pa.int64()), ("texts", pa.binary()), ("offsets", pa.binary()), ("row", pa.list_(pa.int64())), ("last", pa.list_(pa.bool_())),
         ("grams", pa.list_(pa.int64())), ("gram_n", pa.list_(pa.int64())),
-        ("words", pa.list_(pa.binary())), ("word_key", pa.list_(pa.int64())), ("word_n", pa.list_(pa.int64())),
+        ("words", pa.list_(pa.binary())), ("word_n", pa.list_(pa.int64())),
         ("ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
     ]
 )
 _BLOCK_DDL = (
     "block long, texts binary, offsets binary, row array<long>, last array<boolean>, grams array<long>, gram_n array<long>, "
-    "words array<binary>, word_key array<long>, word_n array<long>, ids array<long>, held_out array<boolean>"
+    "words array<binary>, word_n array<long>, ids array<long>, held_out array<boolean>"
 )
 
 
@@ -162,7 +163,7 @@ class _Block:
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(self.sizes))]).astype(np.int64)
         grams, gram_n = _counted(*(np.concatenate(x) for x in zip(*self.grams)))
         keys = np.concatenate([x[0] for x in self.words])
-        distinct, first = np.unique(keys, return_index=True)
+        _, first = np.unique(keys, return_index=True)
         _, word_n = _counted(keys, np.concatenate([x[1] for x in self.words]))
         words = np.concatenate([x[2] for x in self.words])[first]
         packed = zstandard.ZstdCompressor(level=3).compress(data.tobytes())
@@ -170,7 +171,7 @@ class _Block:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([number], pa.int64()), pa.array([packed], pa.binary()), pa.array([offsets.tobytes()], pa.binary()), one(self.rows, pa.int64()),
-                one(self.last, pa.bool_()), one(grams, pa.int64()), one(gram_n, pa.int64()), one(words.tolist(), pa.binary()), one(distinct, pa.int64()),
+                one(self.last, pa.bool_()), one(grams, pa.int64()), one(gram_n, pa.int64()), one(words.tolist(), pa.binary()),
                 one(word_n, pa.int64()), one(self.ids, pa.int64()), one(self.held, pa.bool_()),
             ],
             schema=_BLOCK,
@@ -374,7 +375,7 @@ def _measure(depth: int, train_tokens: int, vocabulary: int, ends: int):
     unit = math.log10(train_tokens + vocabulary + 1)
 
     def table(values: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        own = values.filter(pa.compute.equal(values["kind"], kind))
+        own = values.filter(pc.equal(values["kind"], kind))
         keys, v = own["key"].to_numpy(), own["value"].to_numpy()
         order = np.argsort(keys)
         return keys[order], v[order]
@@ -385,8 +386,8 @@ def _measure(depth: int, train_tokens: int, vocabulary: int, ends: int):
         one = {c: blocks[c][0].as_py() for c in ("texts", "offsets", "row", "last", "ids", "held_out")}
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(one["texts"]), np.uint8)
         offsets = np.frombuffer(one["offsets"], np.int64)
-        (grams, lengths), (words, counts) = table(values, 0), table(values, 1)
-        parts = []
+        (grams, lengths), (_, counts) = table(values, 0), table(values, 1)
+        parts, word_hashes = [], []
         n = len(offsets) - 1
         at = 0
         while at < n:  # a few megabytes at a time
@@ -403,21 +404,29 @@ def _measure(depth: int, train_tokens: int, vocabulary: int, ends: int):
             bounds = np.concatenate([[0], np.cumsum(sizes)])
             column = pa.Array.from_buffers(pa.large_binary(), stop - at, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(body))])
             w = hashing.words(column)
-            seen = counts[np.searchsorted(words, w.hashes.view(np.int64))] if len(w.hashes) else np.zeros(0)
+            word_hashes.append(w.hashes.view(np.int64))
+            parts.append((at, stop, w.documents, w.counts, sizes, score))
+            at = stop
+        # the words of a block are known by their place among its sorted hashes
+        hashes = np.concatenate(word_hashes)
+        seen = counts[np.unique(hashes, return_inverse=True)[1]] if len(hashes) else np.zeros(0)
+        tables, first = [], 0
+        for (at, stop, owner, n_words, sizes, score), own in zip(parts, word_hashes):
+            times = seen[first : first + len(own)]
+            first += len(own)
             last = np.array(one["last"][at:stop])
-            sums = lambda v: np.bincount(w.documents, v, stop - at)
-            parts.append(
+            sums = lambda v: np.bincount(owner, v, stop - at)  # noqa: E731, B023
+            tables.append(
                 pa.table(
                     [
-                        one["row"][at:stop], one["ids"][at:stop], one["held_out"][at:stop], w.counts + last,
-                        sums(seen > 0).astype(np.int64) + (last & (ends > 0)), sizes,
-                        sums(np.log10(seen + 1) - unit) + last * (math.log10(ends + 1) - unit), score,
+                        one["row"][at:stop], one["ids"][at:stop], one["held_out"][at:stop], n_words + last,
+                        sums(times > 0).astype(np.int64) + (last & (ends > 0)), sizes,
+                        sums(np.log10(times + 1) - unit) + last * (math.log10(ends + 1) - unit), score,
                     ],
                     schema=schema,
                 )
             )
-            at = stop
-        return pa.concat_tables(parts)
+        return pa.concat_tables(tables)
 
     return run
 
@@ -447,8 +456,8 @@ def score(docs: DataFrame, learn: Column, held_out: Column, depth: int = 5, bloc
     blocks = pinned(rows.mapInArrow(_write_blocks(depth, block_bytes), _BLOCK_DDL), "context-blocks", "zstd")
     grams = blocks.select("block", F.explode(F.arrays_zip(F.col("grams").alias("gram"), F.col("gram_n").alias("n"))).alias("g")).select("block", "g.gram", "g.n")
     words = blocks.select(
-        "block", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("word_key").alias("key"), F.col("word_n").alias("n"))).alias("w")
-    ).select("block", "w.word", "w.key", "w.n")
+        "block", F.posexplode(F.arrays_zip(F.col("words").alias("word"), F.col("word_n").alias("n"))).alias("place", "w")
+    ).select("block", "w.word", F.col("place").cast("long").alias("key"), "w.n")
     lengths = gram_lengths(pinned(grams.groupBy("gram").agg(F.sum("n").alias("n")), "context-grams"), depth)
     vocabulary = pinned(words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "context-words")
     ends = rows.where("learn").count()
