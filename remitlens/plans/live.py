@@ -10,7 +10,7 @@ from remitlens.plans import feeds, operations
 from remitlens.plans.registry import query, rounded
 from remitlens.plans.views import EVENTS
 from remitlens.sources.tables import EVENT_KEY, table
-from remitlens.streaming import jobs, live
+from remitlens.streaming import jobs, live, store
 from remitlens.streaming import messages as msg
 
 # Later than every event by far: heartbeats that close all windows.
@@ -96,3 +96,14 @@ def stream_deliveries(spark, sf):
         texts.where(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{path}/in")
         stream().awaitTermination()
     return spark.read.parquet(f"{path}/out").select("subscriber", "event_id", "version")
+
+
+@query("stream_state_store", "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_type = 'click' GROUP BY 1")
+def stream_state_store(spark, sf):
+    """Latest state over several batches, kept in a merged store."""
+    path = jobs.stream_dir(spark, "state-store")
+    table(spark, sf, "events").select("user_id", "event_id", "value", F.col("event_type").alias("kind")).repartition(6, "event_id").write.parquet(f"{path}/in")
+    rows = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    state = msg.latest_state(rows, "click", "user_id", ["event_id"])
+    store.run_to_store(state, path, ["user_id"]).awaitTermination()
+    return store.latest(spark, path, ["user_id"], state.schema).select("user_id", "event_id", "value")
