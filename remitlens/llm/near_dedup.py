@@ -23,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,7 +133,7 @@ def _verify_block(percent: int):
                 c = seen[c]
             return c
 
-        left, right = (table.filter(pa.compute.equal(table["side"], s)) for s in (0, 1))
+        left, right = (table.filter(pc.equal(table["side"], s)) for s in (0, 1))
         found: list[tuple[int, int]] = []
         if left.num_rows and right.num_rows:
             sets = [np.frombuffer(x, np.uint64) for x in right["shingles"].to_pylist()]
