@@ -9,9 +9,9 @@ from remitlens.operators import snapshot
 from remitlens.plans import contracts as contract_plans
 from remitlens.plans import corridors as corridor_plans
 from remitlens.plans import operations
-from remitlens.plans.registry import query, rounded
+from remitlens.plans.registry import ORACLES, query, rounded
 from remitlens.plans.views import EVENTS, PAYMENTS, dsum
-from remitlens.sources import payloads, schemas, sinks
+from remitlens.sources import commits, payloads, schemas, sinks
 from remitlens.sources.tables import events, payments, table
 from remitlens.streaming import jobs
 from remitlens.streaming import messages as msg
@@ -353,14 +353,14 @@ def export_columns(spark, sf):
 @query("routed_error_logs", f"WITH {operations.RAW_LOGS} SELECT event_id, event_time::DATE AS log_date FROM logs WHERE tags LIKE 'error%'")
 def routed_error_logs(spark, sf):
     path = jobs.stream_dir(spark, "logs")
-    sinks.route_logs(operations.shaped_logs(spark, sf), path, files_per_day=1)
+    sinks.route_logs(operations.shaped_logs(spark, sf), path)
     return spark.read.parquet(f"{path}/errors").select("event_id", "log_date")
 
 
 @query("network_store", f"WITH {PAYMENTS} SELECT corridor, count(*) AS n FROM payments WHERE network = 'testnet' GROUP BY 1")
 def network_store(spark, sf):
     path = jobs.stream_dir(spark, "networks")
-    sinks.append_metrics(payments(spark, sf, "corridor", "network"), path, files_per_network=4)
+    sinks.append_metrics(payments(spark, sf, "corridor", "network"), path)
     stored = spark.read.parquet(path).where(F.col("network") == "testnet")
     return stored.groupBy("corridor").agg(F.count("*").alias("n"))
 
@@ -386,3 +386,47 @@ def diff_maps(spark, sf):
         "id", F.col("v.old").alias("old_value"), F.col("v.new").alias("new_value")
     )
 
+
+_DECODED = "seq bigint, contract_id string, epoch string, snapshot_hash string, source_data_hash string, submitted_at bigint, submitter string"
+
+
+def _committed(spark, sf):
+    """Decoded events in two batches; the second fails once between its sinks before it goes through."""
+    path = jobs.stream_dir(spark, "committed")
+    rows = events(spark, sf)
+    for batch_id in (0, 1):
+        decoded = ev.decode_snapshot_events(contract_plans.envelopes_of(rows.where(F.col("event_id") % 2 == batch_id)))
+
+        def good(sink):
+            return lambda df: sink(df.withColumns({"epoch": F.col("epoch").cast("string"), "submitted_at": F.col("submitted_at").cast("bigint")}))
+
+        if batch_id == 1:
+            try:
+                with commits.batch(spark, path, batch_id) as b:
+                    good(b.part("events"))(ev.normalized(decoded))
+                    raise OSError("the quarantine is out of reach")
+            except OSError:
+                pass
+        with commits.batch(spark, path, batch_id) as b:
+            sinks.write_normalized_events(decoded, good(b.part("events")), b.part("quarantine"))
+    return path
+
+
+@query("committed_events", ORACLES["decode_events_normalized"])
+def committed_events(spark, sf):
+    return commits.read(spark, _committed(spark, sf), "events", _DECODED)
+
+
+@query("committed_quarantine", ORACLES["decode_events_rejected"])
+def committed_quarantine(spark, sf):
+    return commits.read(spark, _committed(spark, sf), "quarantine", "seq bigint, error_code string, error_detail string")
+
+
+@query("erase_users_in_files", ORACLES["erase_users"])
+def erase_users_in_files(spark, sf):
+    path, schema = jobs.stream_dir(spark, "erase"), "event_id bigint, user_id bigint"
+    with commits.batch(spark, path, 0) as b:
+        b.part("events")(events(spark, sf).select(F.col("event_id").cast("bigint"), F.col("user_id").cast("bigint")))
+    confirmed = operations.data_requests(spark, sf).where("kind = 'deletion' and status = 'confirmed'")
+    commits.erase_users(spark, path, "events", schema, confirmed)
+    return commits.read(spark, path, "events", schema)

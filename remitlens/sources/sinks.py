@@ -1,6 +1,6 @@
-"""Writers. Partitioned output is clustered by its partition columns first, so a
-write makes few files per partition, and a hot partition is still spread over
-several tasks by a hash of its rows."""
+"""Writers. Partitioned output is rebalanced by its partition columns first: tasks are
+split and merged by bytes at run time, so a small partition is one file and a hot one
+as many files of the advised size as it needs."""
 
 from __future__ import annotations
 
@@ -49,10 +49,14 @@ def write_snapshot_payload(snapshot: DataFrame, path: str) -> None:
     snapshot_lines(snapshot).write.mode("overwrite").text(path)
 
 
-def _spread(df: DataFrame, partition: str, files: int) -> DataFrame:
-    """At most ``files`` tasks per partition value."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files))
-    return df.repartition(partition, salt)
+def _spread(df: DataFrame, partition: str, files: int | None) -> DataFrame:
+    """Tasks of about the session's advised partition size, or ``files`` tasks per partition value where that is asked for.
+
+    A small value that shares a shuffle partition with a hot one is split with it.
+    """
+    if files is None:
+        return df.hint("rebalance", partition)
+    return df.repartition(partition, F.pmod(F.xxhash64(*df.columns), F.lit(files)))
 
 
 def _replace_parts(df: DataFrame, path: str, *partitions: str) -> None:
@@ -60,7 +64,7 @@ def _replace_parts(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
-def append_metrics(df: DataFrame, path: str, batch_id: int = 0, files_per_network: int = 64) -> None:
+def append_metrics(df: DataFrame, path: str, batch_id: int = 0, files_per_network: int | None = None) -> None:
     """Add a batch to the network-partitioned store.
 
     The batch number is a partition below the network, so a repeated batch replaces itself.
@@ -68,7 +72,7 @@ def append_metrics(df: DataFrame, path: str, batch_id: int = 0, files_per_networ
     _replace_parts(_spread(df, "network", files_per_network).withColumn("batch", F.lit(batch_id)), path, "network", "batch")
 
 
-def route_logs(logs: DataFrame, path: str, batch_id: int = 0, files_per_day: int = 64) -> None:
+def route_logs(logs: DataFrame, path: str, batch_id: int = 0, files_per_day: int | None = None) -> None:
     """All documents by day, and the error documents once more by day.
 
     The layout is ``<all or errors>/log_date=.../batch=...``: retention drops days, and a
@@ -86,7 +90,8 @@ def write_normalized_events(
     """Hand valid events to the sink and the rest to the quarantine.
 
     ``failfast`` stops at the first bad event: events before it are written,
-    then the batch fails. An error raised by the sink fails the batch too.
+    then the batch fails. An error raised by the sink fails the batch too. For
+    parts that become visible together, give sinks of one ``commits.batch``.
     """
     from remitlens.operators.contract_events import normalized, rejected
 
