@@ -282,13 +282,25 @@ def sort_by_number(spark, sf):
 @query("paginate_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
 def paginate_offset(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return paging.paginate_offset(rows, [F.desc("o_totalprice"), "o_orderkey"], 20, 40).rows
+    return paging.paginate_offset(rows, ["o_totalprice desc", "o_orderkey"], 20, 40).rows
 
 
 @query("paginate_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 20")
 def paginate_page(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return paging.paginate_page(rows, [F.desc("o_totalprice"), "o_orderkey"], page=3).rows
+    return paging.paginate_page(rows, ["o_totalprice desc", "o_orderkey"], page=3).rows
+
+
+@query(
+    "page_deep",
+    """SELECT l_shipdate, l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber
+    LIMIT 25 OFFSET (SELECT count(*) * 7 // 10 FROM lineitem)""",
+)
+def page_deep(spark, sf):
+    """A page at seven tenths of the lines; a thousand rows at once make the selection work at any size."""
+    rows = table(spark, sf, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice")
+    total = rows.count()
+    return paging.page_rows(rows, ["l_shipdate desc", "l_orderkey", "l_linenumber"], total * 7 // 10, 25, total, at_once=1000)
 
 
 @query(

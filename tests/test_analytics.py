@@ -169,6 +169,29 @@ def test_text_formats(spark):
     assert one(spark, times.week_start(F.lit(date(2024, 3, 6)))) == date(2024, 3, 3)
 
 
+def test_deep_pages_equal_a_full_sort(spark):
+    df = spark.range(0, 3000, 1, 6).selectExpr(
+        "id", "if(id % 50 = 3, null, timestamp_ntz'2024-10-27 00:30:00' + make_dt_interval(0, 0, id * 7919 % 600)) AS at",
+        "if(id % 3 = 0, 'hot', if(id % 7 = 0, null, concat('k', id % 40))) AS kind", "cast(id * 31 % 97 as double) AS x",
+        "timestamp'2024-10-27 00:30:00' + make_dt_interval(0, 0, id % 300) AS zoned", "cast(id % 11 as decimal(9, 2)) AS d",
+    )
+    for order in (["kind desc", "at desc", "x", "id"], ["d", "zoned desc", "id desc"]):
+        sorting = [F.desc(o.split()[0]) if o.endswith("desc") else F.asc(o) for o in order]
+        full = [r["id"] for r in df.orderBy(*sorting).collect()]
+        for start in (1490, 2995):
+            got = paging.page_rows(df, order, start, 10, 3000, at_once=100, sample=400)
+            assert [r["id"] for r in got.collect()] == full[start : start + 10], (order, start)
+    # only a part of the rows is sorted for the page
+    plan = paging.page_rows(df, ["id"], 1490, 10, 3000, at_once=100, sample=400)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan
+    # rows equal in the whole order cannot be parted
+    assert paging.page_rows(df, ["d"], 2000, 10, 3000, at_once=100, sample=400).select("d").distinct().count() <= 2
+    assert paging.page_rows(df.where("false"), ["id"], 50, 10, 0, at_once=20).count() == 0
+    for wrong in (["nothing"], ["id", "id desc"], ["id sideways"]):
+        with pytest.raises(InvalidFields):
+            paging.page_rows(df, wrong, 0, 1, 3000)
+
+
 def test_paging(spark):
     df = spark.range(25).selectExpr("id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, id % 5) AS created_at")
     page = paging.paginate_offset(df, ["id"], 10, 20)
