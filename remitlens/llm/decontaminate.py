@@ -87,7 +87,9 @@ def tiles(item: list[int], text: list[int], least: int) -> list[tuple[int, int,
 
     The longest run of equal unmarked tokens is marked first; equal lengths go by
     place in the text, then in the item. Runs of ``least`` tokens are found by a
-    rolling hash and compared token by token before they are extended.
+    rolling hash and compared token by token before they are extended. A start inside
+    a run that was followed on the same diagonal is shorter than that run and is passed
+    over, so a round compares a pair of places once, however often a token repeats.
     """
     a_free, b_free = [True] * len(item), [True] * len(text)
     lead = pow(_BASE, least - 1, _MODULUS)
@@ -113,11 +115,15 @@ def tiles(item: list[int], text: list[int], least: int) -> list[tuple[int, int,
         for p, h in rolled(item, a_free):
             places.setdefault(h, []).append(p)
         longest, matches = least, []
+        followed: dict[int, int] = {}  # diagonal -> end in the text of its last run
         for t, h in rolled(text, b_free):
             for p in places.get(h, ()):
+                if t < followed.get(p - t, 0):
+                    continue
                 k = 0
                 while p + k < len(item) and t + k < len(text) and a_free[p + k] and b_free[t + k] and item[p + k] == text[t + k]:
                     k += 1
+                followed[p - t] = t + k
                 if k > longest:
                     longest, matches = k, []
                 if k == longest:

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -405,3 +406,15 @@ def test_noise_and_unlearned_languages_are_rejected(spark, noisy_net, monkeypatc
     assert not kept & {d for d, _ in bad}
     lettered = {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
     assert len(kept & lettered) >= 0.99 * len(lettered)
+
+
+def test_tiles_of_repeated_tokens():
+    rng = random.Random(5)
+    for _ in range(120):
+        item = [rng.choice([7, 7, 7, 8, 9]) for _ in range(rng.randrange(40))]
+        text = [rng.choice([7, 7, 7, 8, 9, 10]) for _ in range(rng.randrange(60))]
+        assert decontaminate.tiles(item, text, 3) == naive_tiles(item, text, 3)
+    started = time.process_time()
+    assert decontaminate.tiles([7] * 800, [7] * 800, 5) == [(0, 0, 800)]
+    assert sum(k for _, _, k in decontaminate.tiles([7, 8] * 400, [8, 7, 9] + [7, 8] * 399, 5)) >= 798
+    assert time.process_time() - started < 2  # each pair took over a minute when every start was followed
