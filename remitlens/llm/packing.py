@@ -12,7 +12,7 @@ from __future__ import annotations
 import gc
 import zlib
 from array import array
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from remitlens.llm import hashing
 from remitlens.llm.store import pinned, prepare
 
-#: Words whose ids a task remembers; past this it starts afresh. Bounds memory, not results.
-REMEMBERED = 400_000
+#: Words whose ids a task remembers, and letters of such a word; past the first it starts afresh. Bounds memory, not results.
+REMEMBERED, LONGEST = 1_000_000, 64
 
 
 #: The letter that stands for a byte in a byte-level vocabulary: itself if printable, else the next one from 256 on.
@@ -31,6 +31,20 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+class _Remembered(dict):
+    """Ids of words by word; a word that is not there yet is learned when it is asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self._learn = learn
+
+    def __missing__(self, word: str) -> bytes | None:
+        ids = self._learn(self, word)
+        if len(word) <= LONGEST:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Token ids of whole texts, with the ids of words remembered.
 
@@ -53,12 +67,12 @@ class Encoder:
         added = self._tokenizer.get_added_tokens_decoder().values()
         self._added = [t.content for t in added if special_tokens or not t.special]
         self._model = self._tokenizer.model
-        self._marks = dict(zip("\n.,", self._encode(["\n", ".", ","])))
+        self._marks = {mark: self._encode(mark) for mark in "\n.,"}
         #: ids of a word by whether a space stands before it; None if white space stands at its ends
-        self._known: tuple[dict[str, bytes | None], dict[str, bytes | None]] = ({}, {})
+        self._known = tuple(_Remembered(partial(self._learn, space)) for space in ("", " "))
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _encode(self, text: str) -> bytes:
+        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, space: str, letters: str) -> bytes:
         """Ids of one piece: an optional space and letters."""
@@ -68,57 +82,37 @@ class Encoder:
             mapped = (space + letters).encode().decode("latin-1").translate(_BYTE_LETTERS)
         return array("I", [t.id for t in self._model.tokenize(mapped)]).tobytes()
 
-    def _learn(self, words: set[str], spaced: bool) -> None:
-        """Remember the new ones of ``words``."""
-        known, space, rest = self._known[spaced], " " if spaced else "", []
-        for word in words - known.keys():
-            if word.isalpha():
-                known[word] = self._piece(space, word)
-            elif not word or word != word.strip():
-                known[word] = None
-            elif word[-1] in ".," and word[:-1].isalpha():
-                own = known.get(word[:-1])
-                if own is None:
-                    own = known[word[:-1]] = self._piece(space, word[:-1])
-                known[word] = own + self._marks[word[-1]]
-            else:
-                rest.append(word)
-        for at in range(0, len(rest), 5000):
-            part = rest[at : at + 5000]
-            known.update(zip(part, self._encode([space + w for w in part])))
+    def _learn(self, space: str, known: dict[str, bytes | None], word: str) -> bytes | None:
+        """Ids of a word that is not in ``known``."""
+        if word.isalpha():
+            return self._piece(space, word)
+        if not word or word != word.strip():
+            return None
+        if word[-1] in ".," and word[:-1].isalpha():
+            return known[word[:-1]] + self._marks[word[-1]]
+        return self._encode(space + word)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self._known[0]) + len(self._known[1]) > REMEMBERED:
+        if sum(map(len, self._known)) > REMEMBERED:
             for known in self._known:
                 known.clear()
-        lines_of: list[list[tuple[str, list[str]]] | None] = []
         whole = ("  ", " \n", "\n ", "\n\n", *self._added)
-        heads: set[str] = set()
-        others: set[str] = set()
-        for text in texts:
-            if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in whole):
-                lines_of.append(None)
-                continue
-            # the first word of a line has no space before it
-            lines = [line.split(" ") for line in text.split("\n")]
-            split = [(line.pop(0), line) for line in lines]
-            for head, line in split:
-                heads.add(head)
-                others.update(line)
-            lines_of.append(split)
-        self._learn(heads, False)
-        self._learn(others, True)
-        plain, spaced, feed = *self._known, self._marks["\n"]
+        plain, spaced, feed = *(known.__getitem__ for known in self._known), self._marks["\n"]
         out = []
-        for text, lines in zip(texts, lines_of):
-            ids: bytes | None = b""
-            if lines is not None:
+        for text in texts:
+            ids: bytes | None = None
+            if text and not (text[0].isspace() or text[-1].isspace() or any(x in text for x in whole)):
+                lines = []
                 try:
-                    ids = feed.join([plain[head] + b"".join([spaced[w] for w in line]) for head, line in lines])
+                    for line in text.split("\n"):
+                        # the first word of a line has no space before it
+                        head, *rest = line.split(" ")
+                        lines.append(plain(head) + b"".join(map(spaced, rest)))
+                    ids = feed.join(lines)
                 except TypeError:  # a word with white space at its ends
-                    ids = None
-            if lines is None or ids is None:
-                ids = self._encode([text])[0] if text else b""
+                    pass
+            if ids is None:
+                ids = self._encode(text) if text else b""
             out.append(np.frombuffer(ids, "<u4"))
         return out
 

@@ -90,6 +90,24 @@ def test_encoder_with_special_tokens_equals_the_untouched_tokenizer(spark):
     assert [(r.length, r.ids_crc32) for r in rows] == [(len(expected), zlib.crc32(expected.tobytes()))]
 
 
+def test_encoder_learns_a_word_when_it_meets_it():
+    """New words cost no walk over the remembered ones, and very long words are not remembered."""
+
+    class Untold(packing._Remembered):
+        def keys(self):
+            raise AssertionError("walked over")
+
+        __iter__ = keys
+
+    encoder = packing.Encoder(tokenizer_file(), special_tokens=True)
+    encoder._known = tuple(Untold(known._learn) for known in encoder._known)
+    long = "x" * 5000
+    texts = [f"word and\n{long} {long}. don't", "word again"]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == encoder._tokenizer.encode(text, add_special_tokens=False).ids
+    assert "and" in encoder._known[1] and not any(long in known for known in encoder._known)
+
+
 def test_best_fit_decreasing_equals_a_scan():
     rng = random.Random(2)
     for _ in range(60):
