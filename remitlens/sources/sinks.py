@@ -95,7 +95,8 @@ def write_normalized_events(
     """
     from remitlens.operators.contract_events import normalized, rejected
 
-    decoded = decoded.persist()  # both sinks read one decoding; what is lost is decoded again
+    # both sinks read one decoding, without its envelopes; what is lost is decoded again
+    decoded = decoded.select("error", *normalized(decoded).columns).persist()
     try:
         bad = rejected(decoded)
         if mode == "failfast":

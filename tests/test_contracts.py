@@ -86,6 +86,16 @@ def test_failfast_keeps_earlier_events_and_fails(spark):
     assert written == [1]
 
 
+def test_both_sinks_share_the_outcome_without_its_envelope(spark, monkeypatch):
+    decoded = decode(spark, [event(1, fields(1)), event(2, fields(999)), event(3, fields(2))])
+    persisted, persist, seen = [], type(decoded).persist, {}
+    monkeypatch.setattr(type(decoded), "persist", lambda df, *a: persisted.append(df.columns) or persist(df, *a))
+    sinks.write_normalized_events(decoded, lambda good: seen.update(good=good.collect()), lambda bad: seen.update(bad=bad.collect()))
+    assert [set(columns) for columns in persisted] == [{"error", *ev.normalized(decoded).columns}]
+    assert sorted(r["seq"] for r in seen["good"]) == [1, 3]
+    assert [tuple(r) for r in seen["bad"]] == [(2, "UnsupportedSchemaVersion", "999")]
+
+
 def test_sink_failure_fails_the_batch(spark):
     def broken(_):
         raise RuntimeError("sink down")
