@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Undetermined texts (null, or without a letter) go, and texts that are likelier
     noise than their best language: gibberish, or a language that was not learned.
     The margin is a mean per position, so long texts are judged as short ones; its
-    bound is set on held-out rows.
+    bound is set on all held-out rows.
     """
     net = language_id.train(docs)
     columns = docs.columns

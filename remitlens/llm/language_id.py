@@ -7,7 +7,7 @@ starts afresh at every word, so equal words have equal labels and a task runs th
 network once per distinct word; every word of the whole text counts.
 
 The network is trained in numpy by backpropagation through time, on the driver,
-from word counts of a bounded sample of documents per language.
+from the word counts of all documents that may be learned from.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from remitlens.llm import hashing
-from remitlens.llm.store import prepare
+from remitlens.llm.store import pinned, prepare
+from remitlens.operators.scans import exact_percentiles
 
 UNDETERMINED = "und"
 #: Class of the noise words in a network; no value of a language column.
@@ -177,11 +178,15 @@ def _word_counts(batches):
     for batch in batches:
         for part in hashing.slices(batch, "text"):
             w = hashing.words(part.column("text"), separators=hashing.PUNCTUATION, codes=hashing.LOWERED)
+            lang = part.column("lang").dictionary_encode()
+            spoken = np.repeat(lang.indices.to_numpy(zero_copy_only=False), w.counts)
             found: dict[tuple[str, bytes], int] = {}
-            for d, lang in enumerate(part.column("lang").to_pylist()):
-                for word in w.texts(d):
-                    for piece in _cut(word.lower()):
-                        found[lang, piece] = found.get((lang, piece), 0) + 1
+            for k, name in enumerate(lang.dictionary.to_pylist()):
+                own = np.flatnonzero(spoken == k)
+                _, first, counts = np.unique(w.hashes[own], return_index=True, return_counts=True)
+                for start, end, n in zip(w.starts[own[first]].tolist(), w.ends[own[first]].tolist(), counts.tolist()):
+                    for piece in _cut(w.data[start:end].tobytes().lower()):
+                        found[name, piece] = found.get((name, piece), 0) + n
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.binary()), pa.array(list(found.values()), pa.int64())],
                 schema=schema,
@@ -193,15 +198,17 @@ def learnable() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 != 0
 
 
-def _sampled(rows: DataFrame, per_language: int, most_languages: int = 1000) -> DataFrame:
-    """About ``per_language`` rows of each of the ``most_languages`` most frequent languages, picked by a hash of doc_id."""
-    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
-    sizes = {r.lang: r.n for r in counted.collect()}
-    if not sizes:
-        return rows.where("false")
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_language / n))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1_000_003)) / 1_000_003
-    return rows.where(draw < F.try_element_at(share, F.col("lang")))
+def _of_frequent_languages(rows: DataFrame, most_languages: int = 1000) -> DataFrame:
+    """Rows of the ``most_languages`` most frequent languages."""
+    frequent = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    return rows.join(F.broadcast(frequent.select("lang")), "lang", "left_semi")
+
+
+def _allow_limit(spark: SparkSession, rows: int) -> None:
+    """Let Spark limit ranked groups of up to ``rows`` rows before it shuffles them."""
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(spark.conf.get(key, "1000")) < rows:
+        spark.conf.set(key, str(rows))
 
 
 def noise_words(words: list[bytes], n: int, seed: int = 5) -> list[bytes]:
@@ -223,20 +230,21 @@ def noise_words(words: list[bytes], n: int, seed: int = 5) -> list[bytes]:
     return out
 
 
-def train(docs: DataFrame, per_language: int = 300, words_per_language: int = 8_000, noise: int = 8_000, **settings) -> Network:
+def train(docs: DataFrame, words_per_language: int = 8_000, noise: int = 8_000, **settings) -> Network:
     """Network for the values of ``lang`` in ``docs(doc_id, text, lang)``.
 
     It also learns ``noise`` words of no language, a class that no text is given as
     its language; ``identify`` then tells the margin to it.
 
-    Learns from rows with a non-null doc_id, text and lang whose checksum allows
-    it: about ``per_language`` documents of each language (of the 1000 most frequent
-    values of ``lang``), picked by a hash of doc_id, and of their words the ``words_per_language`` most frequent. Both
-    bounds hold at any size of the table.
+    Counts the words of all rows with a non-null doc_id, text and lang whose checksum
+    allows it, and learns the ``words_per_language`` most frequent words of each language
+    (of the 1000 most frequent values of ``lang``). Both bounds hold at any size of the
+    table: the words are limited on each task before they are gathered.
     """
     prepare(docs.sparkSession)
+    _allow_limit(docs.sparkSession, words_per_language)
     usable = docs.where("doc_id is not null and text is not null and lang is not null").where(learnable())
-    counted = _sampled(usable, per_language).select("lang", "text").mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = _of_frequent_languages(usable.select("lang", "text")).select("lang", "text").mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     # the limit also runs before the shuffle; what is collected is bounded per language
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = counted.withColumn("nth", nth).where(F.col("nth") <= words_per_language).select("lang", "word", "n")
@@ -335,14 +343,18 @@ def identify(docs: DataFrame, net: Network, with_margin: bool = False) -> DataFr
     return base.mapInArrow(run, f"{_ddl(base)}lang_pred string, score double{', margin double' if with_margin else ''}")
 
 
-def margin_bound(docs: DataFrame, net: Network, per_language: int = 300, rejected: float = 0.001) -> float:
-    """Least margin that a text must have, set on rows the network did not learn from.
+def margin_bound(docs: DataFrame, net: Network, rejected: float = 0.001) -> float:
+    """Least margin that a text must have, set on all rows the network did not learn from.
 
     The largest bound of at most 0 (as likely as noise) that rejects no more than
-    the share ``rejected`` of about ``per_language`` held-out rows of each language.
+    the share ``rejected`` of the held-out rows of any language: the least of the
+    languages' exact percentiles.
     """
-    held = _sampled(docs.where("doc_id is not null and text is not null and lang is not null").where(~learnable()), per_language)
-    least = identify(held.select("text"), net, with_margin=True).where(F.col("lang_pred") != UNDETERMINED).agg(F.percentile("margin", F.lit(rejected)).alias("m")).first().m
+    held = docs.where("doc_id is not null and text is not null and lang is not null").where(~learnable()).select("lang", "text")
+    judged = identify(held, net, with_margin=True).where(F.col("lang_pred") != UNDETERMINED).select("lang", "margin")
+    # pinned, as an exact percentile reads its rows twice
+    bounds = exact_percentiles(pinned(judged, "margins"), ["lang"], "margin", {"bound": rejected})
+    least = bounds.agg(F.min("bound").alias("m")).first().m
     return 0.0 if least is None else min(0.0, least)
 
 

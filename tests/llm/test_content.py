@@ -6,6 +6,8 @@ import math
 import random
 import re
 import time
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -392,6 +394,32 @@ def test_long_words_are_learned_whole():
     assert (label(b"q" * 24), label(b"z" * 24)) == ("a", "b")
 
 
+def test_margin_bound_reads_every_held_out_row(spark, noisy_net):
+    rng = random.Random(12)
+    consonants = lambda n: " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    held = [d for d in range(6000) if zlib.crc32(str(d).encode()) % 5 == 0]
+    # 40 of about 1 200 rows are noise, some of which a sample of 300 misses
+    rows = [(d, consonants(1 + i % 7) if i % 30 == 7 else "the house is near the water and the people", ["en", "de"][i % 3 == 0]) for i, d in enumerate(held)]
+    rows += [(d, consonants(5), "en") for d in range(200) if zlib.crc32(str(d).encode()) % 5]  # may be learned from, so not read
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    margins = {lang: [plain_judgement(noisy_net, t)[2] for d, t, k in rows if k == lang and d in set(held)] for lang in ("en", "de")}
+    for rejected in (0.001, 0.01):
+        expected = min(0.0, *(float(np.quantile(m, rejected)) for m in margins.values()))
+        assert expected < 0 and language_id.margin_bound(docs, noisy_net, rejected=rejected) == pytest.approx(expected, abs=1e-4)
+
+
+def test_training_counts_the_words_of_every_document(spark, monkeypatch):
+    rows = [(d, f"Same w{d} {'z' * 30}", ["en", "de"][d % 2]) for d in range(3000)]
+    seen = []
+    monkeypatch.setattr(language_id, "fit", lambda counts, **_: seen.extend(counts))
+    language_id.train(spark.createDataFrame([*rows, (None, "none", "en"), (7, None, "en"), (8, "none", None)], "doc_id long, text string, lang string"))
+    expected = Counter()
+    for d, text, lang in rows:
+        if zlib.crc32(str(d).encode()) % 5:
+            expected.update((lang, piece) for piece in [b"same", f"w{d}".encode(), b"z" * 24, b"z" * 6])
+    assert {(lang, word): n for lang, word, n in seen if lang != language_id.NOISE} == expected
+
+
 def test_noise_and_unlearned_languages_are_rejected(spark, noisy_net, monkeypatch):
     import corpus_pipeline
 
